@@ -130,7 +130,7 @@ r AS (
     1.5::DOUBLE * sum(source_size) OVER () AS budget
   FROM s),
 l AS (SELECT max((budget - coalesce(spent, 0)) / w_left) AS level FROM r WHERE (budget - coalesce(spent, 0)) / w_left <= cap / w),
-t AS (SELECT source, source_size, least(cap, w * (SELECT min((budget - coalesce(spent, 0)) / w_left) FROM r WHERE (budget - coalesce(spent, 0)) / w_left <= cap / w)) AS target FROM r),
+t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM l), 1e300)) AS target FROM r),
 p AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) AS place,
