@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import mixing, sharding
+from terrastrat.llm import mixing, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_personal_data": pii.op1_personal_data,
         "op2_external_shuffle": sharding.op2_external_shuffle,
         "op4_systematic_mix": mixing.op4_systematic_mix,
+        "op6_line_rules": quality.op6_line_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": mixing.OP4_SQL}
+    return {"op4_systematic_mix": mixing.OP4_SQL, "op6_line_rules": quality.OP6_SQL}

@@ -1,0 +1,50 @@
+"""Plain re-computations that the corpus tests compare with."""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections import Counter
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d: str) -> bool:
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (2 if i % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def personal(text: str | None) -> tuple:
+    t = text or ""
+    spans = [(m.start(), 0, m.end(), "email") for m in EMAIL.finditer(t)]
+    spans += [(m.start(), 1, m.end(), "ip") for m in IP.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in CARD.finditer(t):
+        d = re.sub("[^0-9]", "", m[0])
+        if 14 <= len(d) <= 19 and luhn(d):
+            spans.append((m.start(), 2, m.end(), "card"))
+    for m in PHONE.finditer(t):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            spans.append((m.start(), 3, m.end(), "phone"))
+    spans.sort()
+    text_form = ",".join(f"{k}:{s}:{e}" for s, _, e, k in spans)
+    c = Counter(x[3] for x in spans)
+    return c["email"], c["ip"], c["card"], c["phone"], hashlib.sha256(text_form.encode()).hexdigest()
+
+
+def quality(text: str | None) -> tuple:
+    t = text or ""
+    words = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    grams = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    c = Counter(grams)
+    covered = {p for i, g in enumerate(grams) if c[g] > 1 for p in (i, i + 1, i + 2)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    symbols = sum(t.count(x) for x in "#*$%&|<>")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed
