@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import mixing, pii, quality, sharding
+from terrastrat.llm import mixing, pii, quality, sharding, tokencount
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_external_shuffle": sharding.op2_external_shuffle,
         "op4_systematic_mix": mixing.op4_systematic_mix,
         "op6_line_rules": quality.op6_line_rules,
+        "op7_prefix_token_counts": tokencount.op7_prefix_token_counts,
     }
 
 
