@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import mixing, pii, quality, sharding, tokencount
+from terrastrat.llm import mixing, packing, pii, quality, sharding, tokencount
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_systematic_mix": mixing.op4_systematic_mix,
         "op6_line_rules": quality.op6_line_rules,
         "op7_prefix_token_counts": tokencount.op7_prefix_token_counts,
+        "op9_bin_slack_packing": packing.op9_bin_slack_packing,
     }
 
 
