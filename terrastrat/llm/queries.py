@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import fingerprints, mixing, packing, pii, quality, sharding, tokencount
+from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, tokencount
 
 
 def queries() -> dict:
     return {
         "op1_personal_data": pii.op1_personal_data,
         "op2_external_shuffle": sharding.op2_external_shuffle,
+        "op3_chosen_path_join": jaccard_join.op3_chosen_path_join,
         "op4_systematic_mix": mixing.op4_systematic_mix,
         "op6_line_rules": quality.op6_line_rules,
         "op7_prefix_token_counts": tokencount.op7_prefix_token_counts,
