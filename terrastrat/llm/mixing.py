@@ -63,8 +63,11 @@ def mix(documents: DataFrame, source: str = "source", size: str = "size", key: s
     empty result. Columns of *documents* may have any other names than those added.
     """
     level = F.floor(F.log2(F.col(size) + F.lit(1)) * 8).cast("int")
-    rows = documents.withColumn("_class", level)
-    classes = cut(rows.groupBy(F.col(source).alias("source"), F.col("_class").alias("class")).agg(F.count("*").alias("n"), F.sum(size).alias("words")))
+    # statistics come from three narrow columns, read from the texts once
+    light = cut(documents.select(key, source, size))
+    rows = (light if set(documents.columns) == {key, source, size} else documents).withColumn("_class", level)
+    light = light.withColumn("_class", level)
+    classes = cut(light.groupBy(F.col(source).alias("source"), F.col("_class").alias("class")).agg(F.count("*").alias("n"), F.sum(size).alias("words")))
     targets = cut(source_targets(classes.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")), **rule))
     total = classes.agg(F.sum("n")).first()[0] or 0
     block = max(BLOCK_ROWS, -(-total // BLOCKS))
@@ -78,10 +81,12 @@ def mix(documents: DataFrame, source: str = "source", size: str = "size", key: s
             F.ceil(F.col("n") / F.lit(block)).cast("long").alias("_blocks"),
         )
     )
-    rows = small_join(rows, plan, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("_blocks")))
+    block_of = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("_blocks"))
+    on_class = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))
+    rows = small_join(rows, plan, on_class).withColumn("_block", block_of)
+    light = small_join(light, plan, on_class).withColumn("_block", block_of)
     # how many documents lie before each block, larger sizes first: one row a block
-    counts = rows.groupBy("_s", "_c", "_block").agg(F.count("*").alias("_n"))
+    counts = light.groupBy("_s", "_c", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_s").orderBy(F.desc("_c"), "_block")) - F.col("_n")
     starts = cut(counts.select(F.col("_s").alias("_s2"), F.col("_c").alias("_c2"), F.col("_block").alias("_b2"), before.alias("_before")))
     inside = F.row_number().over(W.partitionBy("_s", "_c", "_block").orderBy(F.desc(size), key))
