@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, tokencount
+from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, substring_dedup, tokencount
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_systematic_mix": mixing.op4_systematic_mix,
         "op6_line_rules": quality.op6_line_rules,
         "op7_prefix_token_counts": tokencount.op7_prefix_token_counts,
+        "op8_repeated_passages": substring_dedup.op8_repeated_passages,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_minhash_fingerprints": fingerprints.op10_minhash_fingerprints,
     }
