@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, substring_dedup, tokencount
+from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, substring_dedup, tokencount, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_external_shuffle": sharding.op2_external_shuffle,
         "op3_chosen_path_join": jaccard_join.op3_chosen_path_join,
         "op4_systematic_mix": mixing.op4_systematic_mix,
+        "op5_warc_transactions": warc.op5_warc_transactions,
         "op6_line_rules": quality.op6_line_rules,
         "op7_prefix_token_counts": tokencount.op7_prefix_token_counts,
         "op8_repeated_passages": substring_dedup.op8_repeated_passages,
@@ -20,4 +21,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": mixing.OP4_SQL, "op6_line_rules": quality.OP6_SQL}
+    return {
+        "op4_systematic_mix": mixing.OP4_SQL,
+        "op5_warc_transactions": warc.OP5_SQL,
+        "op6_line_rules": quality.OP6_SQL,
+    }
