@@ -105,6 +105,16 @@ def judge(documents: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & enough).drop("_t", "_words", "_lines", "_windows", "_worded", "_passing")
 
 
+def keep(judged: DataFrame) -> DataFrame:
+    """The rows of :func:`judge` that are kept.
+
+    The verdict passes a column that the optimiser may not move, else the filter would be pushed below
+    the projections and every rule would be computed several times over.
+    """
+    fence = F.when(F.monotonically_increasing_id() >= 0, F.col("kept"))
+    return judged.withColumn("_fence", fence).filter("_fence").drop("_fence")
+
+
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
