@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +24,9 @@ def register(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    pass
+    """Imports the modules that register queries."""
+    for name in ("scoring",):
+        import_module(f"terrastrat.plans.{name}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
