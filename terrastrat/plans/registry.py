@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    for name in ("scoring", "events"):
+    for name in ("scoring", "events", "fields"):
         import_module(f"terrastrat.plans.{name}")
 
 
