@@ -2,7 +2,7 @@
 
 Three steps, none of which emits a row for each pair of a group:
 
-1. Buckets (sets of ids that may be alike) are compared by sketches. A bucket of more than TILE ids is
+1. Buckets (sets of ids that may be alike) are compared by sketches. A bucket of more than a tile's ids is
    cut into tiles and every pair of tiles is a block of its own, so no task holds a large bucket. A
    block emits a spanning forest of its likely links, fewer rows than it has members.
 2. The forests' connected components are clusters: all likely links lie inside.
@@ -22,7 +22,8 @@ from terrastrat.llm import shingles
 from terrastrat.operators.graph import connected_components
 from terrastrat.session import cut, small_join
 
-TILE = 256
+#: Ids of a tile: where sketches are compared, and where whole shingle sets are.
+SKETCH_TILE, TILE = 1024, 512
 #: Pairs compared by one numpy step at most.
 PAIRS = 1 << 17
 
@@ -117,7 +118,7 @@ def starts(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
 
 
-def likely_links(members: DataFrame, sketches: DataFrame, lanes: int, least: float, tile: int = TILE) -> DataFrame:
+def likely_links(members: DataFrame, sketches: DataFrame, lanes: int, least: float, tile: int = SKETCH_TILE) -> DataFrame:
     """Step 1: ``(src, dst)`` forests from ``members (bucket, id)`` and ``sketches (id, sketch)``."""
     spread = blocks(members, "bucket", tile).select("block", "side", "id")
     rows = spread.join(sketches.select("id", "sketch"), "id").select("block", "side", "id", "sketch")
