@@ -21,14 +21,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(max_rounds):
-        offers = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "component")
-        least = offers.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
+        offers = both.join(labels, both.b == labels.node).select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("old"))
+        known = labels.select("node", "component", F.col("component").alias("old"))
+        least = offers.unionByName(known).groupBy("node").agg(F.min("component").alias("component"), F.max("old").alias("old"))
         least = cut(least)
         hop = least.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = cut(least.join(hop, "component").select("node", F.col("next").alias("component")))
-        changed = jumped.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old")
-        done = changed.isEmpty()
-        labels = jumped
+        jumped = cut(least.join(hop, "component").select("node", F.col("next").alias("component"), "old"))
+        done = jumped.filter("component <> old").isEmpty()
+        labels = jumped.drop("old")
         if done:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
