@@ -111,7 +111,7 @@ def _joined(values: np.ndarray, band: int) -> np.ndarray:
 
 
 def near_nodes(documents: DataFrame, table: DataFrame, near: DataFrame, key: str, text: str) -> DataFrame:
-    """``(id, component)`` of nodes with a verified link to another node. near: ``(bucket, u)``."""
+    """``(id, component)`` of nodes with a verified link to another node. near: ``(bucket, u)``; table: the pieces of these nodes at least."""
     wanted = near.select("u").distinct()
     spot = F.min_by(F.struct("key", "h", "at", "stop"), F.struct("rid", "at"))
     spots = small_join(table.select("u", "key", "h", "rid", "at", "stop"), cut(wanted), "u").groupBy("u").agg(spot.alias("s"))
@@ -153,10 +153,11 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     met = written(met.filter("n > 1"))
     near_keys = cut(met.filter("low <> high").select("bucket"))
     near = written(small_join(keyed, near_keys, "bucket").select("bucket", "u").distinct())
-    components = near_nodes(documents, table, near, key, text)
     nodes = met.filter("low = high").select(F.col("low").alias("u")).unionByName(near.select("u")).distinct()
-    nodes = written(nodes.join(components.withColumnRenamed("id", "u"), "u", "left").select("u", F.coalesce("component", "u").alias("label")))
-    spots = small_join(table.select("u", "key", "h", "rid", "at", "stop", "words"), nodes, "u").drop("u")
+    # the one join that all pieces take part in: shuffled at every size, since nodes grow with the corpus
+    spots = written(table.select("u", "key", "h", "rid", "at", "stop", "words").join(nodes.hint("merge"), "u"))
+    components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
+    spots = written(small_join(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
     labels = written(labels.filter("n > 1").select(F.col("label").alias("_label"), "first"))
     spots = small_join(spots, labels, F.col("label") == F.col("_label"))
