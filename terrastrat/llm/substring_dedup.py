@@ -142,8 +142,9 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
     start, end: code points, end exclusive. The first occurrence (in the order of the input) of each
     piece is kept, removed false; adjoining pieces with one verdict are one row, left out if shorter
-    than *min_words*. cluster_id names the component of the row's longest piece, first_key the key of
-    the row that keeps it. Documents without repeats have no rows; null or empty texts have none.
+    than *min_words*. cluster_id names a component, the same for all occurrences of a passage: the least
+    one among the row's pieces that occur as often as most of its words; first_key is the key of the row
+    that keeps it. Documents without repeats have no rows; null or empty texts have none.
     Repeated rows are occurrences like any others. An empty table gives an empty result.
     """
     bands = [f"b{i}" for i in range(BANDS)]
@@ -159,25 +160,34 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
     spots = written(small_join(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
-    labels = written(labels.filter("n > 1").select(F.col("label").alias("_label"), "first"))
+    labels = written(labels.filter("n > 1").select(F.col("label").alias("_label"), "n", "first"))
     spots = small_join(spots, labels, F.col("label") == F.col("_label"))
     spots = spots.withColumn("removed", (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
     # windows over the pieces of one document
     order = W.partitionBy("rid").orderBy("at")
     apart = (F.col("at") - F.lag("stop").over(order) > 3) | (F.lag("removed").over(order) != F.col("removed"))
     runs = spots.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
-    longest = F.max_by(F.struct("label", "first"), F.struct("words", "label"))
-    rows = runs.groupBy("rid", "_run").agg(
+    # pieces as frequent as most of the row's words; frequent lines and chance neighbours don't name it
+    alike = runs.groupBy("rid", "_run", "n").agg(
+        F.first("key").alias("key"),
+        F.first("h").alias("h"),
+        F.min("at").alias("at"),
+        F.max("stop").alias("stop"),
+        F.sum("words").alias("words"),
+        F.min(F.struct("label", "first")).alias("least"),
+        F.first("removed").alias("removed"),
+    )
+    rows = alike.groupBy("rid", "_run").agg(
         F.first("key").alias(key),
         F.first("h").alias("h"),
         F.min("at").alias("start"),
         F.max("stop").alias("end"),
         F.sum("words").alias("n_words"),
-        longest.alias("_longest"),
+        F.max_by("least", F.struct("words", "n")).alias("_name"),
         F.first("removed").alias("removed"),
     )
     rows = rows.filter(F.col("n_words") >= min_words)
-    return rows.select(key, "h", "rid", "start", "end", "n_words", F.col("_longest.label").alias("cluster_id"), F.col("_longest.first.key").alias("first_key"), "removed")
+    return rows.select(key, "h", "rid", "start", "end", "n_words", F.col("_name.label").alias("cluster_id"), F.col("_name.first.key").alias("first_key"), "removed")
 
 
 def remove(documents: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
