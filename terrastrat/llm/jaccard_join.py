@@ -117,7 +117,7 @@ def repeated_rows(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(key, "h").count().filter("count > 1").isEmpty()
 
 
-def match(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def match(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, buckets_of=None) -> DataFrame:
     """``(key, h, rid, class_id, copy_of, links, linked_documents, keep)`` of every row.
 
     Rows with equal sets of five-word shingles (all equal texts; all texts without words) are copies:
@@ -125,6 +125,7 @@ def match(documents: DataFrame, key: str = "doc_id", text: str = "text", thresho
     their rows and the row's own copies. class_id is the least key that links lead to. keep marks one
     row of each class. Texts of one to four words have one shingle. Keys may be null or repeat: rows
     are told apart by rid, and null keys come last among least ones. An empty table gives an empty one.
+    buckets_of: gives candidate buckets ``(bucket, id)`` of ``(id, sig)`` in place of chosen paths.
     """
     rows = cut(distinct_sets(documents, key, text))
     sets = rows.groupBy("k1", "k2").agg(
@@ -141,7 +142,7 @@ def match(documents: DataFrame, key: str = "doc_id", text: str = "text", thresho
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sketch"])
 
     sketches = sets.select("id", "sig").mapInArrow(low, "id long, sketch binary")
-    likely = linking.likely_links(buckets(sets, threshold, recall), sketches, POSITIONS, LIKELY)
+    likely = linking.likely_links(buckets_of(sets) if buckets_of else buckets(sets, threshold, recall), sketches, POSITIONS, LIKELY)
     docs = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("h", F.xxhash64("_t"))
     if repeated_rows(rows, "key"):
         docs = docs.dropDuplicates(["key", "h"])
