@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import tversky
 from terrastrat.operators.kernels import disc, spread
+from terrastrat.session import cut
+
+#: Methods that one call scores at most: each meets every truth cell.
+MOST_METHODS = 1000
 
 
 def best_credit(pred: DataFrame, radius: float = 3.0, p: str = "p", keys: list[str] = ()) -> DataFrame:
@@ -25,9 +29,10 @@ def contributions(truth: DataFrame, pred: DataFrame, radius: float = 3.0, keys:
     credit = best_credit(pred, radius, keys=keys)
     cover = best_credit(truth.withColumn("p", F.lit(1.0)), radius, keys=truth_keys).withColumnRenamed("credit", "cover")
     apart = [k for k in keys if k not in truth_keys]
-    methods = pred.select(*apart).distinct() if apart else None
-    # methods are few (one row each); counted before they are crossed with the truth
-    every = truth if methods is None else truth.join(F.broadcast(methods.limit(1000)))
+    methods = cut(pred.select(*apart).distinct()) if apart else None
+    if methods is not None and methods.limit(MOST_METHODS + 1).count() > MOST_METHODS:
+        raise ValueError(f"more than {MOST_METHODS} methods: score them in parts")
+    every = truth if methods is None else truth.join(F.broadcast(methods))
     hits = every.select(*keys, "row", "col").join(credit, [*keys, "row", "col"], "left").select(*keys, "row", "col", F.coalesce("credit", F.lit(0.0)).alias("tp"), F.lit(0.0).alias("fp"), F.lit(1).alias("g"), F.lit(0).alias("n"))
     misses = pred.join(cover, [*truth_keys, "row", "col"], "left").select(
         *keys, "row", "col", F.lit(0.0).alias("tp"), (F.col("p") * (1 - F.coalesce("cover", F.lit(0.0)))).alias("fp"), F.lit(0).alias("g"), F.lit(1).alias("n")
