@@ -3,7 +3,7 @@
 Within a source every document expects target / source size copies. Documents are laid out by size
 and their expected copies prefix-summed; with one random offset a source, a document is emitted once
 for each integer boundary that its interval crosses. Laying them out by size keeps the words taken
-within about one document of the target.
+within about one document of the target, and of 16 offsets drawn the one that comes nearest is used.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ CAP = 2.0
 SEED = 7
 #: Rows of a layout block at least, and layout blocks at most (beside one for each size class).
 BLOCK_ROWS, BLOCKS = 256, 20_000
+#: Offsets that a source draws, and the step from one to the next (modulo 1) after a seeded first one.
+OFFSETS, STRIDE = 16, 0.6180339887498949
 
 
 def n_words(text) -> F.Column:
@@ -89,15 +91,27 @@ def mix(documents: DataFrame, source: str = "source", size: str = "size", key: s
     counts = light.groupBy("_s", "_c", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_s").orderBy(F.desc("_c"), "_block")) - F.col("_n")
     starts = cut(counts.select(F.col("_s").alias("_s2"), F.col("_c").alias("_c2"), F.col("_block").alias("_b2"), before.alias("_before")))
-    inside = F.row_number().over(W.partitionBy("_s", "_c", "_block").orderBy(F.desc(size), key))
-    rows = rows.withColumn("_inside", inside)
-    rows = small_join(rows, starts, F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_block") == F.col("_b2")))
+
+    def placed(table: DataFrame) -> DataFrame:
+        inside = F.row_number().over(W.partitionBy("_s", "_c", "_block").orderBy(F.desc(size), key))
+        on_block = F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_block") == F.col("_b2"))
+        return small_join(table.withColumn("_inside", inside), starts, on_block).withColumn("_place", F.col("_before") + F.col("_inside"))
+
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    place = F.col("_before") + F.col("_inside")
-    copies = F.floor(place * each + offset) - F.floor((place - 1) * each + offset)
-    return rows.withColumn("copies", copies.cast("long")).drop(
-        "_class", "_s", "_c", "_blocks", "_block", "_inside", "_s2", "_c2", "_b2", "_before"
+    seeded = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    crossed = lambda u: (F.floor(F.col("_place") * each + u) - F.floor((F.col("_place") - 1) * each + u)).cast("long")
+    # of a few random offsets a source takes the one whose words come nearest its target
+    light = placed(light)
+    light = cut(light) if set(documents.columns) == {key, source, size} else light
+    draws = [seeded + j * STRIDE - F.floor(seeded + j * STRIDE) for j in range(OFFSETS)]
+    sums = light.withColumn("_u", F.array(*draws)).groupBy("_s", "target").agg(*[F.sum(F.col(size) * crossed(F.col("_u")[j])).alias(f"_t{j}") for j in range(OFFSETS)])
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)]))["j"]
+    chosen = cut(sums.select(F.col("_s").alias("_s3"), nearest.alias("_j")))
+    rows = light if set(documents.columns) == {key, source, size} else placed(rows)
+    rows = small_join(rows, chosen, F.col("_s").eqNullSafe(F.col("_s3")))
+    offset = seeded + F.col("_j") * STRIDE - F.floor(seeded + F.col("_j") * STRIDE)
+    return rows.withColumn("copies", crossed(offset)).drop(
+        "_class", "_s", "_c", "_blocks", "_block", "_inside", "_s2", "_c2", "_b2", "_before", "_place", "_s3", "_j"
     )
 
 
@@ -137,13 +151,16 @@ r AS (
 l AS (SELECT max((budget - coalesce(spent, 0)) / w_left) AS level FROM r WHERE (budget - coalesce(spent, 0)) / w_left <= cap / w),
 t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT level FROM l), 1e300)) AS target FROM r),
 p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
     row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, d.doc_id) AS place,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS each,
     ('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  ((floor(place * each + u) - floor((place - 1) * each + u))::BIGINT) * size AS taken,
-  (floor(place * each + u) - floor((place - 1) * each + u))::BIGINT AS copies
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+c AS (
+  SELECT *, floor(place * each + v) - floor((place - 1) * each + v) AS copies
+  FROM (SELECT *, u + j * 0.6180339887498949::DOUBLE - floor(u + j * 0.6180339887498949::DOUBLE) AS v FROM p, range(16) r(j))),
+s16 AS (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS miss FROM c GROUP BY 1, 2),
+best AS (SELECT source, arg_min(j, {'m': miss, 'j': j}) AS j FROM s16 GROUP BY source)
+SELECT doc_id, size, source_size, target, copies::BIGINT * size AS taken, copies::BIGINT AS copies
+FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.j = best.j
 """
