@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrastrat.operators import kernels, metric, points, select
+from terrastrat.operators import emission, kernels, metric, points, select
 from terrastrat.plans import adapters as A
 from terrastrat.plans.events import _SEG, _segments
 from terrastrat.plans.registry import register
@@ -130,3 +130,40 @@ def mass_marginal_choice(spark: SparkSession, folder: str) -> DataFrame:
     steps = ranked.agg(credit.alias("s")).select(F.explode("s").alias("s")).select("s.mass", "s.credit")
     rows = select.largest_mass(steps, 0.1)
     return rows.select("mass", F.round("credit", 6).alias("credit"), F.round("marginal", 6).alias("marginal"), "worth", "chosen")
+
+
+@register(
+    "chain_segments",
+    A.sql(
+        "pts",
+        _SEG + """,
+ends AS (SELECT id, cx + e * ux * 6 AS x, cy + e * uy * 6 AS y, ux, uy FROM seg, (VALUES (-1.0::DOUBLE), (1.0::DOUBLE)) v(e)),
+j AS (SELECT p.id AS a, q.id AS b, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS d FROM ends p JOIN ends q
+  ON p.id < q.id AND abs(p.x - q.x) <= 1.5 AND abs(p.y - q.y) <= 1.5 AND abs(p.ux * q.ux + p.uy * q.uy) >= cos(radians(15)))
+SELECT a, b, round(min(d), 6) AS gap FROM j WHERE d <= 1.5 GROUP BY 1, 2""",
+    ),
+)
+def chain_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of segments whose ends nearly meet along one axis."""
+    return emission.chains(_segments(spark, folder), 1.5, 15.0).select("a", "b", F.round("gap", 6).alias("gap"))
+
+
+@register("marginal_emission")
+def marginal_emission(spark: SparkSession, folder: str) -> DataFrame:
+    """Dots chosen by what they add to the expected credit, until the bar."""
+    belief = A.cells(spark, folder).select("row", "col", F.least(F.col("n") / 16.0, F.lit(0.95)).alias("pi"))
+    return emission.emit(belief, mass=3000.0, bar=0.6)
+
+
+@register(
+    "expected_credit",
+    A.sql(
+        "cells pred kern",
+        """,
+cover AS (SELECT p.row + i AS row, p.col + j AS col, max(k) AS k FROM pred p, kern GROUP BY 1, 2)
+SELECT round(sum(least(n / 16.0::DOUBLE, 0.95::DOUBLE) * coalesce(k, 0)), 6) AS credit FROM cells LEFT JOIN cover USING (row, col)""",
+    ),
+)
+def expected_credit(spark: SparkSession, folder: str) -> DataFrame:
+    belief = A.cells(spark, folder).select("row", "col", F.least(F.col("n") / 16.0, F.lit(0.95)).alias("pi"))
+    return emission.expected_credit(belief, A.pred(spark, folder)).select(F.round("credit", 6).alias("credit"))

@@ -224,3 +224,26 @@ def test_thinning_keeps_the_largest_of_a_window(spark):
     rows = [(1, 0, 0, day, 1.0), (2, 0, 0, 2 * day, 2.0), (3, 0, 0, 100 * day, 0.5), (4, 0, 0, 101 * day, 1.5)]
     df = spark.createDataFrame(rows, "id long, x long, y long, t_us long, mag double")
     assert {r.id for r in catalog.sequence_thin(df, 250, 90).collect()} == {2, 4}
+
+
+def test_emission_in_rounds_equals_the_sequential_rule(spark):
+    """Greedy by changing gains, on a field where the order of far dots can't matter."""
+    from terrastrat.operators import emission
+
+    r = random.Random(11)
+    belief = {(i, j): r.random() for i in range(14) for j in range(14)}
+    rows = [(i, j, p) for (i, j), p in belief.items()]
+    got = {(x.row, x.col) for x in emission.emit(cells(spark, rows, "row long, col long, pi double"), mass=50.0, bar=1.0).collect()}
+    near = [(i, j, max(0.0, 1 - math.hypot(i, j) / 3)) for i in range(-3, 4) for j in range(-3, 4)]
+    cover, want, blocked = dict.fromkeys(belief, 0.0), set(), set()
+    while True:
+        gain = {c: sum(belief[c[0] + i, c[1] + j] * max(k - cover[c[0] + i, c[1] + j], 0) for i, j, k in near if (c[0] + i, c[1] + j) in belief) for c in belief if c not in blocked}
+        best = min(gain, key=lambda c: (-round(gain[c], 9), c), default=None)
+        if best is None or gain[best] <= 1.0:
+            break
+        want.add(best)
+        for i, j, k in near:
+            if (c := (best[0] + i, best[1] + j)) in cover:
+                cover[c] = max(cover[c], k)
+        blocked |= {(best[0] + i, best[1] + j) for i in range(-2, 3) for j in range(-2, 3)}
+    assert got == want
