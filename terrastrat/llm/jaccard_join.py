@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastrat.llm import linking, shingles
-from terrastrat.session import cut, small_join
+from terrastrat.session import cut, small_batches, small_join
 
 THRESHOLD, RECALL = 0.8, 0.999
 POSITIONS, SEED = 64, 4_211
@@ -127,7 +127,8 @@ def match(documents: DataFrame, key: str = "doc_id", text: str = "text", thresho
     are told apart by rid, and null keys come last among least ones. An empty table gives an empty one.
     buckets_of: gives candidate buckets ``(bucket, id)`` of ``(id, sig)`` in place of chosen paths.
     """
-    rows = cut(distinct_sets(documents, key, text))
+    with small_batches(documents.sparkSession):
+        rows = cut(distinct_sets(documents, key, text))
     sets = rows.groupBy("k1", "k2").agg(
         F.count("*").alias("weight"),
         F.min("rid").alias("id"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from terrastrat.llm import shingles
 from terrastrat.operators.graph import connected_components
-from terrastrat.session import cut, small_join
+from terrastrat.session import cut, small_batches, small_join
 
 #: Ids of a tile: where sketches are compared, and where whole shingle sets are.
 SKETCH_TILE, TILE = 1024, 512
@@ -91,7 +91,7 @@ def pairs_of(begin: np.ndarray, side: np.ndarray):
         yield np.concatenate(held_a), np.concatenate(held_b)
 
 
-def by_block(batches, weigh, limit: int = 24 << 20):
+def by_block(batches, weigh, limit: int = 8 << 20):
     """Whole blocks of rows sorted by their first column, gathered to about *limit* bytes of *weigh*."""
     held, size = [], 0
     for batch in batches:
@@ -130,16 +130,13 @@ def likely_links(members: DataFrame, sketches: DataFrame, lanes: int, least: flo
             key, side, ids = (table.column(i).to_numpy() for i in range(3))
             data = b"".join(x.as_py() for x in table.column(3))
             sketch = np.frombuffer(data, np.uint8).reshape(len(key), lanes)
-            found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in pairs_of(starts(key), side):
-                for k in range(0, len(a), 8192):
-                    i, j = a[k : k + 8192], b[k : k + 8192]
-                    ok = (sketch[i] == sketch[j]).sum(axis=1) >= need
-                    found_a.append(i[ok])
-                    found_b.append(j[ok])
             # positions of one id in several blocks are one node
             names, node = np.unique(ids, return_inverse=True)
-            x, y = forest(len(names), node[np.concatenate(found_a)], node[np.concatenate(found_b)])
+            x = y = np.zeros(0, np.int64)
+            for a, b in pairs_of(starts(key), side):
+                found = np.concatenate([(sketch[a[k : k + 8192]] == sketch[b[k : k + 8192]]).sum(axis=1) >= need for k in range(0, len(a), 8192)])
+                # links are kept as a forest from step to step, never all at once
+                x, y = forest(len(names), np.concatenate([x, node[a[found]]]), np.concatenate([y, node[b[found]]]))
             yield pa.RecordBatch.from_arrays([pa.array(names[x]), pa.array(names[y])], names=["src", "dst"])
 
     return rows.mapInArrow(compare, "src long, dst long")
@@ -246,7 +243,8 @@ def groups(likely: DataFrame, sets_of, threshold: float, tile: int = TILE) -> tu
 
     sets_of: takes clusters ``(id, cluster)`` and gives them with ``weight`` and ``shingles``.
     """
-    clusters = connected_components(likely).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    counts, forest_edges = exact_links(sets_of(clusters), threshold, tile)
-    counts = counts.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows"))
-    return cut(counts), connected_components(forest_edges).select(F.col("node").alias("id"), "component")
+    with small_batches(likely.sparkSession):
+        clusters = connected_components(likely).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+        counts, forest_edges = exact_links(sets_of(clusters), threshold, tile)
+        counts = cut(counts.groupBy("id").agg(F.sum("links").alias("links"), F.sum("linked_rows").alias("linked_rows")))
+        return counts, connected_components(forest_edges).select(F.col("node").alias("id"), "component")

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.llm.tokencount import vocabulary_path
-from terrastrat.session import cut, small_join
+from terrastrat.session import cut, small_batches, small_join
 
 WINDOW, END = 2048, 1
 #: Pieces of one length are ranked in lots of about LOT_ROWS, at most LOTS of them.
@@ -143,7 +143,8 @@ def pack(documents: DataFrame, key: str = "doc_id", text: str = "text", window:
     empty table gives an empty result. The pieces (some 60 bytes each, no ids) are written to the
     shared folder before ranking. The driver sees one count for each length, at most *window* numbers.
     """
-    cutted = cut(cut_pieces(documents, key, text, window, name))
+    with small_batches(documents.sparkSession):
+        cutted = cut(cut_pieces(documents, key, text, window, name))
     histogram = {r["length"]: r["count"] for r in cutted.groupBy("length").count().collect()}
     lots = max(1, min(LOTS, -(-max(histogram.values(), default=0) // LOT_ROWS)))
     plan = places(plan_windows(histogram, window))

@@ -11,7 +11,7 @@ import numpy as np
 
 WIDTH = 5
 #: Texts are handled in runs of about this many bytes; one longer text makes a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 _R = np.uint64(0x9E3779B97F4A7C15 | 1)
 _R_INV = np.uint64(pow(int(_R), -1, 1 << 64))
 _GAP = np.zeros(256, bool)
