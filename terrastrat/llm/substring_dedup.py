@@ -16,13 +16,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.llm import linking, shingles
-from terrastrat.session import cut, small_join, written
+from terrastrat.session import cut, small_batches, small_join, written
 
 THRESHOLD, SEED = 0.8, 90_001
 #: A sentence of so many words ends a piece; repeated passages of fewer than MIN_PASSAGE words are let be.
 SENTENCE, MIN_PASSAGE = 6, 25
 #: Lanes of the sketches that colliding pieces are compared by, and the share that must agree.
 LANES, LIKELY = 64, 0.6
+#: Repeated pieces' names (one long each) are broadcast up to so many; beyond it the join is shuffled.
+NODES = 1_500_000
 
 
 def tune(recall: float = 0.999, pieces: int = 3, threshold: float = THRESHOLD, largest: int = 32) -> tuple[int, int]:
@@ -148,15 +150,16 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     Repeated rows are occurrences like any others. An empty table gives an empty result.
     """
     bands = [f"b{i}" for i in range(BANDS)]
-    table = written(pieces(documents, key, text))
+    with small_batches(documents.sparkSession):
+        table = written(pieces(documents, key, text))
     keyed = table.select("u", F.explode(F.array(*bands)).alias("bucket"))
     met = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
     met = written(met.filter("n > 1"))
     near_keys = cut(met.filter("low <> high").select("bucket"))
     near = written(small_join(keyed, near_keys, "bucket").select("bucket", "u").distinct())
-    nodes = met.filter("low = high").select(F.col("low").alias("u")).unionByName(near.select("u")).distinct()
-    # the one join that all pieces take part in: shuffled at every size, since nodes grow with the corpus
-    spots = written(table.select("u", "key", "h", "rid", "at", "stop", "words").join(nodes.hint("merge"), "u"))
+    nodes = cut(met.filter("low = high").select(F.col("low").alias("u")).unionByName(near.select("u")).distinct())
+    # the one join that all pieces take part in; its other side is a single number a row
+    spots = written(small_join(table.select("u", "key", "h", "rid", "at", "stop", "words"), nodes, "u", rows=NODES))
     components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
     spots = written(small_join(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
