@@ -33,11 +33,13 @@ class Vocabulary:
         self.read(path)
         self.bytes_of = {i: t for t, i in self.ids.items()}
         self.letters = [self.ids[bytes([b])] for b in range(256)]
-        self.words = regex.compile(WORDS)
+        self.words, self.blanks = regex.compile(WORDS), regex.compile(r"\p{White_Space}*")
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         # only tokens that their own bytes encode to can stand in an encoding
         self.reachable = {t: i for t, i in self.ids.items() if self.encode(t) == [i]}
         self.longest = max(map(len, self.reachable))
+        self.parts = {new: (a, b, rank) for (a, b), (rank, new) in self.merges.items()}
+        self.edges: tuple[dict, dict] = ({}, {})
         self.pairs: dict[int, bool] = {}
         self.counts: dict[str, bytes | tuple] = {}
         self.totals: dict[str, int] = {}
@@ -55,6 +57,10 @@ class Vocabulary:
             a, b = raw(a), raw(b)
             self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
 
+    def blank(self, word: str) -> int:
+        """How many characters of white space, as Unicode defines it, a word begins with."""
+        return self.blanks.match(word).end()
+
     def encode(self, word: bytes) -> list[int]:
         """Ids of one word by merging the pair of least rank first."""
         ids = [self.letters[b] for b in word]
@@ -65,25 +71,54 @@ class Vocabulary:
             ids[best[2] : best[2] + 2] = [best[1]]
         return ids
 
+    def edge(self, token: int, right: bool) -> list[tuple[int, float]]:
+        """The parts of a token that stand at its right or left end while it is built, each with the rank that ends it."""
+        known = self.edges[right].get(token)
+        if known is None:
+            known, part = [(token, float("inf"))], token
+            while part in self.parts:
+                left, other, rank = self.parts[part]
+                part = other if right else left
+                known.append((part, rank))
+            self.edges[right][token] = known
+        return known
+
     def fit(self, a: int, b: int) -> bool:
+        """Whether encoding the joined bytes of two tokens gives them back.
+
+        Until a merge crosses the border each side is built as it is alone. One crosses if two parts
+        that stand at the border at one time have a merge that comes before either is merged inwards;
+        of equal ranks the left place comes first.
+        """
         key = a << 32 | b
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= MEMO_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.encode(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            get, known = self.merges.get, True
+            for x, x_end in self.edge(a, True):
+                for y, y_end in self.edge(b, False):
+                    merge = get((x, y))
+                    if merge is not None and merge[0] < x_end and merge[0] <= y_end:
+                        known = False
+            self.pairs[key] = known
         return known
 
     def word_counts(self, word: bytes) -> list[int]:
         """Exact token count of every byte prefix of one word, entry 0 being 0."""
-        n, get, longest = len(word), self.reachable.get, self.longest
+        n, get, longest, pairs, fit = len(word), self.reachable.get, self.longest, self.pairs, self.fit
         last, count = [0] * (n + 1), [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
+            for start in range(end - longest if end > longest else 0, end):
                 token = get(word[start:end])
-                if token is not None and (not start or self.fit(last[start], token)):
-                    last[end], count[end] = token, count[start] + 1
-                    break
+                if token is None:
+                    continue
+                if start:
+                    known = pairs.get(last[start] << 32 | token)
+                    if not (fit(last[start], token) if known is None else known):
+                        continue
+                last[end], count[end] = token, count[start] + 1
+                break
         return count
 
     def _learn(self, words) -> None:
@@ -135,13 +170,10 @@ class Vocabulary:
                     self._learn([w])
                 steps = np.cumsum([len(c.encode()) for c in w]) if not w.isascii() else np.arange(1, len(w) + 1)
                 own = base + np.asarray(list(self.counts[w]), np.int64)[steps]
-                if w.isspace() or w[0].isspace():
-                    blank = len(w) - len(w.lstrip())
-                    for k in range(1, blank + 1):
-                        own[k - 1] = run_base + self.word_counts((run + w[:k]).encode())[-1]
-                    run = run + w if blank == len(w) else ""
-                else:
-                    run = ""
+                blank = self.blank(w)
+                for k in range(1, blank + 1):
+                    own[k - 1] = run_base + self.word_counts((run + w[:k]).encode())[-1]
+                run = run + w if blank == len(w) else ""
                 if len(w) == 3 and w in ("'re", "'ve", "'ll"):
                     own[1] = base + 2  # without its last letter it is a mark and a letter
                 part.append(own)

@@ -64,7 +64,7 @@ def truncation(v, text: str, limit: int) -> int:
             return mark[0] + int((tail + mark[1] <= limit).nonzero()[0][-1])
         n += c
         at = m.end()
-        if not w.isspace():
+        if v.blank(w) < len(w):
             mark = (at, n)
     return at
 
