@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import DataFrame
@@ -26,21 +27,25 @@ def expected_credit(belief: DataFrame, dots: DataFrame, radius: float = 3.0) ->
     return belief.join(cover, ["row", "col"], "left").agg(F.sum(F.col("pi") * F.coalesce("cover", F.lit(0.0))).alias("credit"))
 
 
-def emit(belief: DataFrame, mass: float, bar: float | None = None, spacing: int = 2, rounds: int = 30) -> DataFrame:
+#: So many rounds of dots are united before they are cut from their lineage.
+MERGE = 20
+
+
+def emit(belief: DataFrame, mass: float, bar: float | None = None, spacing: int = 2, rounds: int | None = None) -> DataFrame:
     """Dots ``(row, col, gain, round)`` chosen in rounds while their gain exceeds the bar.
 
     In a round every cell takes part whose gain is the largest within six cells, where dots can affect
     each other; so each round equals the sequential rule on independent neighbourhoods. The bar is
     *bar*, or else alpha times the score so far under a truth mass of *mass*. Cells within *spacing* of a
-    dot are out. Rounds end when no cell passes; dots beyond *rounds* are left, which the caller can
-    continue from.
+    dot are out. Rounds end when no cell passes, which they must, as each takes a dot; equal gains are
+    taken by row and col, as the sequential rule does. Raises if cells still pass after *rounds*.
     """
     spark = belief.sparkSession
     belief = cut(belief.select("row", "col", F.col("pi").cast("double").alias("pi")))
     covered = spark.createDataFrame([], "row long, col long, cover double")
     dots, blocked, credit, n = None, None, 0.0, 0
     reach = square(6)
-    for number in range(1, rounds + 1):
+    for number in itertools.count(1):
         least = bar if bar is not None else ALPHA * credit / max(ALPHA * n + (1 - ALPHA) * mass, 1e-9)
         g = gains(belief, covered).join(belief.select("row", "col"), ["row", "col"], "left_semi").filter(F.col("gain") > max(least, 1e-9))
         if blocked is not None:
@@ -48,14 +53,18 @@ def emit(belief: DataFrame, mass: float, bar: float | None = None, spacing: int
         g = cut(g.withColumn("_key", F.struct((-F.round("gain", 9)).alias("g"), "row", "col")))
         best = spread(g, reach, ["_key"]).groupBy("row", "col").agg(F.min("_key").alias("_m"))
         new = cut(g.join(best, ["row", "col"]).filter("_key = _m").select("row", "col", "gain", F.lit(number).cast("long").alias("round")))
-        if new.isEmpty():
+        total, count = new.agg(F.sum("gain"), F.count("*")).first()
+        if not count:
             break
+        if rounds is not None and number > rounds:
+            raise RuntimeError(f"cells still pass the bar after {rounds} rounds")
         dots = new if dots is None else dots.unionByName(new)
+        if number % MERGE == 0:
+            dots = cut(dots.coalesce(MERGE))
         fresh = spread(new, disc(3.0), []).select("row", "col", F.col("k").alias("cover"))
         covered = cut(covered.unionByName(fresh).groupBy("row", "col").agg(F.max("cover").alias("cover")))
         out = spread(new, square(spacing), []).select("row", "col").distinct()
         blocked = cut(out if blocked is None else blocked.unionByName(out).distinct())
-        total, count = new.agg(F.sum("gain"), F.count("*")).first()
         credit, n = credit + total, n + count
     return belief.select("row", "col", F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("round")).limit(0) if dots is None else dots
 

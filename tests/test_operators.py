@@ -247,3 +247,15 @@ def test_emission_in_rounds_equals_the_sequential_rule(spark):
                 cover[c] = max(cover[c], k)
         blocked |= {(best[0] + i, best[1] + j) for i in range(-2, 3) for j in range(-2, 3)}
     assert got == want
+
+
+def test_emission_goes_on_until_no_cell_passes(spark):
+    """Equal gains along a strip are taken in a wave, one dot a round; none is dropped at a bound."""
+    import inspect
+
+    from terrastrat.operators import emission
+
+    strip = cells(spark, [(0, j, 0.95) for j in range(16)], "row long, col long, pi double")
+    with pytest.raises(RuntimeError):
+        emission.emit(strip, mass=50.0, bar=0.6, rounds=1)
+    assert inspect.signature(emission.emit).parameters["rounds"].default is None
