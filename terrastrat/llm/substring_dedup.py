@@ -28,7 +28,7 @@ NODES = 1_500_000
 
 
 def tune(recall: float = 0.999, pieces: int = 3, threshold: float = THRESHOLD, largest: int = 32) -> tuple[int, int]:
-    """(bands, rows): the fewest values to join by which a passage of *pieces* pieces, each at the threshold, is met.
+    """(bands, rows): the fewest values to join by which one of *pieces* pieces, each at the threshold, is met.
 
     Fewest bands first, as each is a row to shuffle for every piece; then the most rows.
     """
@@ -39,7 +39,8 @@ def tune(recall: float = 0.999, pieces: int = 3, threshold: float = THRESHOLD, l
     raise ValueError("no banding reaches the recall")
 
 
-BANDS, ROWS = tune()
+#: Only pieces that meet are marked, so every single one has to.
+BANDS, ROWS = tune(pieces=1)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
 

@@ -260,6 +260,25 @@ def test_planted_passages_are_found_and_clean_documents_are_not(spark):
     assert all(len(left[k]) < len(text[k]) for k in gone)
 
 
+def test_near_passages_are_met_piece_by_piece(spark):
+    """Edited copies of one sentence and of three, all at the threshold by brute force, are found whole."""
+    r = random.Random(5)
+    rows, passages = [], 0
+    for sentences in (1, 3):
+        for _ in range(200):
+            words = [f"w{r.randrange(10**9)}" for _ in range(50 * sentences)]
+            edited = list(words)
+            for i in range(sentences):
+                edited[50 * i + r.randrange(5, 45)] = f"e{r.randrange(10**9)}"
+                words[50 * i + 49] = edited[50 * i + 49] = f"end{r.randrange(10**9)}."
+                assert plain.jaccard(*(plain.shingle_set(" ".join(x[50 * i : 50 * i + 50])) for x in (words, edited))) >= 0.8
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited))]
+            passages += 1
+    spans = {(x.doc_id, x.start, x.end) for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = sum((k, 0, len(t)) in spans for k, t in rows if k % 2)
+    assert whole >= 0.995 * passages, f"{whole} of {passages}"
+
+
 def test_passages_of_odd_rows(spark, odd_folder, none_folder):
     assert substring_dedup.op8_repeated_passages(spark, odd_folder).count() > 0
     assert substring_dedup.op8_repeated_passages(spark, none_folder).count() == 0
