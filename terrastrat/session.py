@@ -47,14 +47,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """As :func:`cut`, as a compressed columnar table, for rows too many or too wide for a checkpoint.
 
-    The table goes when the application ends.
+    codec: of the Parquet files, the session's own if not given. The table goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

@@ -143,6 +143,17 @@ def test_written_shards_keep_whole_records(spark, odd, tmp_path):
     assert sorted(map(key, back.collect())) == sorted(map(key, odd.select("doc_id", "text").collect()))
 
 
+def test_shards_of_the_query_hold_the_texts(spark, odd_folder, odd_rows, monkeypatch):
+    folders, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda *a, **k: folders.append(a[3]) or write(*a, **k))
+    rows = sharding.op2_external_shuffle(spark, odd_folder).collect()
+    assert len(folders) == 1
+    back = spark.read.parquet(folders[0]).select("doc_id", "text", "shard", "slot", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc")).collect()
+    assert {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in rows} == {(r.doc_id, r.crc, r.shard, r.slot) for r in back}
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(key, back)) == sorted(map(key, odd_rows))
+
+
 def test_targets_fill_by_weight_up_to_their_cap():
     assert plain.targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
 
