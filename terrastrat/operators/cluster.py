@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +37,49 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     return p.select("id").join(known, "id", "left").select("id", F.coalesce("core", F.lit(False)).alias("core"), "cluster")
 
 
-def aftershock_windows(events: DataFrame, reach_km=lambda m: 10 ** (0.1238 * m + 0.983), days=lambda m: np.where(m >= 6.5, 10 ** (0.032 * m + 2.7389), 10 ** (0.5409 * m - 0.547))) -> DataFrame:
+def aftershock_windows(events: DataFrame, max_rounds: int = 500) -> DataFrame:
     """``(id, parent)`` by magnitude-dependent windows, the largest event first; mainshocks have a null parent.
 
-    Events ``(id, x, y, t_days, mag)`` in km. Windows reach both ways in time. Only events joined by
-    some window can affect each other, so the sequential rule runs within components of that graph.
+    Events ``(id, x, y, t_days, mag)`` in km; windows reach both ways in time and only to smaller events
+    (later ids among equals). The sequential rule is found in rounds: an undecided event that no undecided
+    larger one reaches is a mainshock, or belongs to the first mainshock that reaches it; what a mainshock
+    reaches is decided as soon as no larger undecided event reaches it. Events meet by distance in
+    classes of half a magnitude, each with its own reach, so one large shock doesn't widen all joins.
+    Raises if *max_rounds* do not suffice.
     """
     e = cut(events.select("id", "x", "y", "t_days", "mag"))
-    top = e.agg(F.max("mag")).first()[0]
-    if top is None:
-        return e.select("id", F.col("id").alias("parent"))
-    reach = float(reach_km(top))
-    m, r = F.col("mag"), F.pow(F.lit(10.0), 0.1238 * F.col("mag") + 0.983)
-    window = F.when(m >= 6.5, F.pow(F.lit(10.0), 0.032 * m + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * m - 0.547))
-    pairs = radius_join(e, e, reach).filter((F.col("id") != F.col("n_id")) & (F.col("d") <= r) & (F.abs(F.col("t_days") - F.col("n_t_days")) <= window))
-    parts = connected_components(pairs, "id", "n_id").withColumnRenamed("node", "id")
-    joined = e.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def largest_first(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["mag", "id"], ascending=[False, True], ignore_index=True)
-        x, y, t, mag, ids = (pdf[c].to_numpy() for c in ("x", "y", "t_days", "mag", "id"))
-        parent = np.full(len(pdf), -1, np.int64)
-        for i in range(len(pdf)):
-            if parent[i] >= 0:
-                continue
-            hit = (np.hypot(x - x[i], y - y[i]) <= reach_km(mag[i])) & (np.abs(t - t[i]) <= days(mag[i])) & (parent < 0)
-            hit[: i + 1] = False
-            parent[hit] = ids[i]
-        return pd.DataFrame({"id": ids, "parent": pd.array(np.where(parent < 0, None, parent), "Int64")})
-
-    return joined.groupBy("component").applyInPandas(largest_first, "id long, parent long")
+    m = F.col("mag")
+    days = F.when(m >= 6.5, F.pow(F.lit(10.0), 0.032 * m + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * m - 0.547))
+    pairs = None
+    for (low,) in e.dropna().select(F.floor(m * 2) / 2).distinct().collect():  # a few dozen classes of magnitude
+        own = e.filter((m >= low) & (m < low + 0.5)).withColumn("reach", F.pow(F.lit(10.0), 0.1238 * m + 0.983)).withColumn("days", days)
+        met = radius_join(own, e.filter(m < low + 0.5), 10 ** (0.1238 * (low + 0.5) + 0.983))
+        met = met.filter((F.col("d") <= F.col("reach")) & (F.abs(F.col("t_days") - F.col("n_t_days")) <= F.col("days")))
+        met = met.filter((m > F.col("n_mag")) | ((m == F.col("n_mag")) & (F.col("id") < F.col("n_id")))).select("id", "mag", "n_id")
+        pairs = met if pairs is None else pairs.unionByName(met)
+    if pairs is None:
+        return e.select("id", F.col("id").alias("parent")).withColumn("parent", F.lit(None).cast("long"))
+    pairs = cut(pairs)
+    reached = pairs.select(F.col("n_id").alias("id")).distinct()
+    # (id, parent) decided in this round; those that nothing reaches are mainshocks
+    fresh = cut(e.join(reached, "id", "left_anti").select("id", F.lit(None).cast("long").alias("parent")))
+    done = fresh
+    # open pairs: of undecided targets; state says whether the source is a mainshock, or not yet known
+    left = pairs.withColumn("main", F.lit(False))
+    for _ in range(max_rounds):
+        known = fresh.select("id", F.col("parent").isNull().alias("is_main"))
+        left = left.join(known, "id", "left").filter(F.coalesce("is_main", F.lit(True)))
+        left = cut(left.select("id", "mag", "n_id", (F.col("main") | F.coalesce("is_main", F.lit(False))).alias("main")))
+        targets = e.join(done, "id", "left_anti").select("id")
+        if targets.isEmpty():
+            return done
+        first = F.min(F.struct((-F.col("mag")).alias("m"), "id", "main")).alias("first")
+        heads = left.groupBy(F.col("n_id").alias("id")).agg(first)
+        heads = targets.join(heads, "id", "left").filter("first is null or first.main")
+        fresh = cut(heads.select("id", F.col("first.id").alias("parent")))
+        done = cut(done.unionByName(fresh))
+        left = left.join(fresh.select(F.col("id").alias("n_id")), "n_id", "left_anti")
+    raise RuntimeError(f"events are left undecided after {max_rounds} rounds")
 
 
 def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, tolerance: float = 1e-9) -> dict[str, float]:

@@ -86,10 +86,10 @@ def step_kernels(azimuths: int, length: int, width: int) -> dict[int, Offsets]:
 
 
 def matched_step(cells: DataFrame, value: str, azimuths: int = 6, length: int = 3, width: int = 2) -> DataFrame:
-    """``(row, col, response, azimuth)``: the strongest oriented step, the first of equals."""
+    """``(row, col, response, azimuth)``: the strongest oriented step, the first of equals; cells that don't exist count 0."""
     kernels = step_kernels(azimuths, length, width)
     table, sums = weighted({f"r{a}": o for a, o in kernels.items()}, value)
-    got = gather(cells, table, sums, [value], within=cells)
+    got = gather(cells, table, sums, [value], within=cells).na.fill(0.0, [f"r{a}" for a in kernels])
     best = F.array_max(F.array(*[F.struct(F.round(F.abs(f"r{a}"), 9).alias("v"), F.lit(-a).alias("a")) for a in kernels]))
     return got.withColumn("_b", best).select("row", "col", F.col("_b.v").alias("response"), (-F.col("_b.a")).cast("long").alias("azimuth"))
 

@@ -30,6 +30,14 @@ def average_ranks(df: DataFrame, value: str, out: str, order: list) -> DataFrame
 
 
 def percentiles(df: DataFrame, value: Column, at: list[float], names: list[str]) -> DataFrame:
-    """One row of exact interpolated percentiles."""
-    q = F.percentile(value, F.array(*map(F.lit, at)))
-    return df.agg(q.alias("_q")).select(*[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    """One row of exact interpolated percentiles, nulls left out: rows are numbered and those at the two places picked."""
+    rows = numbered(df.select(value.cast("double").alias("_v")).dropna(), F.asc("_v"), out="_rn")
+    n = rows.agg(F.count("*").alias("_n"))
+    spot = F.array(*[F.struct((F.lit(q) * (F.col("_n") - 1)).alias("p"), F.lit(i).alias("i")) for i, q in enumerate(at)])
+    spots = n.select(F.explode(spot).alias("s")).select("s.i", F.floor("s.p").alias("lo"), (F.col("s.p") - F.floor("s.p")).alias("f"))
+    low = F.max(F.when(F.col("_rn") == F.col("lo") + 1, F.col("_v")))
+    high = F.max(F.when(F.col("_rn") == F.col("lo") + 2, F.col("_v")))
+    met = rows.join(F.broadcast(spots), (F.col("_rn") >= F.col("lo") + 1) & (F.col("_rn") <= F.col("lo") + 2))  # as many rows as places
+    met = met.groupBy("i").agg(low.alias("lo"), high.alias("hi"), F.max("f").alias("f"))
+    q = F.when((F.col("f") == 0) | F.col("hi").isNull(), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("f")) + F.col("hi") * F.col("f"))
+    return met.select("i", q.alias("q")).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])

@@ -64,7 +64,7 @@ w AS (SELECT * FROM {_G15} v(i, k)),
 p AS (SELECT row + i AS row, col, sum(gx * gx * k) AS a, sum(gx * gy * k) AS b, sum(gy * gy * k) AS c FROM grad, w GROUP BY 1, 2),
 q AS (SELECT row, col + i AS col, sum(a * k) AS a, sum(b * k) AS b, sum(c * k) AS c FROM p, w GROUP BY 1, 2),
 e AS (SELECT row, col, (a + c) / 2 AS m, sqrt(pow((a - c) / 2, 2) + b * b) AS h FROM q JOIN cells USING (row, col))
-SELECT row, col, round(h / m, 5) AS coherence, round(h / m * sqrt(m + h), 4) AS saliency FROM e""",
+SELECT row, col, CASE WHEN m = 0 THEN 0 ELSE round(h / m, 5) END AS coherence, CASE WHEN m = 0 THEN 0 ELSE round(h / m * sqrt(m + h), 4) END AS saliency FROM e""",
     ),
 )
 def structure_tensor_coherence(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,7 +118,7 @@ _STEPS = _values([(a, i, j, w) for a, o in fields.step_kernels(6, 3, 2).items()
         f""",
 o AS (SELECT * FROM {_STEPS} v(a, i, j, w)),
 m AS (SELECT c.row, c.col, a, round(abs(sum(n.b2 * w)), 9) AS r FROM cells c CROSS JOIN o JOIN cells n ON n.row = c.row + i AND n.col = c.col + j GROUP BY 1, 2, 3)
-SELECT row, col, round(max(r) + 1e-8::DOUBLE, 6) AS response FROM m GROUP BY 1, 2""",
+SELECT c.row, c.col, round(coalesce(max(r), 0) + 1e-8::DOUBLE, 6) AS response FROM cells c LEFT JOIN m USING (row, col) GROUP BY 1, 2""",
     ),
 )
 def matched_step_filter(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,8 +9,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Above this many rows a side is never broadcast by :func:`small_join`.
-BROADCAST_ROWS = 400_000
+#: Above this many rows, or bytes of them, a side is never broadcast by :func:`small_join`.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 32 << 20
 
 
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
@@ -31,10 +31,12 @@ def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSe
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = current or "file://" + tempfile.mkdtemp(prefix="terrastrat-")
         if not current:
             spark.sparkContext.setCheckpointDir(folder)
@@ -42,16 +44,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: cuts lineage and survives lost executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage: *df* as a table in the shared folder, which survives lost executors.
 
+    A table's size estimate is that of its files, whereas a checkpoint keeps the estimate of the plan that
+    it replaces; in a loop of joins that one doubles its digits every round until the planner fails.
+    """
+    return written(df)
 
-def written(df: DataFrame, codec: str | None = None) -> DataFrame:
-    """As :func:`cut`, as a compressed columnar table, for rows too many or too wide for a checkpoint.
 
-    codec: of the Parquet files, the session's own if not given. The table goes when the application ends.
-    """
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
+    """As :func:`cut`; codec: of the Parquet files, the session's own if not given. The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path, compression=codec)
@@ -75,11 +77,24 @@ def small_batches(spark: SparkSession, size: str = "4m"):
         spark.conf.set(name, before)
 
 
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes) of *df*, bytes as unsafe rows take them, by one aggregate. Arrays count as their text does."""
+    width = F.lit(16 + 8 * len(df.columns))
+    for field in df.schema.fields:
+        kind = field.dataType.typeName()
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif kind in ("array", "map", "struct"):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`").cast("string")), F.lit(0))
+    rows, total = df.agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return rows, total or 0
+
+
 def small_join(left: DataFrame, right: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join in which *right* is broadcast only if it is counted to hold at most *rows* rows.
+    """Join in which *right* is broadcast only if it is measured to hold at most *rows* rows and BROADCAST_BYTES.
 
     *right* should be materialised (see :func:`cut`) and narrow. Beyond the bound both sides are
     shuffled and AQE may split skewed partitions.
     """
-    few = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
+    n, size = size_of(right)
+    return left.join(F.broadcast(right) if n <= rows and size <= BROADCAST_BYTES else right.hint("merge"), on, how)

@@ -259,3 +259,15 @@ def test_emission_goes_on_until_no_cell_passes(spark):
     with pytest.raises(RuntimeError):
         emission.emit(strip, mass=50.0, bar=0.6, rounds=1)
     assert inspect.signature(emission.emit).parameters["rounds"].default is None
+
+
+def test_components_of_a_shuffled_chain_settle_in_few_small_plans(spark):
+    """A chain of 5000 nodes in random order; estimates of the plan must not grow with the rounds."""
+    names = list(range(5000))
+    random.Random(3).shuffle(names)
+    edges = spark.createDataFrame([(names[i], names[i + 1]) for i in range(4999)] + [(9000, 9001), (9002, 9002), (None, 9003)], "src long, dst long")
+    found = connected_components(edges)
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(size).bit_length() < 256
+    got = {r.node: r.component for r in found.collect()}
+    assert got == {**dict.fromkeys(range(5000), 0), 9000: 9000, 9001: 9000, 9002: 9002}
