@@ -2,21 +2,25 @@
 
 The encoding of a prefix ends in exactly one token ``t`` such that ``t`` fits what the shorter prefix
 ends in: two tokens fit if encoding their joined bytes gives them back. So one pass over a word's
-bytes, keeping for each prefix its last token and its count, gives every prefix's exact count.
+bytes, keeping for each prefix its last token and its count, gives every prefix's exact count. New
+words of a run of texts take this pass together, one prefix length after the other.
 """
 
 from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
 
 #: The split pattern of this family of tokenizers (fixed value); white space as Unicode defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words remembered by a worker at most, and pairs of tokens; beyond it starts anew (results stay exact).
-MEMO_WORDS, MEMO_PAIRS = 300_000, 1_000_000
+#: Words remembered by a worker at most, and pairs of tokens; beyond it the older half goes (results stay exact).
+MEMO_WORDS, MEMO_PAIRS = 300_000, 2_000_000
+#: Bytes of words that take the pass together, and of one long word handled at a time.
+LONG, SLICE = 48, 1 << 16
 
 
 def _byte_letters() -> dict[str, int]:
@@ -26,6 +30,77 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_R = np.uint64(0x9E3779B97F4A7C15 | 1)
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _sums(text: np.ndarray) -> np.ndarray:
+    """Prefix sums of a polynomial over bytes, modulo 2**64."""
+    global _powers
+    if _powers.shape[1] <= len(text):
+        both = np.repeat(np.array([[_R], [pow(int(_R), -1, 1 << 64)]], np.uint64), len(text) + SLICE, axis=1)
+        both[:, 0] = 1
+        _powers = np.cumprod(both, axis=1, dtype=np.uint64)
+    out = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers[0, : len(text)], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def _windows(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes (not 0) of the bytes from start to end; windows of equal bytes have equal ones."""
+    h = (sums[end] - sums[start]) * _powers[1][start]
+    return h + (h == 0)
+
+
+def _steps(word: str) -> np.ndarray:
+    """Where the word's characters end in its bytes."""
+    if word.isascii():
+        return np.arange(1, len(word) + 1)
+    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+    return np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
+
+
+class Table:
+    """A map of 64-bit keys (not 0) to small numbers, asked and filled by whole arrays."""
+
+    def __init__(self, bits: int = 18):
+        self.bits, self.n = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values, -1 where a key is unknown."""
+        at = self._slot(keys)
+        there = self.keys[at]
+        out = np.where(there == keys, self.values[at], np.int32(-1))
+        todo = np.flatnonzero((there != keys) & (there != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[todo]]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.values[at[todo[hit]]]
+            todo = todo[~hit & (there != 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that are not in it."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            old = np.flatnonzero(self.keys)
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
+            self.__init__(max(self.bits, int(4 * len(keys)).bit_length()))
+        self.n += len(keys)
+        at, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = keys[free]  # of several that want one place one gets it
+            won = self.keys[at[todo]] == keys[todo]
+            self.values[at[todo[won]]] = values[todo[won]]
+            todo = todo[~won]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+
+
 class Vocabulary:
     """Ids by token bytes, merge ranks by pair of ids, and the special strings of a vocabulary file."""
 
@@ -40,9 +115,14 @@ class Vocabulary:
         self.longest = max(map(len, self.reachable))
         self.parts = {new: (a, b, rank) for (a, b), (rank, new) in self.merges.items()}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[int, bool] = {}
-        self.counts: dict[str, bytes | tuple] = {}
+        self.pairs = Table()
+        self.counts: dict[str, bytes] = {}
         self.totals: dict[str, int] = {}
+        self.tokens = Table()
+        text = np.frombuffer(b"".join(self.reachable), np.uint8)
+        ends = np.cumsum([len(t) for t in self.reachable])
+        starts = np.concatenate([[0], ends[:-1]])
+        self.tokens.put(_windows(_sums(text), starts, ends), np.array(list(self.reachable.values()), np.int32))
 
     def read(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -90,69 +170,120 @@ class Vocabulary:
         that stand at the border at one time have a merge that comes before either is merged inwards;
         of equal ranks the left place comes first.
         """
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= MEMO_PAIRS:
-                self.pairs.clear()
-            get, known = self.merges.get, True
-            for x, x_end in self.edge(a, True):
-                for y, y_end in self.edge(b, False):
-                    merge = get((x, y))
-                    if merge is not None and merge[0] < x_end and merge[0] <= y_end:
-                        known = False
-            self.pairs[key] = known
-        return known
+        get = self.merges.get
+        for x, x_end in self.edge(a, True):
+            for y, y_end in self.edge(b, False):
+                merge = get((x, y))
+                if merge is not None and merge[0] < x_end and merge[0] <= y_end:
+                    return False
+        return True
+
+    def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """:meth:`fit` of arrays of tokens; each pair is worked out once and remembered."""
+        keys = (a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)) + np.uint64(1)
+        found = self.pairs.get(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            pairs = (fresh - np.uint64(1)).tolist()
+            values = np.array([self.fit(k >> 32, k & 0xFFFFFFFF) for k in pairs], np.int32)
+            found[new] = values[back]
+            if self.pairs.n + len(fresh) > MEMO_PAIRS:
+                self.pairs = Table()
+            self.pairs.put(fresh, values)
+        return found > 0
 
-    def word_counts(self, word: bytes) -> list[int]:
+    def word_counts(self, word: bytes) -> np.ndarray:
         """Exact token count of every byte prefix of one word, entry 0 being 0."""
-        n, get, longest, pairs, fit = len(word), self.reachable.get, self.longest, self.pairs, self.fit
+        n, fit = len(word), lru_cache(1 << 16)(self.fit)
         last, count = [0] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                token = get(word[start:end])
-                if token is None:
-                    continue
-                if start:
-                    known = pairs.get(last[start] << 32 | token)
-                    if not (fit(last[start], token) if known is None else known):
-                        continue
-                last[end], count[end] = token, count[start] + 1
-                break
-        return count
+        sums = _sums(np.frombuffer(word, np.uint8))
+        for lo in range(0, n, SLICE):
+            stop = np.arange(lo + 1, min(lo + SLICE, n) + 1)
+            met = []
+            for length in range(1, min(self.longest, int(stop[-1])) + 1):
+                ends = stop[stop >= length]
+                token = self.tokens.get(_windows(sums, ends - length, ends))
+                hit = np.flatnonzero(token >= 0)
+                met.append(np.stack([ends[hit], np.full(len(hit), length), token[hit]]))
+            rows = np.concatenate(met, axis=1)
+            # longer tokens first: they are the likelier ones, and just one can stand at each end
+            rows = rows[:, np.lexsort((-rows[1], rows[0]))]
+            for end, length, token in zip(*rows.tolist(), strict=True):
+                if not count[end] and (end == length or fit(last[end - length], token)):
+                    last[end], count[end] = token, count[end - length] + 1
+        return np.array(count, np.int64)
 
-    def _learn(self, words) -> None:
+    def _together(self, words: list[str]) -> None:
+        """Prefix counts of words of at most LONG bytes: for every prefix length, all words at a time."""
+        data = [w.encode() for w in words]
+        order = sorted(range(len(words)), key=lambda i: -len(data[i]))
+        size = np.array([len(data[i]) for i in order])
+        sums = _sums(np.frombuffer(b"".join(data[i] for i in order), np.uint8))
+        base = np.concatenate([[0], np.cumsum(size)[:-1]])
+        longest, n = int(size[0]), len(words)
+        last, count = np.full((longest + 1, n), -1, np.int32), np.zeros((longest + 1, n), np.uint8)
+        active = n - np.searchsorted(size[::-1], np.arange(longest + 1))  # words of at least so many bytes come first
+        for end in range(1, longest + 1):
+            m = int(active[end])
+            at, open_ = base[:m], np.arange(m)
+            for start in range(max(0, end - self.longest), end):  # longer tokens first
+                token = self.tokens.get(_windows(sums, at[open_] + start, at[open_] + end))
+                hit = np.flatnonzero(token >= 0)
+                if start and len(hit):
+                    hit = hit[self.fits(last[start, open_[hit]], token[hit])]
+                if len(hit):
+                    who = open_[hit]
+                    last[end, who], count[end, who] = token[hit], count[start, who] + 1
+                    open_ = np.delete(open_, hit)
+                    if not len(open_):
+                        break
+        flat, width = np.ascontiguousarray(count.T).tobytes(), longest + 1
+        for k, i in enumerate(order):
+            c = flat[k * width : k * width + len(data[i]) + 1]
+            self.counts[words[i]], self.totals[words[i]] = c, c[-1]
+
+    def learn(self, words) -> None:
+        """Prefix counts of new words; longer ones are not remembered."""
         if len(self.totals) + len(words) > MEMO_WORDS:
-            self.totals.clear()
-            self.counts.clear()
-        for w in words:
-            c = self.word_counts(w.encode())
-            self.counts[w] = bytes(c) if c[-1] < 256 and max(c) < 256 else tuple(c)
-            self.totals[w] = c[-1]
+            self.totals = dict(islice(self.totals.items(), len(self.totals) // 2, None))
+            self.counts = {w: self.counts[w] for w in self.totals}
+        words = [w for w in words if len(w) <= LONG and len(w.encode()) <= LONG]
+        for lo in range(0, len(words), 1 << 15):
+            self._together(words[lo : lo + (1 << 15)])
+
+    def of_word(self, word: str) -> np.ndarray:
+        """Counts of a word's byte prefixes."""
+        known = self.counts.get(word)
+        return self.word_counts(word.encode()) if known is None else np.frombuffer(known, np.uint8).astype(np.int64)
 
     def pieces(self, text: str) -> list[str]:
         """The text cut at special strings, those included."""
         return [x for x in self.splitter.split(text) if x] if self.splitter and any(s in text for s in self.special) else [text] if text else []
 
+    def totals_of(self, texts: list[str]) -> list[tuple[int, list[str] | None, np.ndarray | None]]:
+        """(tokens, words, tokens of each word) of texts; words are None where special strings stand in a text."""
+        found = [[(None if x in self.special else self.words.findall(x)) for x in self.pieces(t)] for t in texts]
+        every = {w for pieces in found for words in pieces if words is not None for w in words}
+        self.learn(every.difference(self.totals))
+        self.learn(every.difference(self.totals))  # what went with the older half
+        other = {w: int(self.of_word(w)[-1]) for w in every.difference(self.totals)}  # long words
+        get = (self.totals if not other else {**{w: self.totals[w] for w in every if w in self.totals}, **other}).__getitem__
+        out = []
+        for pieces in found:
+            sizes = [np.fromiter(map(get, words), np.int64, len(words)) for words in pieces if words is not None]
+            n = sum(int(x.sum()) for x in sizes) + sum(words is None for words in pieces)
+            plain = len(pieces) == 1 and pieces[0] is not None
+            out.append((n, pieces[0], sizes[0]) if plain else (n, None, None))
+        return out
+
     def total(self, text: str) -> int:
         """Token count of the whole text."""
-        n = 0
-        for piece in self.pieces(text):
-            if piece in self.special:
-                n += 1
-                continue
-            found = self.words.findall(piece)
-            new = set(found).difference(self.totals)
-            if new:
-                self._learn(new)
-                if len(self.totals) < len(new) or not self.totals.keys() >= set(found):
-                    self._learn(set(found).difference(self.totals))
-            n += sum(map(self.totals.__getitem__, found))
-        return n
+        return self.totals_of([text])[0][0]
 
     def table(self, text: str) -> np.ndarray:
         """Exact token count of every code-point prefix of the text (length + 1 entries)."""
-        out, base, at = [np.zeros(1, np.int64)], 0, 0
+        out, base = [np.zeros(1, np.int64)], 0
         held = ""  # what stands before a special string since the last cut
         for piece in self.pieces(text):
             if piece in self.special:
@@ -163,24 +294,25 @@ class Vocabulary:
                 out.append(np.array([*inside, base], np.int64))
                 held = ""
                 continue
-            held, part = piece, []
-            run, run_base = "", base  # the white space run that the prefix ends in
+            held, pos = piece, 0
+            run, run_at, run_base = None, 0, base  # counts of the white space run that the prefix ends in
             for w in self.words.findall(piece):
-                if w not in self.counts:
-                    self._learn([w])
-                steps = np.cumsum([len(c.encode()) for c in w]) if not w.isascii() else np.arange(1, len(w) + 1)
-                own = base + np.asarray(list(self.counts[w]), np.int64)[steps]
+                counts = self.of_word(w)
+                own = base + counts[_steps(w)]
                 blank = self.blank(w)
-                for k in range(1, blank + 1):
-                    own[k - 1] = run_base + self.word_counts((run + w[:k]).encode())[-1]
-                run = run + w if blank == len(w) else ""
+                if blank:
+                    if run is None:
+                        # a prefix that ends inside a run of white space has all of it so far as one word
+                        space = piece[pos : self.blanks.match(piece, pos).end()]
+                        run, run_at, run_base = self.of_word(space)[_steps(space)], pos, base
+                    own[:blank] = run_base + run[pos - run_at : pos - run_at + blank]
+                if blank < len(w):
+                    run = None
                 if len(w) == 3 and w in ("'re", "'ve", "'ll"):
                     own[1] = base + 2  # without its last letter it is a mark and a letter
-                part.append(own)
-                base += self.totals[w]
-                if not run:
-                    run_base = base
-            out.extend(part)
+                out.append(own)
+                base += int(counts[-1])
+                pos += len(w)
         return np.concatenate(out)
 
     def within(self, text: str, budget: int) -> int:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from terrastrat.llm import shingles
 from terrastrat.llm.bytebpe import vocabulary
 
 LIMIT = 1024
@@ -31,12 +33,13 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
         v = vocabulary(vocabulary_path(name))
         for batch in batches:
             sizes, totals, limits = [], [], []
-            for t in batch.column(1):
-                t = t.as_py() or ""
-                n = v.total(t)
-                sizes.append(len(t.encode()))
-                totals.append(n)
-                limits.append(len(t) if n <= limit else truncation(v, t, limit))
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for lo, hi in shingles.runs(lengths, size=lambda n: n):
+                texts = [t.as_py() or "" for t in batch.column(1)[lo:hi]]
+                for t, (n, words, each) in zip(texts, v.totals_of(texts), strict=True):
+                    totals.append(n)
+                    limits.append(len(t) if n <= limit else truncation(v, t, limit, words, each))
+                sizes.extend(lengths[lo:hi])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals]), pa.array(limits, pa.int64())],
                 names=["key", "n_bytes", "n_tokens", "over_limit", "limit_chars"],
@@ -46,27 +49,20 @@ def count_tokens(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return rows.withColumnRenamed("key", key)
 
 
-def truncation(v, text: str, limit: int) -> int:
-    """As ``v.within`` but looks only at the words around the one that crosses the limit."""
-    if any(s in text for s in v.special):
+def truncation(v, text: str, limit: int, words: list[str] | None, each) -> int:
+    """As ``v.within`` but reads the prefix counts only around the word that crosses the limit."""
+    if words is None:
         return v.within(text, limit)
-    n = at = 0
-    mark = (0, 0)
-    for m in v.words.finditer(text):
-        w = m[0]
-        c = v.totals.get(w)
-        if c is None:
-            v._learn([w])
-            c = v.totals[w]
-        if n + c > limit:
-            # prefixes are exact from the start of the white space run before this word
-            tail = v.table(text[mark[0] : m.end() + 1])[: m.end() - mark[0] + 1]
-            return mark[0] + int((tail + mark[1] <= limit).nonzero()[0][-1])
-        n += c
-        at = m.end()
-        if v.blank(w) < len(w):
-            mark = (at, n)
-    return at
+    sums = each.cumsum()
+    last = int(sums.searchsorted(limit, side="right"))
+    # prefixes are exact from the start of the white space run before this word
+    first = last
+    while first and v.blank(words[first - 1]) == len(words[first - 1]):
+        first -= 1
+    start, base = sum(map(len, words[:first])), int(sums[first - 1]) if first else 0
+    end = start + sum(map(len, words[first : last + 1]))
+    tail = v.table(text[start : end + 1])[: end - start + 1]
+    return start + int((tail + base <= limit).nonzero()[0][-1])
 
 
 def op7_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,7 +197,8 @@ def test_every_prefix_count_equals_the_library_s(library, vocabulary, text):
     assert vocabulary.table(text).tolist() == want and vocabulary.total(text) == want[-1]
     for limit in (0, 1, 3):
         if want[-1] > limit:
-            assert tokencount.truncation(vocabulary, text, limit) == vocabulary.within(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
+            _, words, each = vocabulary.totals_of([text])[0]
+            assert tokencount.truncation(vocabulary, text, limit, words, each) == vocabulary.within(text, limit) == max(k for k, n in enumerate(want) if n <= limit)
 
 
 def test_counts_do_not_depend_on_what_is_remembered(vocabulary, monkeypatch):
@@ -208,6 +209,29 @@ def test_counts_do_not_depend_on_what_is_remembered(vocabulary, monkeypatch):
     assert vocabulary.total(text) == want and vocabulary.table(text)[-1] == want
 
 
+LONG_RUNS = [" " * 10**6 + "x", "x" * 10**6, "ab" * 10**5 + " " * 3000 + "é", " \n" * 10**5, "word " * 300 + "漢" * 20_000 + " \t" * 700 + "<|endoftext|>" + "1" * 1500]
+
+
+@pytest.mark.parametrize("at", range(len(LONG_RUNS)))
+def test_long_runs_are_counted_and_encoded_as_the_library_does(library, vocabulary, at):
+    text = LONG_RUNS[at]
+    want = library.encode(text, add_special_tokens=False).ids
+    assert vocabulary.total(text) == len(want)
+    assert packing.encoder(tokencount.vocabulary_path()).ids(text) == want
+
+
+def test_prefixes_that_end_inside_long_blank_runs(library, vocabulary):
+    text = "a" + " " * 400 + "\n" * 90 + " b" + " " * 30
+    want = [len(library.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
+    assert vocabulary.table(text).tolist() == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(PIECES), st.sampled_from([1, 2, 600, 1100])), max_size=5).map(lambda p: "".join(x * n for x, n in p)))
+def test_ids_equal_the_library_s_on_either_path(library, text):
+    assert packing.encoder(tokencount.vocabulary_path()).ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_token_counts_of_all_documents(spark, library):
     docs = small_docs(spark)
     for r in tokencount.op7_prefix_token_counts(spark, SMALL).collect():
@@ -223,9 +247,52 @@ def test_token_counts_of_all_documents(spark, library):
 # passages
 
 
-def test_bands_are_tuned_for_a_passage_of_three_pieces():
+def test_bands_are_tuned_for_every_single_piece():
     bands, rows = substring_dedup.tune()
-    assert 1 - (1 - 0.8**rows) ** (3 * bands) >= 0.999 and 1 - (1 - 0.8**rows) ** (3 * (bands - 1)) < 0.999
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and all(1 - (1 - 0.8**r) ** (bands - 1) < 0.999 for r in range(1, 5))
+
+
+def test_passages_without_sentence_marks_are_found(spark):
+    """Eighty words planted in documents of 380 words with no mark or newline, between marks, and edited in one word."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, planted = [], {}
+    for p in range(40):
+        passage = [word() for _ in range(80)]
+        for i in range(4):
+            own, at = [word() for _ in range(300)], r.randint(30, 270)
+            copy = list(passage)
+            if i == 3:
+                copy[40] = word()
+            if i == 2:
+                own[at - 1] += "."
+                copy[-1] += "."
+            rows.append((len(rows), " ".join([*own[:at], *copy, *own[at:]])))
+            start = len(" ".join(own[:at])) + 1
+            planted[rows[-1][0]] = (start, start + len(" ".join(copy)))
+    rows += [(1000 + i, " ".join(word() for _ in range(400))) for i in range(100)]
+    found = defaultdict(list)
+    for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[x.doc_id].append((x.start, x.end))
+    assert set(found) <= set(planted)
+    share = {k: sum(max(0, min(e, b) - max(s, a)) for s, e in found[k]) / (b - a) for k, (a, b) in planted.items()}
+    exact, edited = [x for k, x in share.items() if k % 4 != 3], [x for k, x in share.items() if k % 4 == 3]
+    assert sum(x > 0.5 for x in exact) >= 0.98 * len(exact), sorted(exact)[:20]
+    # a middle word was changed: what is left on both sides must reach the least length
+    assert sum(x > 0.5 for x in edited) >= 0.6 * len(edited), sorted(edited)
+
+
+def test_cuts_of_a_stretch_depend_on_words_near_by():
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    core = [word() for _ in range(300)]
+    cuts = []
+    for n in (40, 77):
+        w = shingles.Words([" ".join([*(word() for _ in range(n)), *core, *(word() for _ in range(50))]).encode()])
+        first, _ = substring_dedup.cut_text(w)
+        assert (np.diff(first)[1:-1] > substring_dedup.REACH).all()
+        cuts.append({int(x) - n for x in first if n + substring_dedup.REACH <= x <= n + 300 - substring_dedup.REACH})
+    assert cuts[0] == cuts[1] and len(cuts[0]) > 8
 
 
 def test_planted_passages_are_found_and_clean_documents_are_not(spark):
