@@ -11,7 +11,7 @@ among pieces of their length.
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +27,54 @@ WINDOW, END = 2048, 1
 LOT_ROWS, LOTS = 512, 4096
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
-    """The vocabulary file's encoder; ids equal those of its own library (tested), in less time."""
-    import tiktoken
+class Encoder:
+    """Ids by a vocabulary file: a fast encoder, and the file's own library for texts with very long runs.
+
+    The fast one recurses over runs of white space, until its stack ends, and takes quadratic time on
+    words; below RUN characters neither matters. Both give the same ids (tested).
+    """
+
+    RUN = 1000
+
+    def __init__(self, path: str):
+        import tiktoken
 
-    from terrastrat.llm.bytebpe import Vocabulary
+        from terrastrat.llm.bytebpe import Vocabulary
 
-    v = Vocabulary.__new__(Vocabulary)
-    v.read(path)
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=v.ids, special_tokens=v.special)
+        v = Vocabulary.__new__(Vocabulary)
+        v.read(path)
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        self.path, self.fast = path, tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=v.ids, special_tokens=v.special)
 
+    @cached_property
+    def library(self):
+        from tokenizers import Tokenizer
 
-def token_ids(enc, text: str) -> list[int]:
-    """Ids of the whole text; special strings in it count as such."""
-    if any(s in text for s in enc.special_tokens_set):
-        return enc.encode(text, allowed_special="all")
-    return enc.encode_ordinary(text)
+        return Tokenizer.from_file(self.path)
+
+    def long_runs(self, text: str) -> bool:
+        """Whether some RUN characters on end are all white space or all not; false beyond doubt if half of that never are."""
+        half = self.RUN // 2
+        for at in range(0, len(text) - half + 1, half):
+            part = text[at : at + half]
+            first = part.split(None, 1)
+            if not first or len(first[0]) == half:
+                return True
+        return False
+
+    def ids(self, text: str) -> list[int]:
+        """Ids of the whole text; special strings in it count as such."""
+        if len(text) >= self.RUN and self.long_runs(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        if any(s in text for s in self.fast.special_tokens_set):
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker and file."""
+    return Encoder(path)
 
 
 def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -119,7 +149,7 @@ def cut_pieces(documents: DataFrame, key: str, text: str, window: int, name: str
         for batch in batches:
             keys, rows = [], []
             for at, t in enumerate(batch.column(1)):
-                ids = np.array([*token_ids(enc, t.as_py() or ""), END], "<u4")
+                ids = np.array([*enc.ids(t.as_py() or ""), END], "<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     keys.append(at)
@@ -182,7 +212,7 @@ def sequences(documents: DataFrame, packed: DataFrame, key: str = "doc_id", text
         enc = encoder(vocabulary_path(name))
         for batch in batches:
             for t, spots in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.array([*token_ids(enc, t.as_py() or ""), END], np.int32)
+                ids = np.array([*enc.ids(t.as_py() or ""), END], np.int32)
                 s = spots.as_py()
                 yield pa.RecordBatch.from_arrays(
                     [
