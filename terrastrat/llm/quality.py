@@ -20,10 +20,12 @@ SENTENCE = "[.!?:;。！？]"
 #: Signs that call for a closer look at a line, and how many of them a word may carry on average.
 ODD = r"[#*$%&|<>{}»•]|!!"
 ODD_PER_WORD = 0.34
-#: Boilerplate is looked for in lines of at most so many characters; longer ones are prose.
-BOILERPLATE_CHARS = 200
+#: Separators between the entries of a navigation line: at least two of them, and at most so many words each.
+NAVIGATION, WORDS_PER_ENTRY = r"[\x20\x09](?:[|»›•·>/]|::|->)[\x20\x09]", 4
+#: A line is boilerplate if these phrases make up enough of it: one in at most so many words, however long it is.
+WORDS_PER_PHRASE = 32
 BOILERPLATE = (
-    r"(?i)(?:licen[sc]ed under|released under the|this work is licen[sc]ed|all rights reserved|copyright \(c\)|terms of (?:use|service)"
+    r"(?i)(?:^|[^a-z])(?:licen[sc]ed under|released under the|this work is licen[sc]ed|all rights reserved|copyright \(c\)|terms of (?:use|service)"
     r"|privacy policy|cookie policy|use cookies|enable javascript|click here|sign up|log in|subscribe to|share (?:this|on)|powered by)"
 )
 
@@ -34,12 +36,14 @@ def word_list(text: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether a line holding a word is to be removed; lines without words stay."""
-    odd = F.regexp_count(line, F.lit(ODD)) > F.lit(ODD_PER_WORD) * F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    # an interpreted lambda evaluates the arms in turn, so most lines meet two cheap searches only
+    count = lambda pattern: F.regexp_count(line, F.lit(pattern))
+    words = count(r"[^\x20\x09-\x0D]+")
+    # an interpreted lambda evaluates the arms in turn, so most lines meet cheap searches only
     return (
         F.when(~line.rlike(SENTENCE), line.rlike(r"[^\x20\x09-\x0D]"))
-        .when(line.rlike(ODD) & odd, F.lit(True))
-        .when(F.char_length(line) <= BOILERPLATE_CHARS, line.rlike(BOILERPLATE))
+        .when(line.rlike(ODD) & (count(ODD) > F.lit(ODD_PER_WORD) * words), F.lit(True))
+        .when(line.rlike(NAVIGATION) & (count(NAVIGATION) >= 2) & (count(NAVIGATION) * WORDS_PER_ENTRY >= words), F.lit(True))
+        .when(line.rlike(BOILERPLATE), count(BOILERPLATE) * WORDS_PER_PHRASE >= words)
         .otherwise(F.lit(False))
     )
 
@@ -139,7 +143,10 @@ WITH d AS (
     list_filter(ln, lambda x: NOT CASE
       WHEN NOT regexp_matches(x, '{SENTENCE}') THEN regexp_matches(x, '[^\x20\x09-\x0D]')
       WHEN len(regexp_extract_all(x, '{ODD}')) > {ODD_PER_WORD} * len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) THEN true
-      WHEN length(x) <= {BOILERPLATE_CHARS} THEN regexp_matches(x, '{BOILERPLATE}') ELSE false END) AS passing
+      WHEN len(regexp_extract_all(x, '{NAVIGATION}')) >= 2
+        AND len(regexp_extract_all(x, '{NAVIGATION}')) * {WORDS_PER_ENTRY} >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) THEN true
+      ELSE regexp_matches(x, '{BOILERPLATE}')
+        AND len(regexp_extract_all(x, '{BOILERPLATE}')) * {WORDS_PER_PHRASE} >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) END) AS passing
   FROM (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents)),
 win AS (
   SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
