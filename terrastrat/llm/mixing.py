@@ -3,7 +3,7 @@
 Within a source every document expects target / source size copies. Documents are laid out by size
 and their expected copies prefix-summed; with one random offset a source, a document is emitted once
 for each integer boundary that its interval crosses. Laying them out by size keeps the words taken
-within about one document of the target, and of 16 offsets drawn the one that comes nearest is used.
+within the largest document's size of the target.
 """
 
 from __future__ import annotations
@@ -12,16 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terrastrat.operators.ranking import numbered
 from terrastrat.session import cut, small_join
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CAP = 2.0
 SEED = 7
-#: Rows of a layout block at least, and layout blocks at most (beside one for each size class).
-BLOCK_ROWS, BLOCKS = 256, 20_000
-#: Offsets that a source draws, and the step from one to the next (modulo 1) after a seeded first one.
-OFFSETS, STRIDE = 16, 0.6180339887498949
 
 
 def n_words(text) -> F.Column:
@@ -37,10 +34,9 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
     target stops at *cap* times its source and the excess goes to the others by weight. The level is
     found by sums over all sources, one pass for each round in which further sources reach their cap.
     """
-    # equal-length prefix sums over sources: one row a source, two narrow columns
-    rank = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
-    rows = cut(sources.select("source", "source_size", weight.alias("weight")))
+    ranked = numbered(sources.withColumn("_last", F.col("source").isNull()), "_last", "source", out="_rank")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.col("_rank") - 1) % len(weights) + 1).cast("int"))
+    rows = cut(ranked.select("source", "source_size", weight.alias("weight")))
     limit = F.col("source_size") * F.lit(cap)
     budget = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
     level = 0.0
@@ -59,65 +55,37 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ca
 def mix(documents: DataFrame, source: str = "source", size: str = "size", key: str = "doc_id", seed: int = SEED, **rule) -> DataFrame:
     """*documents* with ``source_size``, ``target`` and ``copies`` (long), every row kept.
 
-    A null source is a source like any other and comes last. Documents of size 0 have as many copies
-    as the boundaries that they cross, which take no words. Repeated rows are told apart by the order
-    they get inside their block only, so equal rows may swap their copies. An empty input gives an
-    empty result. Columns of *documents* may have any other names than those added.
+    Rows should be narrow: they are sorted once over the cluster (see :func:`emit` for the texts). A
+    null source is a source like any other and comes last. Documents of size 0 have as many copies as
+    the boundaries that they cross, which take no words. Rows of one source, size and key are told
+    apart by the order that the sort leaves them in, so they may swap their copies. An empty input
+    gives an empty result. Columns of *documents* may have any other names than those added.
     """
-    level = F.floor(F.log2(F.col(size) + F.lit(1)) * 8).cast("int")
-    # statistics come from three narrow columns, read from the texts once
-    light = cut(documents.select(key, source, size))
-    rows = (light if set(documents.columns) == {key, source, size} else documents).withColumn("_class", level)
-    light = light.withColumn("_class", level)
-    classes = cut(light.groupBy(F.col(source).alias("source"), F.col("_class").alias("class")).agg(F.count("*").alias("n"), F.sum(size).alias("words")))
-    targets = cut(source_targets(classes.groupBy("source").agg(F.sum("words").cast("long").alias("source_size")), **rule))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    block = max(BLOCK_ROWS, -(-total // BLOCKS))
-    plan = small_join(classes, targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    plan = cut(
-        plan.select(
-            F.col("source").alias("_s"),
-            F.col("class").alias("_c"),
-            "source_size",
-            "target",
-            F.ceil(F.col("n") / F.lit(block)).cast("long").alias("_blocks"),
-        )
-    )
-    block_of = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.col("_blocks"))
-    on_class = F.col(source).eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c"))
-    rows = small_join(rows, plan, on_class).withColumn("_block", block_of)
-    light = small_join(light, plan, on_class).withColumn("_block", block_of)
-    # how many documents lie before each block, larger sizes first: one row a block
-    counts = light.groupBy("_s", "_c", "_block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(W.partitionBy("_s").orderBy(F.desc("_c"), "_block")) - F.col("_n")
-    starts = cut(counts.select(F.col("_s").alias("_s2"), F.col("_c").alias("_c2"), F.col("_block").alias("_b2"), before.alias("_before")))
-
-    def placed(table: DataFrame) -> DataFrame:
-        inside = F.row_number().over(W.partitionBy("_s", "_c", "_block").orderBy(F.desc(size), key))
-        on_block = F.col("_s").eqNullSafe(F.col("_s2")) & (F.col("_c") == F.col("_c2")) & (F.col("_block") == F.col("_b2"))
-        return small_join(table.withColumn("_inside", inside), starts, on_block).withColumn("_place", F.col("_before") + F.col("_inside"))
-
+    rows = numbered(cut(documents), F.asc_nulls_last(source), F.desc(size), F.asc_nulls_last(key), out="_rn")
+    sums = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).cast("long").alias("source_size"), (F.min("_rn") - 1).alias("_before"))
+    sums = cut(sums)
+    targets = source_targets(sums.select("source", "source_size"), **rule).select(F.col("source").alias("_s"), "target")
+    plan = small_join(sums, targets, F.col("source").eqNullSafe(F.col("_s"))).select("_s", "source_size", "target", "_before")
+    rows = small_join(rows, cut(plan), F.col(source).eqNullSafe(F.col("_s")))
+    place = F.col("_rn") - F.col("_before")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    seeded = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    crossed = lambda u: (F.floor(F.col("_place") * each + u) - F.floor((F.col("_place") - 1) * each + u)).cast("long")
-    # of a few random offsets a source takes the one whose words come nearest its target
-    light = placed(light)
-    light = cut(light) if set(documents.columns) == {key, source, size} else light
-    draws = [seeded + j * STRIDE - F.floor(seeded + j * STRIDE) for j in range(OFFSETS)]
-    sums = light.withColumn("_u", F.array(*draws)).groupBy("_s", "target").agg(*[F.sum(F.col(size) * crossed(F.col("_u")[j])).alias(f"_t{j}") for j in range(OFFSETS)])
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"_t{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j")) for j in range(OFFSETS)]))["j"]
-    chosen = cut(sums.select(F.col("_s").alias("_s3"), nearest.alias("_j")))
-    rows = light if set(documents.columns) == {key, source, size} else placed(rows)
-    rows = small_join(rows, chosen, F.col("_s").eqNullSafe(F.col("_s3")))
-    offset = seeded + F.col("_j") * STRIDE - F.floor(seeded + F.col("_j") * STRIDE)
-    return rows.withColumn("copies", crossed(offset)).drop(
-        "_class", "_s", "_c", "_blocks", "_block", "_inside", "_s2", "_c2", "_b2", "_before", "_place", "_s3", "_j"
-    )
+    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("_s", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    copies = (F.floor(place * each + offset) - F.floor((place - 1) * each + offset)).cast("long")
+    return rows.withColumn("copies", copies).drop("_rn", "_s", "_before")
 
 
-def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixed.filter("copies > 0").withColumn("_copy", F.explode(F.expr("sequence(1L, copies)"))).select(*columns)
+def emit(documents: DataFrame, mixed: DataFrame, identity: str) -> DataFrame:
+    """Each of *documents* as often as *mixed*, the result of :func:`mix` on its narrow columns, takes it.
+
+    identity: a column of both that tells rows apart, such as a hash of all columns; rows that share
+    it are taken to be equal, and one of them is emitted as often as all together.
+    """
+    taken = cut(mixed.groupBy(identity).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n")))
+    if not taken.filter("_n > 1").isEmpty():
+        documents = documents.dropDuplicates([identity])
+    wanted = cut(taken.filter("_copies > 0").select(identity, "_copies"))
+    rows = small_join(documents, wanted, identity)
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1L, _copies)"))).select(*documents.columns)
 
 
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,11 +124,7 @@ p AS (
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS each,
     ('0x' || substr(md5('7:' || coalesce(d.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (
-  SELECT *, floor(place * each + v) - floor((place - 1) * each + v) AS copies
-  FROM (SELECT *, u + j * 0.6180339887498949::DOUBLE - floor(u + j * 0.6180339887498949::DOUBLE) AS v FROM p, range(16) r(j))),
-s16 AS (SELECT source, j, abs(sum(size * copies) - any_value(target)) AS miss FROM c GROUP BY 1, 2),
-best AS (SELECT source, arg_min(j, {'m': miss, 'j': j}) AS j FROM s16 GROUP BY source)
+c AS (SELECT *, floor(place * each + u) - floor((place - 1) * each + u) AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies::BIGINT * size AS taken, copies::BIGINT AS copies
-FROM c JOIN best ON c.source IS NOT DISTINCT FROM best.source AND c.j = best.j
+FROM c
 """
