@@ -1,6 +1,7 @@
 """Repeated passages by paragraph MinHash banding.
 
-A text is cut into pieces, each ended by a sentence of at least six words, so that a passage is cut
+A text is cut into pieces, each ended by a sentence of at least six words; longer stretches without a
+sentence's end are cut before words whose hash is the least around them. Either way a passage is cut
 alike wherever it stands. Pieces with equal words are one node. Bands of MinHash values are joined in
 Spark; colliding nodes are verified by exact Jaccard (see :mod:`terrastrat.llm.linking`) and clustered
 by components. All but the first occurrence of a cluster are removals; adjoining pieces are reported
@@ -23,11 +24,15 @@ THRESHOLD, SEED = 0.8, 90_001
 SENTENCE, MIN_PASSAGE = 6, 25
 #: Lanes of the sketches that colliding pieces are compared by, and the share that must agree.
 LANES, LIKELY = 64, 0.6
-#: Repeated pieces' names (one long each) are broadcast up to so many; beyond it the join is shuffled.
-NODES = 1_500_000
+#: Stretches of more than STRETCH words are cut, before words of the least hash among REACH words on either side.
+STRETCH, REACH = 64, 8
+#: Code points of an edited piece that a passage may go across, and how far its ends may have moved by the edit.
+BRIDGE, MOVED = 400, 40
+#: Pieces whose bands a task remembers having given; beyond it starts anew, which costs rows and changes nothing.
+SEEN = 1 << 20
 
 
-def tune(recall: float = 0.999, pieces: int = 3, threshold: float = THRESHOLD, largest: int = 32) -> tuple[int, int]:
+def tune(recall: float = 0.999, pieces: int = 1, threshold: float = THRESHOLD, largest: int = 32) -> tuple[int, int]:
     """(bands, rows): the fewest values to join by which one of *pieces* pieces, each at the threshold, is met.
 
     Fewest bands first, as each is a row to shuffle for every piece; then the most rows.
@@ -40,9 +45,11 @@ def tune(recall: float = 0.999, pieces: int = 3, threshold: float = THRESHOLD, l
 
 
 #: Only pieces that meet are marked, so every single one has to.
-BANDS, ROWS = tune(pieces=1)
+BANDS, ROWS = tune()
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
+#: Full-width sentence marks, three bytes each.
+_WIDE = [np.frombuffer(c.encode(), np.uint8) for c in "\u3002\uff01\uff1f"]
 
 
 def cut_text(w: shingles.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -53,21 +60,53 @@ def cut_text(w: shingles.Words) -> tuple[np.ndarray, np.ndarray]:
     lines = np.cumsum(w.buffer == 10)
     last = np.concatenate([w.text[1:] != w.text[:-1], [True]])
     newline = np.concatenate([lines[w.start[1:] - 1] > lines[w.end[:-1] - 1], [True]])
-    sentence = np.flatnonzero(_ENDS[w.buffer[w.end - 1]] | newline | last)
+    mark = _ENDS[w.buffer[w.end - 1]]
+    for wide in _WIDE:
+        mark |= (w.end - w.start >= 3) & (w.buffer[w.end - 3] == wide[0]) & (w.buffer[w.end - 2] == wide[1]) & (w.buffer[w.end - 1] == wide[2])
+    sentence = np.flatnonzero(mark | newline | last)
     length = np.diff(np.concatenate([[-1], sentence]))
     ends = sentence[(length >= SENTENCE) | last[sentence]]
+    ends = np.union1d(ends, inner_ends(w.hash, ends))
     return np.concatenate([[0], ends + 1]), w.text[ends]
 
 
+def inner_ends(word: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Last words of pieces inside stretches (each up to one of *ends*) of more than STRETCH words.
+
+    A piece begins at a word whose hash is below those of REACH words before it and not above those of
+    REACH words after it in its stretch, so what stands farther away doesn't move the cut.
+    """
+    size = np.diff(np.concatenate([[-1], ends]))
+    long = np.flatnonzero(size > STRETCH)
+    if not len(long):
+        return np.zeros(0, np.int64)
+    size = size[long]
+    begin = np.cumsum(np.concatenate([[0], size + REACH]))  # stretches apart, with the largest value between them
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], size + REACH)
+    inside = at < np.repeat(size, size + REACH)
+    where = at + np.repeat(ends[long] + 1 - size, size + REACH)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    row = np.full(begin[-1] + 2 * REACH, top, np.uint64)
+    row[REACH:-REACH][inside] = word[where[inside]]
+    mid = row[REACH:-REACH]
+    least = inside & (at >= REACH)
+    for k in range(1, REACH + 1):
+        least &= (mid < row[REACH - k : len(row) - REACH - k]) & (mid <= row[REACH + k : len(row) - REACH + k])
+    return where[least] - 1
+
+
 def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, h, rid, at, stop, words, u, b0, ...)``: every piece of at least five words.
+    """``(key, h, rid, at, stop, w, words, u, b0, ...)``: every piece of at least five words.
 
-    at, stop: code points of the text, end exclusive. u: a hash of the piece's words in order.
+    at, stop: code points of the text, end exclusive; w: words of the text before it. u: a hash of the piece's words in order. Bands are
+    null where the task has given those of an equal piece before, so a piece that is very common gives
+    them about once a task.
     """
     kind = documents.schema[key].dataType.simpleString()
     bands = [f"b{i}" for i in range(BANDS)]
 
     def found(batches):
+        seen = np.zeros(0, np.uint64)
         for batch in batches:
             sizes = [len(t.as_py()) for t in batch.column(3)]
             for lo, hi in shingles.runs(sizes, size=lambda n: n):
@@ -81,6 +120,11 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
                 u = shingles.mixed(np.add.reduceat(w.hash * shingles.powers(int(words.max()))[0][place], first[:-1]) + words.astype(np.uint64))
                 h, begin = shingles.shingles(w.hash, first)
                 least = least64(h, begin, BANDS * ROWS)
+                names, at = np.unique(u, return_index=True)
+                known = np.isin(names, seen, assume_unique=True)
+                stale = np.ones(len(u), bool)
+                stale[at[~known]] = False
+                seen = names if len(seen) + len(names) > SEEN else np.union1d(seen, names)
                 points = np.concatenate([[0], np.cumsum((w.buffer & 0xC0) != 0x80)])
                 base = points[w.bounds[:-1]][owner]
                 keep = np.flatnonzero(words >= shingles.WIDTH)
@@ -88,13 +132,13 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
                 at, stop = points[w.start[first[:-1]]] - base, points[w.end[first[1:] - 1]] - base
                 rows = part.select([0, 1, 2]).take(pa.array(owner[keep]))
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(at[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32)), pa.array(words[keep].astype(np.int32)), pa.array(u[keep].view(np.int64)), *map(pa.array, band)],
-                    names=["key", "h", "rid", "at", "stop", "words", "u", *bands],
+                    [*rows.columns, pa.array(at[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32)), pa.array((first[:-1] - w.first[owner])[keep].astype(np.int32)), pa.array(words[keep].astype(np.int32)), pa.array(u[keep].view(np.int64)), *[pa.array(b, mask=stale[keep]) for b in band]],
+                    names=["key", "h", "rid", "at", "stop", "w", "words", "u", *bands],
                 )
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(key), F.xxhash64(t).alias("h"), F.monotonically_increasing_id().alias("rid"), t.alias("_t"))
-    return rows.mapInArrow(found, f"key {kind}, h long, rid long, at int, stop int, words int, u long, " + ", ".join(f"{b} long" for b in bands))
+    return rows.mapInArrow(found, f"key {kind}, h long, rid long, at int, stop int, w int, words int, u long, " + ", ".join(f"{b} long" for b in bands))
 
 
 def least64(h: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
@@ -145,7 +189,7 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
 
     start, end: code points, end exclusive. The first occurrence (in the order of the input) of each
     piece is kept, removed false; adjoining pieces with one verdict are one row, left out if shorter
-    than *min_words*. cluster_id names a component, the same for all occurrences of a passage: the least
+    than *min_words*; an edited piece between two of one removed passage counts as part of it. cluster_id names a component, the same for all occurrences of a passage: the least
     one among the row's pieces that occur as often as most of its words; first_key is the key of the row
     that keeps it. Documents without repeats have no rows; null or empty texts have none.
     Repeated rows are occurrences like any others. An empty table gives an empty result.
@@ -153,14 +197,14 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     bands = [f"b{i}" for i in range(BANDS)]
     with small_batches(documents.sparkSession):
         table = written(pieces(documents, key, text))
-    keyed = table.select("u", F.explode(F.array(*bands)).alias("bucket"))
-    met = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("u").alias("low"), F.max("u").alias("high"))
-    met = written(met.filter("n > 1"))
-    near_keys = cut(met.filter("low <> high").select("bucket"))
-    near = written(small_join(keyed, near_keys, "bucket").select("bucket", "u").distinct())
-    nodes = cut(met.filter("low = high").select(F.col("low").alias("u")).unionByName(near.select("u")).distinct())
+    # rows of one bucket meet once: the aggregate and the rows read one and the same exchange
+    keyed = table.filter("b0 is not null").select("u", F.explode(F.array(*bands)).alias("bucket")).repartition("bucket")
+    mixed = keyed.groupBy("bucket").agg(F.min("u").alias("low"), F.max("u").alias("high")).filter("low <> high")
+    near = written(keyed.join(mixed.select("bucket").hint("merge"), "bucket").distinct())
+    equal = table.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    nodes = cut(equal.unionByName(near.select("u")).distinct())
     # the one join that all pieces take part in; its other side is a single number a row
-    spots = written(small_join(table.select("u", "key", "h", "rid", "at", "stop", "words"), nodes, "u", rows=NODES))
+    spots = written(small_join(table.select("u", "key", "h", "rid", "at", "stop", "w", "words"), nodes, "u"))
     components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
     spots = written(small_join(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
@@ -169,8 +213,14 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     spots = spots.withColumn("removed", (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
     # windows over the pieces of one document
     order = W.partitionBy("rid").orderBy("at")
-    apart = (F.col("at") - F.lag("stop").over(order) > 3) | (F.lag("removed").over(order) != F.col("removed"))
-    runs = spots.withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
+    before = lambda c: F.lag(c).over(order)
+    gap = F.col("at") - before("stop")
+    # an edited piece inside a passage: what stands around it stands alike around the first occurrence
+    moved = F.abs(F.col("at") - before("at") - F.col("first.at") + before("first.at"))
+    alike = (F.col("first.rid") == before("first.rid")) & (F.col("n") == before("n")) & (moved <= MOVED)
+    apart = (gap > F.when(alike, BRIDGE).otherwise(3)) | (before("removed") != F.col("removed"))
+    bridged = F.when(F.col("removed") & ~apart, F.col("w") - before("w") - before("words")).otherwise(0)
+    runs = spots.withColumn("words", F.col("words") + F.coalesce(bridged, F.lit(0))).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(order))
     # pieces as frequent as most of the row's words; frequent lines and chance neighbours don't name it
     alike = runs.groupBy("rid", "_run", "n").agg(
         F.first("key").alias("key"),
