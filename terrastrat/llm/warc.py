@@ -62,19 +62,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, codec: str = "
 
     Among rows with equal payloads of at least *least* bytes those of the largest page_id are
     responses and the others revisit them; null is the smallest page_id. A null payload is empty; a
-    null address is about:blank. Repeated rows are captures of their own.
+    null address is about:blank. Repeated rows are captures of their own, each with its own record
+    identifiers; revisits refer to the one that stands last in the input.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"))
+    # files are cut alike on both reads below, so a row's place is the same in each
+    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
     rows = rows.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("bytes", F.octet_length("payload"))
     sizes = rows.agg(F.avg("bytes")).first()[0] or 1.0
-    same = rows.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
-    same = cut(same.filter("n > 1").select("_d", "first"))
+    same = rows.filter(F.col("bytes") >= least).groupBy(F.col("digest").alias("_d")).agg(F.count("*").alias("n"), F.max(F.struct("page_id", "place")).alias("first"))
+    same = cut(same.filter("n > 1").select("_d", F.col("first.page_id").alias("first"), F.col("first.place").cast("string").alias("first_place")))
     rows = small_join(rows, same, (F.col("digest") == F.col("_d")) & (F.col("bytes") >= least), "left")
-    rows = rows.withColumn("place", F.monotonically_increasing_id().cast("string"))
+    rows = rows.withColumn("place", F.col("place").cast("string"))
     revisit = F.col("_d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
-    response_id = lambda p: _urn(F.lit("response"), p, F.col("digest"))
+    response_id = lambda p, place: _urn(F.lit("response"), p, place, F.col("digest"))
     url = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), "[\r\n]+", " ")
     rows = rows.select(
         page.alias("page"),
@@ -83,6 +85,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, codec: str = "
         "digest",
         revisit.alias("revisit"),
         F.coalesce(F.col("first").cast("string"), F.lit("")).alias("first"),
+        "first_place",
         "bytes",
         "place",
         _urn(F.lit("request"), page, "place").alias("request"),
@@ -93,13 +96,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, codec: str = "
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{LINE}Content-Type: text/html; charset=utf-8{LINE}Content-Length: "), F.col("bytes").cast("string"), F.lit(LINE * 2))
     response = _record(
         F.when(F.col("revisit"), "revisit").otherwise("response"),
-        F.when(F.col("revisit"), _urn(F.lit("revisit"), F.col("page"), F.col("place"))).otherwise(response_id(F.col("page"))),
+        F.when(F.col("revisit"), _urn(F.lit("revisit"), F.col("page"), F.col("place"))).otherwise(response_id(F.col("page"), F.col("place"))),
         "application/http; msgtype=response",
         F.concat(http, F.when(F.col("revisit"), "").otherwise(F.col("payload"))),
         uri,
         concurrent,
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        ("WARC-Refers-To", F.when(F.col("revisit"), response_id(F.col("first")))),
+        ("WARC-Refers-To", F.when(F.col("revisit"), response_id(F.col("first"), F.col("first_place")))),
         ("WARC-Profile", F.when(F.col("revisit"), PROFILE)),
     )
     metadata = _record("metadata", _urn(F.lit("metadata"), "page", "place"), "application/warc-fields", F.concat(F.lit("page_id: "), "page", F.lit(LINE)), uri, concurrent)
