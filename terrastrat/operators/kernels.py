@@ -22,13 +22,14 @@ def square(r: int, weight: float = 1.0) -> Offsets:
 
 
 def gauss(sigma: float, order: int = 0, truncate: float = 4.0) -> list[tuple[int, float]]:
-    """Normalised Gaussian weights of one axis, or of its first derivative (as a convolution)."""
+    """Normalised Gaussian weights of one axis, or of its first or second derivative (as a convolution)."""
     r = int(truncate * sigma + 0.5)
     w = [math.exp(-0.5 * (i / sigma) ** 2) for i in range(-r, r + 1)]
     total = sum(w)
     if order == 0:
         return [(i, v / total) for i, v in zip(range(-r, r + 1), w, strict=True)]
-    return [(i, -i / sigma**2 * v / total) for i, v in zip(range(-r, r + 1), w, strict=True)]
+    slope = (lambda i: -i / sigma**2) if order == 1 else (lambda i: (i * i / sigma**2 - 1) / sigma**2)
+    return [(i, slope(i) * v / total) for i, v in zip(range(-r, r + 1), w, strict=True)]
 
 
 def spread(cells: DataFrame, offsets: Offsets, carry: list[str]) -> DataFrame:
