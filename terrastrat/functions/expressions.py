@@ -56,8 +56,8 @@ def clean(v: Column) -> Column:
     return F.when(~F.isnan(v), v)
 
 
-def utm(lon: Column, lat: Column, central: float = -117.0) -> tuple[Column, Column]:
-    """Easting and northing on the GRS80 ellipsoid by the Krueger series to the sixth power of n."""
+def krueger() -> tuple[float, float, tuple[float, ...]]:
+    """Eccentricity, rectifying radius times the scale of the central meridian, and the series' coefficients (GRS80)."""
     f, a = 1 / 298.257222101, 6378137.0
     n = f / (2 - f)
     big_a = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64 + n**6 / 256)
@@ -70,17 +70,23 @@ def utm(lon: Column, lat: Column, central: float = -117.0) -> tuple[Column, Colu
         34729 * n**5 / 80640 - 3418889 * n**6 / 1995840,
         212378941 * n**6 / 319334400,
     )
+    return 2 * math.sqrt(n) / (1 + n), 0.9996 * big_a, alpha
+
+
+def utm(lon: Column, lat: Column, central: float = -117.0) -> tuple[Column, Column]:
+    """Easting and northing on the GRS80 ellipsoid by the Krueger series to the sixth power of n."""
+    e, radius, alpha = krueger()
     phi, lam = F.radians(lat), F.radians(lon - central)
-    e = 2 * math.sqrt(n) / (1 + n)
     t = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi, eta = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
     east, north = eta, xi
     for j, c in enumerate(alpha, 1):
         north = north + c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east + c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return 500000.0 + 0.9996 * big_a * east, 0.9996 * big_a * north
+    return 500000.0 + radius * east, radius * north
 
 
 def unit_hash(*columns: Column, seed: int = 0) -> Column:
-    """Deterministic uniform number in (0, 1) from the columns."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    """Deterministic uniform number in (0, 1) from the columns: 52 bits of the MD5 of seed and values, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrastrat.functions.expressions import azimuth, eigen2
+from terrastrat.functions.expressions import azimuth, eigen2, unit_hash
+from terrastrat.operators.ranking import numbered
+from terrastrat.operators.spatial import knn, radius_join
+from terrastrat.session import cut
 
 
 def triangle_area(x: str, y: str, rank: str = "rank") -> Column:
@@ -90,3 +93,65 @@ def rectangles(segments: DataFrame, half_length: str, half_width: str) -> DataFr
     dx, dy = F.col("col") - F.col("cx"), F.col("row") - F.col("cy")
     inside = (F.abs(dx * F.col("ux") + dy * F.col("uy")) <= F.col(half_length)) & (F.abs(dy * F.col("ux") - dx * F.col("uy")) <= F.col(half_width))
     return rows.filter(inside)
+
+
+def volumes(points: DataFrame, z: str) -> DataFrame:
+    """``(id, volume)`` of the body of each point and its three nearest others in space."""
+    near = knn(points, 3, z=z)
+    at = lambda c, r: F.max(F.when(F.col("rank") == r, F.col(f"n_{c}"))) - F.first(c)
+    (ax, ay, az), (bx, by, bz), (cx, cy, cz) = ([at(c, r) for c in ("x", "y", z)] for r in (1, 2, 3))
+    body = F.abs(ax * (by * cz - bz * cy) - ay * (bx * cz - bz * cx) + az * (bx * cy - by * cx)) / 6.0
+    return near.groupBy("id").agg(body.alias("volume"))
+
+
+def volume_test(points: DataFrame, z: str, seeds: list[int], most: float) -> DataFrame:
+    """``(id, volume, p, kept)``: p is the share of catalogues, z dealt anew by hash order, in which the point's volume is smaller.
+
+    One catalogue a seed; each is a sort and a search for neighbours, and only (id, volume) of it is kept.
+    """
+    p = cut(points.select("id", "x", "y", z))
+    places = numbered(p.select("id", "x", "y"), "id").select("rn", "id", "x", "y")
+    null = None
+    for seed in seeds:
+        dealt = numbered(p.select(z, "id", unit_hash(F.col("id"), seed=seed).alias("u")), "u", "id").select("rn", z)
+        one = cut(volumes(places.join(dealt, "rn").drop("rn"), z).select("id", F.col("volume").alias("v")))
+        null = one if null is None else null.unionByName(one)
+    rows = null.join(volumes(p, z), "id").groupBy("id").agg(F.first("volume").alias("volume"), (F.count_if(F.col("v") < F.col("volume")) / float(len(seeds))).alias("p"))
+    return rows.withColumn("kept", F.col("p") <= most)
+
+
+def spines(points: DataFrame, label: str, bins: int = 24, least: int = 3, least_points: int = 15) -> DataFrame:
+    """``(label, bin, x, y)``: the median offset from each cluster's axis in *bins* equal steps along it.
+
+    Steps with fewer than *least* points are left out, and clusters with fewer than *least_points*.
+    """
+    a = axis(points, [label], "x", "y").filter(F.col("n") >= least_points).select(F.col(label).alias("_l"), "cx", "cy", "ux", "uy")
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    rows = points.join(a, points[label] == F.col("_l")).withColumns({"_s": dx * F.col("ux") + dy * F.col("uy"), "_w": dy * F.col("ux") - dx * F.col("uy")})
+    ends = rows.groupBy(F.col("_l").alias("_e")).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
+    rows = rows.join(ends, F.col("_l") == F.col("_e"))
+    step = (F.col("_hi") - F.col("_lo")) / bins
+    at = F.least(F.floor((F.col("_s") - F.col("_lo")) / step), F.lit(bins - 1)).cast("long")
+    mid = F.first("_lo") + (F.col("bin") + 0.5) * F.first(step)
+    got = rows.filter(step > 0).withColumn("bin", at).groupBy(label, "bin").agg(
+        F.count("*").alias("n"), F.median("_w").alias("_m"), mid.alias("_at"), *[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy")]
+    )
+    got = got.filter(F.col("n") >= least)
+    return got.select(label, "bin", (F.col("cx") + F.col("_at") * F.col("ux") - F.col("_m") * F.col("uy")).alias("x"), (F.col("cy") + F.col("_at") * F.col("uy") + F.col("_m") * F.col("ux")).alias("y"))
+
+
+def seeded_corridors(points: DataFrame, cell: float, radius: float, least: int, linearity: float, length: float) -> DataFrame:
+    """``(seed_x, seed_y, n, cx, cy, ux, uy, linearity, length)`` of straight, long and well-sampled neighbourhoods of cell centres.
+
+    Seeds are the centres of cells that hold points; length spans the 5th to 95th percentile along the axis.
+    """
+    seed = lambda c: (F.floor(F.col(c) / cell) + 0.5) * cell
+    seeds = points.select(seed("x").alias("x"), seed("y").alias("y")).distinct()
+    near = cut(radius_join(seeds, points.select("x", "y"), radius).select("x", "y", (F.col("n_x") - F.col("x")).alias("dx"), (F.col("n_y") - F.col("y")).alias("dy")))
+    a = axis(near, ["x", "y"], "dx", "dy").filter(F.col("n") >= least)
+    a = a.withColumn("linearity", F.try_divide(F.col("l1"), F.col("l1") + F.col("l2"))).filter(F.col("linearity") >= linearity)
+    a = a.select("x", "y", "n", "cx", "cy", "ux", "uy", "linearity")
+    t = (F.col("dx") - F.col("cx")) * F.col("ux") + (F.col("dy") - F.col("cy")) * F.col("uy")
+    span = near.join(a.select("x", "y", "cx", "cy", "ux", "uy"), ["x", "y"]).groupBy("x", "y").agg((F.percentile(t, 0.95) - F.percentile(t, 0.05)).alias("length"))
+    rows = a.join(span, ["x", "y"]).filter(F.col("length") >= length)
+    return rows.select(F.col("x").alias("seed_x"), F.col("y").alias("seed_y"), "n", (F.col("x") + F.col("cx")).alias("cx"), (F.col("y") + F.col("cy")).alias("cy"), "ux", "uy", "linearity", "length")

@@ -43,14 +43,16 @@ def nearest_within(points: DataFrame, targets: DataFrame, cap: float, key: str =
     return points.select(key).join(best, key, "left").select(key, F.col(f"b.n_{target_key}").alias("nearest"), F.col("b.d").alias("d"))
 
 
-def knn(points: DataFrame, k: int, key: str = "id", bucket: float | None = None) -> DataFrame:
+def knn(points: DataFrame, k: int, key: str = "id", bucket: float | None = None, z: str | None = None) -> DataFrame:
     """``(key, x, y, n_key, n_x, n_y, d, rank)``: the k nearest other points, ties to the lesser key.
 
+    z: a third coordinate that distances take in too (and that comes with the rows); buckets stay flat.
+
     Candidates are joined from the 3 x 3 buckets around a point. A point is settled if its k-th
     candidate is no farther than one bucket, which those buckets cover for certain; the others go on
     with buckets twice as large. Fewer than k others: all of them.
     """
-    base = cut(points.select(key, "x", "y").dropna())
+    base = cut(points.select(key, "x", "y", *([z] if z else [])).dropna())
     stats = base.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     n = stats[0]
     if not n:
@@ -60,6 +62,10 @@ def knn(points: DataFrame, k: int, key: str = "id", bucket: float | None = None)
     left, done = base, None
     while True:
         pairs = radius_join(left, base, size).filter(F.col(key) != F.col(f"n_{key}"))
+        if z:
+            # no nearer in space than on the plane, so what lies within the bucket's size is complete
+            pairs = pairs.withColumn("d", F.sqrt(F.col("d") * F.col("d") + F.pow(F.col(z) - F.col(f"n_{z}"), F.lit(2.0))))
+            pairs = pairs if size > 2 * span else pairs.filter(F.col("d") <= size)
         ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("d", f"n_{key}"))).filter(F.col("rank") <= k)
         if size > 2 * span:
             return ranked if done is None else done.unionByName(ranked)

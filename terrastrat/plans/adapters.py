@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrastrat.functions.expressions import krueger
 from terrastrat.sources.tables import table
 
 _SQL = {
@@ -27,6 +28,23 @@ def sql(views: str, body: str) -> str:
     return "WITH " + ",\n".join(_SQL[v] for v in views.split()) + "\n" + body
 
 
+def unit_sql(seed: int, *columns: str) -> str:
+    """As functions.expressions.unit_hash, in SQL."""
+    text = " || ':' || ".join([f"'{seed}'", *[f"({c})::VARCHAR" for c in columns]])
+    return f"((('0x' || substr(md5({text}), 1, 13))::BIGINT + 0.5::DOUBLE) / {float(1 << 52)!r}::DOUBLE)"
+
+
+def utm_sql(lon: str, lat: str, central: float = -117.0) -> tuple[str, str, str, str]:
+    """SQL of a projection in three steps: columns (t, l) from places, (xi, eta) from those, then east and north."""
+    e, radius, alpha = krueger()
+    phi = f"radians({lat})"
+    first = f"sinh(atanh(sin({phi})) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin({phi}))) AS t, radians({lon} - ({central!r}::DOUBLE)) AS l"
+    second = "atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta"
+    north = "xi" + "".join(f" + {c!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
+    east = "eta" + "".join(f" + {c!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, c in enumerate(alpha, 1))
+    return first, second, f"500000.0::DOUBLE + {radius!r}::DOUBLE * ({east})", f"{radius!r}::DOUBLE * ({north})"
+
+
 def pts(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events")
     return e.select(

@@ -49,10 +49,10 @@ def impute_error_sigma(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("id", catalog.location_error(error, F.col("x"), 2048, 5.0, 2.0, 0.2).alias("sigma"), (~F.coalesce(F.col("mag") - 20 > 0, F.lit(False))).alias("imputed"))
 
 
-_E = "(2 * sqrt(0.0016792203946287445) / (1 + 0.0016792203946287445))::DOUBLE"
+_UTM = A.utm_sql("(-118.0::DOUBLE + x / 2048.0::DOUBLE)", "(37.0::DOUBLE + y / 2048.0::DOUBLE)")
 
 
-@register("utm_project")
+@register("utm_project", A.sql("pts", f"SELECT id, round({_UTM[2]}, 4) AS east, round({_UTM[3]}, 4) AS north FROM (SELECT id, {_UTM[1]} FROM (SELECT id, {_UTM[0]} FROM pts))"))
 def utm_project(spark: SparkSession, folder: str) -> DataFrame:
     """Projected metres of points spread over two degrees."""
     lon, lat = -118.0 + F.col("x") / 2048.0, 37.0 + F.col("y") / 2048.0
@@ -124,7 +124,17 @@ def normalized_triangle(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", F.round(F.col("area") / F.greatest(F.col("dk") * F.col("dk"), F.lit(1e-12)), 6).alias("stat"))
 
 
-@register("triangle_null_permuted")
+_NULL_TRI = f""",
+xs AS (SELECT x, row_number() OVER (ORDER BY {A.unit_sql(1, "id")}, id) AS rn FROM pts),
+ys AS (SELECT y, row_number() OVER (ORDER BY {A.unit_sql(2, "id")}, id) AS rn FROM pts),
+nul AS (SELECT rn AS id, x, y FROM xs JOIN ys USING (rn)),"""
+_TWO = """
+{o} AS (SELECT id, x, y, arg_min({{'x': qx, 'y': qy}}, {{'d': (x - qx) * (x - qx) + (y - qy) * (y - qy), 'i': bid}}, 2) AS q
+  FROM (SELECT a.id, a.x, a.y, b.x AS qx, b.y AS qy, b.id AS bid FROM {t} a JOIN {t} b ON a.id <> b.id AND abs(a.x - b.x) <= 700 AND abs(a.y - b.y) <= 700) GROUP BY 1, 2, 3),
+{o}_a AS (SELECT id, 0.5::DOUBLE * abs((q[1].x - x) * (q[2].y - y) - (q[1].y - y) * (q[2].x - x)) AS area FROM {o})"""
+
+
+@register("triangle_null_permuted", A.sql("pts", _NULL_TRI + _TWO.format(o="n2", t="nul") + "," + _TWO.format(o="p2", t="pts") + "\nSELECT id, area, area <= (SELECT quantile_cont(area, 0.05) FROM n2_a) AS kept FROM p2_a"))
 def triangle_null_permuted(spark: SparkSession, folder: str) -> DataFrame:
     """Points whose triangle is smaller than the 5th percentile over points with x and y dealt apart by hash order."""
     p = cut(A.pts(spark, folder).select("id", "x", "y"))
@@ -132,7 +142,7 @@ def triangle_null_permuted(spark: SparkSession, folder: str) -> DataFrame:
     ys = ranking.numbered(p.select("y", "id", unit_hash(F.col("id"), seed=2).alias("u")), "u", "id").select("y", "rn")
     null = xs.join(ys, "rn").select(F.col("rn").alias("id"), "x", "y")
     area = lambda q: spatial.knn(q, 2).groupBy("id").agg(points.triangle_area("x", "y").alias("area"))
-    limit = area(null).agg(F.percentile("area", 0.05).alias("limit"))
+    limit = ranking.percentiles(area(null), F.col("area"), [0.05], ["limit"])
     return area(p).join(F.broadcast(limit)).select("id", "area", (F.col("area") <= F.col("limit")).alias("kept"))
 
 
@@ -424,3 +434,46 @@ def quantised_decode(spark: SparkSession, folder: str) -> DataFrame:
 def axial_differences(spark: SparkSession, folder: str) -> DataFrame:
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
     return A.pts(spark, folder).select("id", F.round(axial_difference(x, y), 6).alias("degrees"), F.round(F.pmod(F.degrees(F.atan2(x, y)), F.lit(180.0)), 6).alias("azimuth"))
+
+
+_SPINE = ",\nl AS (SELECT (x // 512) * 8 + y // 512 AS label, x - 512 * (x // 512) AS lx, y - 512 * (y // 512) AS ly FROM pts)" + _AXIS.format(key="label", w="1::DOUBLE", x="lx", y="ly", t="l", f="")
+
+
+@register(
+    "cluster_spines",
+    A.sql(
+        "pts",
+        _SPINE
+        + """,
+a AS (SELECT label, sx / w AS cx, sy / w AS cy, cos(0.5::DOUBLE * atan2(2 * b, a - c)) AS ux, sin(0.5::DOUBLE * atan2(2 * b, a - c)) AS uy FROM e WHERE n >= 15),
+p AS (SELECT label, a.*, (lx - cx) * ux + (ly - cy) * uy AS s, (ly - cy) * ux - (lx - cx) * uy AS v FROM l JOIN a USING (label)),
+g AS (SELECT *, min(s) OVER (PARTITION BY label) AS lo, (max(s) OVER (PARTITION BY label) - min(s) OVER (PARTITION BY label)) / 6 AS step FROM p),
+m AS (SELECT label, least(floor((s - lo) / step), 5)::BIGINT AS bin, quantile_cont(v, 0.5) AS m, any_value(lo) AS lo, any_value(step) AS step, any_value(cx) AS cx, any_value(cy) AS cy, any_value(ux) AS ux, any_value(uy) AS uy
+  FROM g WHERE step > 0 GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT label, bin, round(cx + (lo + (bin + 0.5::DOUBLE) * step) * ux - m * uy, 4) AS x, round(cy + (lo + (bin + 0.5::DOUBLE) * step) * uy + m * ux, 4) AS y FROM m""",
+    ),
+)
+def cluster_spines(spark: SparkSession, folder: str) -> DataFrame:
+    """Bent centre lines of labelled clusters."""
+    p = A.pts(spark, folder).select(F.expr("(x div 512) * 8 + y div 512").alias("label"), (F.col("x") % 512).alias("x"), (F.col("y") % 512).alias("y"))
+    return points.spines(p, "label", bins=6).select("label", "bin", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@register(
+    "seismicity_corridors",
+    A.sql(
+        "pts",
+        """,
+sd AS (SELECT DISTINCT (x // 128 + 0.5::DOUBLE) * 128 AS sx, (y // 128 + 0.5::DOUBLE) * 128 AS sy FROM pts),
+near AS (SELECT sx * 10000 + sy AS id, sx, sy, x - sx AS dx, y - sy AS dy FROM sd JOIN pts ON abs(x - sx) <= 150 AND abs(y - sy) <= 150 AND (x - sx) * (x - sx) + (y - sy) * (y - sy) <= 22500)"""
+        + _AXIS.format(key="id", w="1::DOUBLE", x="dx", y="dy", t="near", f="").replace("s AS (SELECT id,", "s AS (SELECT id, any_value(near.sx) AS seed_x, any_value(near.sy) AS seed_y,")
+        + """,
+a AS (SELECT *, sx / w AS cx, sy / w AS cy, cos(0.5::DOUBLE * atan2(2 * b, a - c)) AS ux, sin(0.5::DOUBLE * atan2(2 * b, a - c)) AS uy, l1 / (l1 + l2) AS lin FROM e WHERE n >= 4),
+t AS (SELECT a.id, quantile_cont((dx - cx) * ux + (dy - cy) * uy, 0.95) - quantile_cont((dx - cx) * ux + (dy - cy) * uy, 0.05) AS len FROM near JOIN a USING (id) WHERE lin >= 0.7::DOUBLE GROUP BY 1)
+SELECT seed_x, seed_y, n::BIGINT AS n, round(seed_x + cx, 4) AS cx, round(seed_y + cy, 4) AS cy, round(lin, 6) AS linearity, round(len, 4) AS length FROM a JOIN t USING (id) WHERE len >= 100""",
+    ),
+)
+def seismicity_corridors(spark: SparkSession, folder: str) -> DataFrame:
+    """Straight, long and well-sampled neighbourhoods of the cells that hold events."""
+    c = points.seeded_corridors(A.pts(spark, folder), 128.0, 150.0, 4, 0.7, 100.0)
+    return c.select("seed_x", "seed_y", "n", *[F.round(x, d).alias(x) for x, d in (("cx", 4), ("cy", 4), ("linearity", 6), ("length", 4))])

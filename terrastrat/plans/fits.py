@@ -132,12 +132,23 @@ def gate_decision(spark: SparkSession, folder: str) -> DataFrame:
     return s.agg(F.round(own, 6).alias("score"), F.round(control, 6).alias("best_control"), (own > control).alias("beats_controls"), (n <= 5000).alias("within_budget"), ((own > control) & (n <= 5000)).alias("passed"))
 
 
-@register("ecdf_excess_scale")
+@register(
+    "ecdf_excess_scale",
+    A.sql(
+        "pts",
+        f""",
+q AS (SELECT id, floor({A.unit_sql(21, "id")} * 4096)::BIGINT AS x, floor({A.unit_sql(22, "id")} * 4096)::BIGINT AS y FROM pts),
+near AS (SELECT 'o' AS w, min(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE)) AS d FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.x - b.x) <= 700 AND abs(a.y - b.y) <= 700 GROUP BY a.id
+  UNION ALL SELECT 'n', min(sqrt(((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))::DOUBLE)) FROM q a JOIN q b ON a.id <> b.id AND abs(a.x - b.x) <= 700 AND abs(a.y - b.y) <= 700 GROUP BY a.id),
+s AS (SELECT step::DOUBLE AS step, avg((d <= step)::INT) FILTER (w = 'o') AS observed, avg((d <= step)::INT) FILTER (w = 'n') AS expected FROM near, range(2, 80, 2) t(step) GROUP BY 1)
+SELECT step, round(observed, 9) AS observed, round(expected, 9) AS expected, (SELECT max(step) FROM s WHERE observed - expected > 0.05::DOUBLE) AS scale FROM s""",
+    ),
+)
 def ecdf_excess_scale(spark: SparkSession, folder: str) -> DataFrame:
     """Nearest-neighbour distances against those of as many points dealt over the box by hash."""
     p = A.pts(spark, folder).select("id", "x", "y")
     null = p.select("id", F.floor(unit_hash(F.col("id"), seed=21) * 4096).cast("long").alias("x"), F.floor(unit_hash(F.col("id"), seed=22) * 4096).cast("long").alias("y"))
-    return fit.ecdf_excess(spatial.knn(p, 1), spatial.knn(null, 1), "d", [float(s) for s in range(2, 80, 2)])
+    return fit.ecdf_excess(spatial.knn(p, 1), spatial.knn(null, 1), "d", [float(s) for s in range(2, 80, 2)]).withColumns({c: F.round(c, 9) for c in ("observed", "expected")})
 
 
 @register("viterbi_snap")

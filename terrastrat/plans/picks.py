@@ -59,10 +59,10 @@ def poisson_disc_greedy(spark: SparkSession, folder: str) -> DataFrame:
     return select.spaced(A.cells(spark, folder), "b2", kernels.disc(2.8, keep_zero=True))
 
 
-@register("exponential_race_sample")
+@register("exponential_race_sample", A.sql("cells", f"SELECT row, col, b1, round(arrival, 12) AS arrival FROM (SELECT row, col, b1, -ln({A.unit_sql(11, 'row', 'col')}) / b1 AS arrival FROM cells WHERE b1 > 0 ORDER BY arrival, row, col LIMIT 1000)"))
 def exponential_race_sample(spark: SparkSession, folder: str) -> DataFrame:
     """A sample of 1000 cells without replacement, in proportion to their value (the sample is the feature)."""
-    return select.race(A.cells(spark, folder), F.col("b1"), 1000, 11).select("row", "col", "b1", "arrival")
+    return select.race(A.cells(spark, folder), F.col("b1"), 1000, 11).select("row", "col", "b1", F.round("arrival", 12).alias("arrival"))
 
 
 @register("blue_noise_sample")
