@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from terrastrat.session import cut
 
+#: Edges a task at least: rounds over few edges should not write hundreds of small files.
+TASK_ROWS = 250_000
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of *edges*; component is the smallest node reached.
@@ -21,7 +24,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).dropna()
     both = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    names = cut(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("end")))
+    tasks = -(-both.count() // TASK_ROWS) or 1
+    keep = lambda df: cut(df.coalesce(tasks))
+    names = keep(both.select(F.col("a").alias("node")).distinct().select("node", F.col("node").alias("end")))
     left = both.filter("a <> b")
     for number in range(max_rounds):
         if left.isEmpty():
@@ -29,21 +34,21 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             return names.join(least, "end").select("node", "component")
         place = lambda c: F.struct((F.xxhash64(F.lit(number), c) if number else F.lit(0)).alias("h"), F.col(c).alias("n"))
         first = F.min(place("b")).alias("first")
-        ends = cut(left.groupBy("a").agg(first).select("a", F.least(F.col("first"), place("a"))["n"].alias("end")))
-        ends = followed(ends, max_rounds)
+        ends = keep(left.groupBy("a").agg(first).select("a", F.least(F.col("first"), place("a"))["n"].alias("end")))
+        ends = followed(ends, max_rounds, keep)
         other = ends.select(F.col("a").alias("b"), F.col("end").alias("b_end"))
         left = left.join(ends, "a").join(other, "b").filter("end <> b_end")
-        left = cut(left.select(F.col("end").alias("a"), F.col("b_end").alias("b")).distinct())
+        left = keep(left.select(F.col("end").alias("a"), F.col("b_end").alias("b")).distinct())
         moved = ends.select(F.col("a").alias("end"), F.col("end").alias("new"))
-        names = cut(names.join(moved, "end", "left").select("node", F.coalesce("new", "end").alias("end")))
+        names = keep(names.join(moved, "end", "left").select("node", F.coalesce("new", "end").alias("end")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def followed(ends: DataFrame, max_rounds: int) -> DataFrame:
+def followed(ends: DataFrame, max_rounds: int, keep=cut) -> DataFrame:
     """``(a, end)`` with every pointer followed to the node that points to itself."""
     for _ in range(max_rounds):
         hop = ends.select(F.col("a").alias("end"), F.col("end").alias("next"))
-        jumped = cut(ends.join(hop, "end").select("a", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")))
+        jumped = keep(ends.join(hop, "end").select("a", F.col("next").alias("end"), (F.col("next") != F.col("end")).alias("moved")))
         ends = jumped.select("a", "end")
         if jumped.filter("moved").isEmpty():
             return ends

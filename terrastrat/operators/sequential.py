@@ -49,58 +49,156 @@ def best_paths(cells: DataFrame, key: str, lanes: int, penalty: float) -> DataFr
 NEIGHBOURS = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
 
 
-def drain(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(filled surface, downstream neighbour index or -1, cells upstream with the cell itself); NaN is outside.
+def settle(z: np.ndarray, level: np.ndarray, hops: np.ndarray) -> None:
+    """Lowers (level, hops) in place until no cell can be reached better: the least highest ground on a way out, then cells crossed at that level.
 
-    Depressions are filled from the border inwards, lowest cells first; each cell then drains to its
-    steepest neighbour, or across flats to the neighbour from which it was reached.
+    NaN ground is outside; cells of finite level are where ways begin.
     """
     rows, cols = z.shape
-    filled, out = z.copy(), np.full(z.shape, -1)
-    seen, order, heap = np.isnan(z), [], []
-    for r in range(rows):
-        for c in range(cols):
-            if not seen[r, c] and any(not (0 <= r + i < rows and 0 <= c + j < cols) or np.isnan(z[r + i, c + j]) for i, j in NEIGHBOURS):
-                heapq.heappush(heap, (z[r, c], r, c))
-    for _, r, c in heap:
-        seen[r, c] = True
+    heap = [(level[r, c], hops[r, c], r, c) for r, c in zip(*np.nonzero(np.isfinite(level)), strict=True)]
+    heapq.heapify(heap)
     while heap:
-        level, r, c = heapq.heappop(heap)
-        order.append((r, c))
+        f, h, r, c = heapq.heappop(heap)
+        if (f, h) > (level[r, c], hops[r, c]):
+            continue
         for i, j in NEIGHBOURS:
             a, b = r + i, c + j
-            if 0 <= a < rows and 0 <= b < cols and not seen[a, b]:
-                seen[a, b] = True
-                filled[a, b] = max(z[a, b], level)
-                out[a, b] = NEIGHBOURS.index((-i, -j))
-                heapq.heappush(heap, (filled[a, b], a, b))
-    for r, c in order:
-        drop = [(filled[r, c] - filled[r + i, c + j]) / np.hypot(i, j) if 0 <= r + i < rows and 0 <= c + j < cols and not np.isnan(z[r + i, c + j]) else -np.inf for i, j in NEIGHBOURS]
-        if max(drop) > 0:
-            out[r, c] = int(np.argmax(drop))
-    area = np.where(np.isnan(z), 0, 1)
-    # upstream first: by falling level, and within one level by the reverse of the order reached
-    place = {p: n for n, p in enumerate(order)}
-    for r, c in sorted(order, key=lambda p: (-filled[p], -place[p])):
-        if out[r, c] >= 0:
-            i, j = NEIGHBOURS[out[r, c]]
-            area[r + i, c + j] += area[r, c]
-    return filled, out, area
-
-
-def drainage(cells: DataFrame, tile: int) -> DataFrame:
-    """``(row, col, filled, direction, area)`` inside each tile of *tile* cells; borders of tiles are outlets."""
+            if 0 <= a < rows and 0 <= b < cols and not np.isnan(z[a, b]):
+                nf = max(z[a, b], f)
+                new = (nf, h + 1 if nf == f else 0)
+                if new < (level[a, b], hops[a, b]):
+                    level[a, b], hops[a, b] = new
+                    heapq.heappush(heap, (*new, a, b))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf["row"].iloc[0]) // tile * tile, int(pdf["col"].iloc[0]) // tile * tile
-        z = np.full((tile, tile), np.nan)
-        z[pdf["row"] - r0, pdf["col"] - c0] = pdf["z"]
-        filled, out, area = drain(z)
-        r, c = np.nonzero(~np.isnan(z))
-        return pd.DataFrame({"row": r + r0, "col": c + c0, "filled": filled[r, c], "direction": out[r, c], "area": area[r, c]})
-
-    key = [F.expr(f"row div {tile}").alias("_r"), F.expr(f"col div {tile}").alias("_c")]
-    return cells.groupBy(*key).applyInPandas(solve, "row long, col long, filled double, direction long, area long")
+
+def downstream(level: np.ndarray, hops: np.ndarray) -> np.ndarray:
+    """Neighbour index that each cell drains to: the steepest, on flats the one fewest cells from their end; -1 for none."""
+    wide, near = np.pad(level, 1, constant_values=np.nan), np.pad(hops, 1)
+    rows, cols = level.shape
+    drop, flat = np.full((8, rows, cols), -np.inf), np.full((8, rows, cols), np.inf)
+    for n, (i, j) in enumerate(NEIGHBOURS):
+        f, h = wide[1 + i : 1 + i + rows, 1 + j : 1 + j + cols], near[1 + i : 1 + i + rows, 1 + j : 1 + j + cols]
+        known = np.isfinite(f) & np.isfinite(level)
+        drop[n][known] = (level[known] - f[known]) / np.hypot(i, j)
+        same = known & (f == level) & (h < hops)
+        flat[n][same] = h[same]
+    out = np.where(drop.max(axis=0) > 0, drop.argmax(axis=0), np.where(np.isfinite(flat.min(axis=0)), flat.argmin(axis=0), -1))
+    return np.where(np.isfinite(level), out, -1)
+
+
+def gathered(amount: np.ndarray, out: np.ndarray, level: np.ndarray, hops: np.ndarray, own: np.ndarray) -> None:
+    """Adds every own cell's amount to the cell that it drains to, upstream cells first, in place."""
+    r, c = np.nonzero(own & (out >= 0))
+    order = np.lexsort((-hops[r, c], -level[r, c]))
+    for a, b in zip(r[order], c[order], strict=True):
+        if amount[a, b]:
+            i, j = NEIGHBOURS[out[a, b]]
+            amount[a + i, b + j] += amount[a, b]
+
+
+def _grid(pdf: pd.DataFrame, tile: int, names: list[str], fill: dict) -> tuple[int, int, dict]:
+    """Arrays of a tile with one cell around it; the tile's key is in columns _r and _c."""
+    r0, c0 = int(pdf["_r"].iloc[0]) * tile - 1, int(pdf["_c"].iloc[0]) * tile - 1
+    grids = {}
+    for n in names:
+        grids[n] = np.full((tile + 2, tile + 2), fill.get(n, np.nan))
+        grids[n][pdf["row"] - r0, pdf["col"] - c0] = pdf[n]
+    return r0, c0, grids
+
+
+def _own(tile: int) -> np.ndarray:
+    own = np.zeros((tile + 2, tile + 2), bool)
+    own[1:-1, 1:-1] = True
+    return own
+
+
+def drainage(cells: DataFrame, tile: int = 256) -> DataFrame:
+    """``(row, col, filled, direction, area)`` of the ground ``(row, col, z)``: filled surface, downstream neighbour (-1: out), cells upstream with the cell itself.
+
+    Cells beside a missing one are ways out. Work runs on tiles with one cell around them. Levels are lowered
+    within tiles and handed over their borders until none changes, which gives the one fixed point of
+    the whole grid whatever the tiles. Then water is gathered inside tiles, and what leaves a tile is
+    sent on to the next until nothing does. So results don't depend on *tile*. Null ground is missing.
+    """
+    ground = cells.filter("z is not null AND NOT isnan(z)").select("row", "col", F.col("z").cast("double").alias("z"))
+    around = gather(ground, square(1), [F.count("*").alias("n")], [], within=ground)
+    state = ground.join(around, ["row", "col"])
+    state = cut(state.select("row", "col", "z", F.when(F.col("n") < 9, F.col("z")).otherwise(F.lit(float("inf"))).alias("level"), F.when(F.col("n") < 9, 0).otherwise(1 << 40).cast("double").alias("hops")))
+    keys = F.array_distinct(F.array(*[F.struct(F.expr(f"floor((row + {i}) / {tile})").alias("r"), F.expr(f"floor((col + {j}) / {tile})").alias("c")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    haloed = lambda t: t.withColumn("_k", F.explode(keys)).select("*", F.col("_k.r").alias("_r"), F.col("_k.c").alias("_c")).drop("_k").groupBy("_r", "_c")
+    own = _own(tile)
+
+    def lower(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0, g = _grid(pdf, tile, ["z", "level", "hops"], {"level": np.inf, "hops": 1 << 40})
+        before = g["level"].copy(), g["hops"].copy()
+        settle(g["z"], g["level"], g["hops"])
+        r, c = np.nonzero(own & ~np.isnan(g["z"]))
+        changed = (g["level"] != before[0]) | (g["hops"] != before[1])
+        return pd.DataFrame({"row": r + r0, "col": c + c0, "z": g["z"][r, c], "level": g["level"][r, c], "hops": g["hops"][r, c], "changed": changed[r, c]})
+
+    while True:
+        state = cut(haloed(state).applyInPandas(lower, "row long, col long, z double, level double, hops double, changed boolean"))
+        moved = not state.filter("changed").isEmpty()
+        state = state.drop("changed")
+        if not moved:
+            break
+
+    def flow(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0, g = _grid(pdf, tile, ["level", "hops"], {"level": np.nan, "hops": 0})
+        out = downstream(g["level"], g["hops"])
+        known = own & np.isfinite(g["level"])
+        amount = known.astype(np.float64)
+        gathered(amount, out, g["level"], g["hops"], known)
+        return _result(r0, c0, g, out, amount, known)
+
+    def _result(r0, c0, g, out, amount, known):
+        """The tile's cells, and (direction null) what reached the cells around it."""
+        r, c = np.nonzero(known)
+        p, q = np.nonzero(~own & (amount > 0))
+        mine = pd.DataFrame({"row": r + r0, "col": c + c0, "level": g["level"][r, c], "hops": g["hops"][r, c], "direction": out[r, c], "amount": amount[r, c]})
+        sent = pd.DataFrame({"row": p + r0, "col": q + c0, "level": np.nan, "hops": np.nan, "direction": pd.NA, "amount": amount[p, q]})
+        both = pd.concat([mine, sent], ignore_index=True) if len(sent) else mine
+        both["direction"] = both["direction"].astype("Int64")
+        return both
+
+    schema = "row long, col long, level double, hops double, direction long, amount double"
+    found = cut(haloed(state.select("row", "col", "level", "hops")).applyInPandas(flow, schema))
+    net = cut(found.filter("direction is not null"))
+    areas = net.select("row", "col", "amount")
+    key = [F.expr(f"floor(row / {tile})").alias("_r"), F.expr(f"floor(col / {tile})").alias("_c")]
+    tiles = net.select("row", "col", "level", "hops", "direction", *key)
+
+    def carry(pdf: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        r0, c0, g = _grid(pdf, tile, ["level", "hops", "direction"], {"hops": 0, "direction": -1})
+        known = own & np.isfinite(g["level"])
+        amount = np.zeros(known.shape)
+        amount[sent["row"] - r0, sent["col"] - c0] = sent["amount"]
+        out = g["direction"].astype(np.int64)
+        gathered(amount, out, g["level"], g["hops"], known)
+        return _result(r0, c0, g, out, amount, known & (amount > 0))
+
+    while True:
+        sent = cut(found.filter("direction is null").groupBy("row", "col").agg(F.sum("amount").alias("amount")).select("*", *key))
+        if sent.isEmpty():
+            break
+        part = tiles.join(sent.select("_r", "_c").distinct(), ["_r", "_c"], "left_semi")
+        found = cut(part.groupBy("_r", "_c").cogroup(sent.groupBy("_r", "_c")).applyInPandas(carry, schema))
+        areas = areas.unionByName(found.filter("direction is not null").select("row", "col", "amount"))
+    total = areas.groupBy("row", "col").agg(F.sum("amount").cast("long").alias("area"))
+    return net.select("row", "col", F.col("level").alias("filled"), "direction").join(total, ["row", "col"])
+
+
+def deflection(flow: DataFrame, least_area: int, window: int = 7, least: int = 5) -> DataFrame:
+    """``(row, col, deflection)`` of channel cells of ``(row, col, direction, area)``: one minus the length of the mean direction of channels around.
+
+    Channels are cells of at least *least_area*; with fewer than *least* of them in the window it is 0.
+    """
+    # fixed value: angles of the eight neighbours from east, against the clock, in the order of NEIGHBOURS
+    angles = [float(np.arctan2(-i, j)) for i, j in NEIGHBOURS]
+    angle = F.when(F.col("direction") >= 0, F.element_at(F.array(*map(F.lit, angles)), (F.col("direction") + 1).cast("int"))).otherwise(0.0)
+    rows = flow.filter(F.col("area") >= least_area).select("row", "col", F.cos(angle).alias("u"), F.sin(angle).alias("v"))
+    sums = gather(rows, square(window // 2), [F.sum("u").alias("u"), F.sum("v").alias("v"), F.count("*").alias("n")], ["u", "v"], within=rows)
+    return sums.select("row", "col", F.when(F.col("n") >= least, 1 - F.hypot("u", "v") / F.col("n")).otherwise(0.0).alias("deflection"))
 
 
 def thin(mask: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import tversky, unit_hash
 from terrastrat.operators import fit, learn, sequential, spatial
+from terrastrat.operators.kernels import gather
 from terrastrat.operators.ranking import numbered
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
@@ -160,10 +163,29 @@ def viterbi_snap(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("flow_accumulation")
 def flow_accumulation(spark: SparkSession, folder: str) -> DataFrame:
-    """Steepest descent and upstream area inside tiles of 64 cells, after filling depressions."""
+    """Steepest descent and upstream area over the whole grid, after filling depressions."""
     return sequential.drainage(A.cells(spark, folder).select("row", "col", F.col("b1").alias("z")), 64)
 
 
+_STEEP = """,
+nb AS (SELECT * FROM (VALUES (0::BIGINT, -1::BIGINT, 0::BIGINT), (1, 1, 0), (2, 0, -1), (3, 0, 1), (4, -1, -1), (5, -1, 1), (6, 1, -1), (7, 1, 1)) v(d, i, j)),
+st AS (SELECT c.row, c.col, any_value(c.n) AS area, arg_max(d, {'s': (c.b1 - m.b1) / sqrt((i * i + j * j)::DOUBLE), 'd': -d}) FILTER (m.b1 < c.b1) AS d FROM cells c CROSS JOIN nb LEFT JOIN cells m ON m.row = c.row + i AND m.col = c.col + j GROUP BY 1, 2),
+ch AS (SELECT s.row, s.col, cos(coalesce(atan2(-i::DOUBLE, j::DOUBLE), 0)) AS u, sin(coalesce(atan2(-i::DOUBLE, j::DOUBLE), 0)) AS v FROM st s LEFT JOIN nb USING (d) WHERE area >= 2)
+SELECT a.row, a.col, round(CASE WHEN count(*) >= 5 THEN 1 - sqrt(pow(sum(b.u), 2) + pow(sum(b.v), 2)) / count(*) ELSE 0 END + 1e-8::DOUBLE, 6) AS deflection FROM ch a JOIN ch b ON b.row BETWEEN a.row - 3 AND a.row + 3 AND b.col BETWEEN a.col - 3 AND a.col + 3 GROUP BY 1, 2"""
+
+
+@register("channel_deflection", A.sql("cells", _STEEP))
+def channel_deflection(spark: SparkSession, folder: str) -> DataFrame:
+    """How far channels around a cell turn from each other; here channels are cells of two rows or more, draining to the steepest neighbour."""
+    c = A.cells(spark, folder)
+    table = [(i, j, float(d)) for d, (i, j) in enumerate(sequential.NEIGHBOURS)]
+    near = gather(c, table, [F.collect_list(F.struct("k", F.col("b1").alias("m"))).alias("near")], ["b1"], within=c.select("row", "col"))
+    slope = lambda x: (F.col("b1") - x["m"]) / F.when(x["k"] < 4, 1.0).otherwise(math.sqrt(2))
+    best = F.array_max(F.transform(F.filter("near", lambda x: x["m"] < F.col("b1")), lambda x: F.struct(slope(x).alias("s"), (-x["k"]).alias("d"))))
+    flow = c.join(near, ["row", "col"]).select("row", "col", F.coalesce(-best["d"], F.lit(-1.0)).cast("long").alias("direction"), F.col("n").alias("area"))
+    return sequential.deflection(flow, 2).select("row", "col", F.round(F.col("deflection") + 1e-8, 6).alias("deflection"))
+
+
 @register("thinned_mask")
 def thinned_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Truth thinned to lines of one cell."""

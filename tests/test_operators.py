@@ -183,13 +183,46 @@ def test_best_path_follows_a_ridge():
     assert max(abs(np.diff(path))) <= 2 and np.mean(path == ridge) > 0.9
 
 
-def test_drainage_of_a_tilted_plane_and_a_pit():
+def drained(spark, z, tile):
+    rows = [(int(r), int(c), float(z[r, c])) for r, c in zip(*np.nonzero(~np.isnan(z)), strict=True)]
+    return {(r.row, r.col): (r.filled, r.direction, r.area) for r in sequential.drainage(cells(spark, rows, "row long, col long, z double"), tile).collect()}
+
+
+def test_drainage_of_a_tilted_plane_and_a_pit(spark):
     z = np.add.outer(np.zeros(6), np.arange(6.0))
-    filled, out, area = sequential.drain(z)
-    assert (filled == z).all() and (area[:, 0] >= 1).all() and area[out < 0].sum() == 36
     z[3, 3] = -9
-    filled, out, area = sequential.drain(z)
-    assert filled[3, 3] > -9 and area[out < 0].sum() == 36
+    got = drained(spark, z, 8)
+    assert len(got) == 36 and got[3, 3][0] > -9 and all(got[p][0] == z[p] for p in got if p != (3, 3))
+    assert sum(area for _, d, area in got.values() if d < 0) == 36
+
+
+def test_drainage_does_not_depend_on_tiles(spark):
+    """Rough ground with flats, pits and holes: levels by brute-force relaxation, areas by following every cell out."""
+    rng = np.random.default_rng(4)
+    z = np.round(rng.uniform(0, 6, (23, 31)))
+    z[10:13, 5:9] = np.nan
+    got = drained(spark, z, 64)
+    assert got == drained(spark, z, 7)
+    level = np.full((25, 33), np.inf)
+    ground = np.pad(z, 1, constant_values=np.nan)
+    near = lambda a, r, c: [a[r + i, c + j] for i, j in sequential.NEIGHBOURS]
+    inside = list(zip(*np.nonzero(~np.isnan(ground)), strict=True))
+    for _ in range(200):
+        for r, c in inside:
+            out = np.isnan(near(ground, r, c)).any()
+            level[r, c] = ground[r, c] if out else max(ground[r, c], min(x for x, g in zip(near(level, r, c), near(ground, r, c), strict=True) if not np.isnan(g)))
+    assert all(got[r - 1, c - 1][0] == level[r, c] for r, c in inside)
+    area = dict.fromkeys(got, 0)
+    for p in got:
+        steps = 0
+        while True:
+            area[p] += 1
+            if got[p][1] < 0:
+                break
+            i, j = sequential.NEIGHBOURS[got[p][1]]
+            p, steps = (p[0] + i, p[1] + j), steps + 1
+            assert steps < 1000
+    assert all(got[p][2] == area[p] for p in got)
 
 
 def test_thinning_leaves_a_line(spark):
