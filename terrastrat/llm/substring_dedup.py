@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.llm import linking, shingles
-from terrastrat.session import cut, small_batches, small_join, written
+from terrastrat.session import cut, small_batches, written
 
 THRESHOLD, SEED = 0.8, 90_001
 #: A sentence of so many words ends a piece; repeated passages of fewer than MIN_PASSAGE words are let be.
@@ -28,8 +28,8 @@ LANES, LIKELY = 64, 0.6
 STRETCH, REACH = 64, 8
 #: Code points of an edited piece that a passage may go across, and how far its ends may have moved by the edit.
 BRIDGE, MOVED = 400, 40
-#: Pieces whose bands a task remembers having given; beyond it starts anew, which costs rows and changes nothing.
-SEEN = 1 << 20
+#: Places (a power of two of them) in which a task remembers pieces whose bands it has given; a forgotten one costs rows and changes nothing.
+SEEN_BITS = 20
 
 
 def tune(recall: float = 0.999, pieces: int = 1, threshold: float = THRESHOLD, largest: int = 32) -> tuple[int, int]:
@@ -106,7 +106,7 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
     bands = [f"b{i}" for i in range(BANDS)]
 
     def found(batches):
-        seen = np.zeros(0, np.uint64)
+        seen = np.zeros(1 << SEEN_BITS, np.uint64)
         for batch in batches:
             sizes = [len(t.as_py()) for t in batch.column(3)]
             for lo, hi in shingles.runs(sizes, size=lambda n: n):
@@ -121,10 +121,10 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
                 h, begin = shingles.shingles(w.hash, first)
                 least = least64(h, begin, BANDS * ROWS)
                 names, at = np.unique(u, return_index=True)
-                known = np.isin(names, seen, assume_unique=True)
+                place = names >> np.uint64(64 - SEEN_BITS)
                 stale = np.ones(len(u), bool)
-                stale[at[~known]] = False
-                seen = names if len(seen) + len(names) > SEEN else np.union1d(seen, names)
+                stale[at[seen[place] != names]] = False
+                seen[place] = names
                 points = np.concatenate([[0], np.cumsum((w.buffer & 0xC0) != 0x80)])
                 base = points[w.bounds[:-1]][owner]
                 keep = np.flatnonzero(words >= shingles.WIDTH)
@@ -157,14 +157,19 @@ def _joined(values: np.ndarray, band: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join that shuffles both sides at every size: what grows with the corpus is never broadcast, and small inputs run the plan of large ones."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def near_nodes(documents: DataFrame, table: DataFrame, near: DataFrame, key: str, text: str) -> DataFrame:
     """``(id, component)`` of nodes with a verified link to another node. near: ``(bucket, u)``; table: the pieces of these nodes at least."""
     wanted = near.select("u").distinct()
     spot = F.min_by(F.struct("key", "h", "at", "stop"), F.struct("rid", "at"))
-    spots = small_join(table.select("u", "key", "h", "rid", "at", "stop"), cut(wanted), "u").groupBy("u").agg(spot.alias("s"))
+    spots = merged(table.select("u", "key", "h", "rid", "at", "stop"), wanted, "u").groupBy("u").agg(spot.alias("s"))
     spots = cut(spots.groupBy(F.col("s.key").alias("_k"), F.col("s.h").alias("_h")).agg(F.collect_list(F.struct("u", "s.at", "s.stop")).alias("spots")))
     docs = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("h", F.xxhash64("_t"))
-    texts = small_join(docs, spots, (docs["h"] == spots["_h"]) & docs["key"].eqNullSafe(spots["_k"]))
+    texts = merged(docs, spots, (docs["h"] == spots["_h"]) & docs["key"].eqNullSafe(spots["_k"]))
     parts = texts.select(F.explode(F.transform("spots", lambda s: F.struct(s["u"].alias("id"), F.substring(F.col("_t"), s["at"] + 1, s["stop"] - s["at"]).alias("piece")))).alias("p"))
 
     def sketched(batches):
@@ -204,12 +209,12 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     equal = table.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
     nodes = cut(equal.unionByName(near.select("u")).distinct())
     # the one join that all pieces take part in; its other side is a single number a row
-    spots = written(small_join(table.select("u", "key", "h", "rid", "at", "stop", "w", "words"), nodes, "u"))
+    spots = written(merged(table.select("u", "key", "h", "rid", "at", "stop", "w", "words"), nodes, "u"))
     components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
-    spots = written(small_join(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
+    spots = written(merged(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
     labels = written(labels.filter("n > 1").select(F.col("label").alias("_label"), "n", "first"))
-    spots = small_join(spots, labels, F.col("label") == F.col("_label"))
+    spots = merged(spots, labels, F.col("label") == F.col("_label"))
     spots = spots.withColumn("removed", (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
     # windows over the pieces of one document
     order = W.partitionBy("rid").orderBy("at")
