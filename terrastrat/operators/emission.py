@@ -69,6 +69,60 @@ def emit(belief: DataFrame, mass: float, bar: float | None = None, spacing: int
     return belief.select("row", "col", F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("round")).limit(0) if dots is None else dots
 
 
+def emit_batches(weight: DataFrame, allowed: DataFrame, batch: int, mass: int | None = None, suppression: float = 1.0, margin: float = 1.0, max_rounds: int | None = None) -> DataFrame:
+    """Dots ``(row, col, gain, round)``: in every round the *batch* best allowed cells, without regard to each other.
+
+    weight: ``(row, col, w)``, the probability of truth at each cell. A cell's gain is the credit left
+    around it less the bar times its share of false weight; the bar is that of the score so far. Cells
+    within *suppression* of a dot are out from the next round on. Rounds end when no cell gains, or at
+    *mass* dots, whatever they gain. Equal gains are taken by row and col. Only the round's dots and
+    cells near them change, and the driver holds four numbers. Raises if cells still gain after
+    *max_rounds*.
+    """
+    w = cut(weight.select("row", "col", F.col("w").cast("double").alias("w")).filter("w > 0"))
+    total = w.agg(F.sum("w")).first()[0] or 0.0
+    kern = disc(3.0)
+    # best expected kernel under independent truth: one minus the chance that no truth is nearer, summed over kernel steps
+    levels = sorted({round(k, 12) for _, _, k in kern}, reverse=True)
+    none = spread(w, kern, ["w"]).groupBy("row", "col").agg(*[F.sum(F.when(F.round("k", 12) == k, F.log1p(-F.least("w", F.lit(1 - 1e-12))))).alias(f"_{n}") for n, k in enumerate(levels)])
+    best, before = F.lit(0.0), F.lit(0.0)
+    for n, k in enumerate(levels):
+        after = before + F.coalesce(F.col(f"_{n}"), F.lit(0.0))
+        best = best + k * (F.exp(before) - F.exp(after))
+        before = after
+    cells = allowed.select("row", "col").distinct().join(none.select("row", "col", best.alias("discount")), ["row", "col"], "left")
+    cells = cut(cells.select("row", "col", F.least(F.greatest(1 - F.coalesce("discount", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)).alias("penalty")))
+    left, covered, dots, t, f, n = cells, w.select("row", "col", F.lit(0.0).alias("cover")).limit(0), None, 0.0, 0.0, 0
+    for number in itertools.count(1):
+        room = batch if mass is None else min(batch, mass - n)
+        if room <= 0:
+            break
+        bar = ALPHA * t / (ALPHA * f + (1 - ALPHA) * total + 1e-9) * margin
+        rest = w.join(covered, ["row", "col"], "left").select("row", "col", (F.col("w") * F.greatest(1 - F.coalesce("cover", F.lit(0.0)), F.lit(0.0))).alias("w"))
+        credit = spread(rest, kern, ["w"]).groupBy("row", "col").agg(F.sum(F.col("w") * F.col("k")).alias("credit"))
+        g = left.join(credit, ["row", "col"], "left").withColumn("gain", F.coalesce("credit", F.lit(0.0)) - bar * F.col("penalty"))
+        g = g if mass is not None else g.filter("gain > 1e-9")
+        new = cut(g.orderBy(F.desc(F.round("gain", 9)), "row", "col").limit(room).select("row", "col", "gain", "penalty", F.lit(number).cast("long").alias("round")))
+        count, false = new.agg(F.count("*"), F.sum("penalty")).first()
+        if not count:
+            break
+        if max_rounds is not None and number > max_rounds:
+            raise RuntimeError(f"cells still gain after {max_rounds} rounds")
+        fresh = spread(new, kern, []).groupBy("row", "col").agg(F.max("k").alias("cover"))
+        both = covered.select("row", "col", F.col("cover").alias("old"), F.lit(None).cast("double").alias("new")).unionByName(fresh.select("row", "col", F.lit(None).cast("double").alias("old"), F.col("cover").alias("new")))
+        both = cut(both.groupBy("row", "col").agg(F.coalesce(F.max("old"), F.lit(0.0)).alias("old"), F.coalesce(F.max("new"), F.lit(0.0)).alias("new")))
+        t += w.join(both, ["row", "col"]).agg(F.sum(F.col("w") * F.greatest(F.col("new") - F.col("old"), F.lit(0.0)))).first()[0] or 0.0
+        covered = both.select("row", "col", F.greatest("old", "new").alias("cover"))
+        f, n = f + (false or 0.0), n + count
+        near = spread(new, disc(suppression, weight=lambda d, r: 1.0), []).select("row", "col").distinct()
+        left = cut(left.join(near, ["row", "col"], "left_anti"))
+        new = new.drop("penalty")
+        dots = new if dots is None else dots.unionByName(new)
+        if number % MERGE == 0:
+            dots = cut(dots.coalesce(MERGE))
+    return cells.select("row", "col", F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("round")).limit(0) if dots is None else dots
+
+
 def chains(segments: DataFrame, reach: float, degrees: float) -> DataFrame:
     """``(a, b, gap)``: pairs a < b of segments ``(id, cx, cy, ux, uy, half)`` whose nearest ends lie within *reach* and whose axes agree."""
     ends = segments.withColumn("_e", F.explode(F.array(F.lit(-1.0), F.lit(1.0))))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrastrat.operators.kernels import disc, spread
+from terrastrat.operators.graph import connected_components
+from terrastrat.operators.kernels import disc, spread, square
 
 
 def occupied(artifacts: DataFrame, size: int) -> DataFrame:
@@ -59,3 +60,13 @@ def jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = x.join(y, ["row", "col"], "full")
     both = F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull())
     return rows.agg(both.alias("shared"), F.count("*").alias("either"), F.round(F.coalesce(F.try_divide(both, F.count("*")), F.lit(1.0)), 6).alias("jaccard"))
+
+
+def small_patches(mask: DataFrame, size: int) -> DataFrame:
+    """Cells of the mask in patches (touching by sides or corners) of fewer than *size* cells."""
+    name = F.struct("row", "col")
+    cells = mask.select("row", "col", name.alias("node"))
+    pairs = spread(mask.select("row", "col", name.alias("a")), square(1), ["a"]).join(mask.select("row", "col"), ["row", "col"])
+    parts = connected_components(pairs.select("a", name.alias("b")), "a", "b")
+    small = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") < size).select("component")
+    return parts.join(small, "component", "left_semi").join(cells, "node").select("row", "col")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrastrat.functions.expressions import eigen2
 from terrastrat.operators import fields, ranking
 from terrastrat.operators.kernels import disc, gather, gauss, separable, spread, square
+from terrastrat.session import cut
 
 
 def smooth(cells: DataFrame, value: str, sigma: float, out: str = "v", orders: tuple[int, int] = (0, 0)) -> DataFrame:
@@ -127,6 +128,7 @@ def burnt(segments: DataFrame, sigma: float, weight: str = "weight") -> DataFram
 
 def robust_unit(cells: DataFrame, value: str, out: str, at: float = 0.99, positive: bool = True) -> DataFrame:
     """*value* over a percentile of its (positive) values, clipped to 0..1."""
+    cells = cut(cells)  # read twice: for the percentile and for the result
     v = F.when(F.col(value) > 0, F.col(value)) if positive else F.col(value)
     top = ranking.percentiles(cells, v, [at], ["_top"])
     return cells.join(F.broadcast(top)).withColumn(out, F.coalesce(F.least(F.greatest(F.col(value) / F.greatest("_top", F.lit(1e-12)), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))).drop("_top")

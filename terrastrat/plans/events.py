@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import axial_difference, decode_linear, decode_square, unit_hash, utm
-from terrastrat.operators import catalog, cluster, points, ranking, spatial
+from terrastrat.operators import catalog, cluster, lines, points, ranking, spatial
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 from terrastrat.session import cut
@@ -477,3 +477,41 @@ def seismicity_corridors(spark: SparkSession, folder: str) -> DataFrame:
     """Straight, long and well-sampled neighbourhoods of the cells that hold events."""
     c = points.seeded_corridors(A.pts(spark, folder), 128.0, 150.0, 4, 0.7, 100.0)
     return c.select("seed_x", "seed_y", "n", *[F.round(x, d).alias(x) for x, d in (("cx", 4), ("cy", 4), ("linearity", 6), ("length", 4))])
+
+
+_ELONGATED = ",\nl AS (SELECT (x // 256) * 16 + y // 256 AS label, x - 256 * (x // 256) AS lx, y - 256 * (y // 256) AS ly FROM pts)" + _AXIS.format(key="label", w="1::DOUBLE", x="lx", y="ly", t="l", f=" * w / greatest(w - 1, 1)")
+
+
+@register(
+    "elongation_test",
+    A.sql(
+        "pts",
+        _ELONGATED
+        + """,
+a AS (SELECT *, sx / w AS cx, sy / w AS cy, cos(0.5::DOUBLE * atan2(2 * b, a - c)) AS ux, sin(0.5::DOUBLE * atan2(2 * b, a - c)) AS uy, l1 / greatest(l2, 1e-9::DOUBLE) AS ratio FROM e WHERE n >= 3),
+k AS (SELECT *, pow(2 * sqrt(ratio) / (1 + ratio), n - 2) AS p FROM a WHERE ratio >= 1.5::DOUBLE),
+sp AS (SELECT label, (quantile_cont((lx - cx) * ux + (ly - cy) * uy, 0.95) - quantile_cont((lx - cx) * ux + (ly - cy) * uy, 0.05)) / 2 AS half FROM l JOIN k USING (label) WHERE p <= 0.5::DOUBLE GROUP BY 1)
+SELECT label, n::BIGINT AS n, round(ratio, 5) AS ratio, round(p, 6) AS p, round(half, 5) AS half_length FROM k JOIN sp USING (label) WHERE half > 0""",
+    ),
+)
+def elongation_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled clusters longer than chance, by the exact distribution of the ratio of variances."""
+    p = A.pts(spark, folder).select(F.expr("(x div 256) * 16 + y div 256").alias("label"), (F.col("x") % 256).alias("x"), (F.col("y") % 256).alias("y"))
+    e = lines.elongated(p, "label", least=3, ratio=1.5, p_most=0.5)
+    return e.select("label", "n", F.round("ratio", 5).alias("ratio"), F.round("p", 6).alias("p"), F.round("half_length", 5).alias("half_length"))
+
+
+@register("cluster_lineations")
+def cluster_lineations(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of near points cut into thin parts, with the elongated ones' corridors."""
+    p = cut(A.pts(spark, folder).select("id", "x", "y"))
+    found = cluster.dbscan(p, 120.0, 4).filter("cluster is not null")
+    return lines.cluster_lineations(p.join(found, "id"), "cluster", 40.0, least=6, ratio=2.0, p_most=0.2)
+
+
+@register("merged_corridors")
+def merged_corridors(spark: SparkSession, folder: str) -> DataFrame:
+    """Seeded corridors united along their lines."""
+    c = points.seeded_corridors(A.pts(spark, folder), 128.0, 150.0, 4, 0.8, 100.0)
+    named = c.select((F.col("seed_x") * 10000 + F.col("seed_y")).cast("long").alias("id"), "n", "cx", "cy", "ux", "uy", (F.col("length") / 2).alias("half"), F.lit(10.0).alias("width"))
+    return lines.merge_corridors(named, 60.0, 15.0)

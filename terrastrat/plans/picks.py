@@ -167,3 +167,29 @@ SELECT round(sum(least(n / 16.0::DOUBLE, 0.95::DOUBLE) * coalesce(k, 0)), 6) AS
 def expected_credit(spark: SparkSession, folder: str) -> DataFrame:
     belief = A.cells(spark, folder).select("row", "col", F.least(F.col("n") / 16.0, F.lit(0.95)).alias("pi"))
     return emission.expected_credit(belief, A.pred(spark, folder)).select(F.round("credit", 6).alias("credit"))
+
+
+@register(
+    "first_batch",
+    A.sql(
+        "cells truth kern",
+        """,
+w AS (SELECT row, col, least(b1 / 100000, 1) AS w FROM cells WHERE b1 > 0),
+cr AS (SELECT w.row + i AS row, w.col + j AS col, sum(w * k) AS gain FROM w, kern GROUP BY 1, 2)
+SELECT c.row, c.col, round(coalesce(gain, 0), 6) AS gain, 1::BIGINT AS round FROM cells c LEFT JOIN cr USING (row, col)
+WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.row = c.row AND t.col = c.col) ORDER BY round(coalesce(gain, 0), 9) DESC, c.row, c.col LIMIT 300""",
+    ),
+)
+def first_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A fixed mass of 300 dots in one batch (the mass is the feature), outside truth."""
+    c = A.cells(spark, folder)
+    free = c.select("row", "col").join(A.truth(spark, folder), ["row", "col"], "left_anti")
+    d = emission.emit_batches(c.select("row", "col", F.least(F.col("b1") / 100000, F.lit(1.0)).alias("w")), free, 300, mass=300)
+    return d.select("row", "col", F.round("gain", 6).alias("gain"), "round")
+
+
+@register("batched_emission")
+def batched_emission(spark: SparkSession, folder: str) -> DataFrame:
+    """Batches of 200 until no cell gains more than it costs."""
+    c = A.cells(spark, folder)
+    return emission.emit_batches(c.select("row", "col", F.least(F.col("b1") / 100000, F.lit(1.0)).alias("w")), c, 200, suppression=2.0)

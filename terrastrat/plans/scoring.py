@@ -362,3 +362,56 @@ def spatial_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def prior_union(spark: SparkSession, folder: str) -> DataFrame:
     """Union of all supports, with how many hold each cell."""
     return A.artifacts(spark, folder).groupBy("row", "col").agg(F.count("*").alias("priors"), F.min("a").alias("first_prior"))
+
+
+_INSTRUMENTS = """,
+tr AS (SELECT 'all' AS instrument, row, col FROM truth UNION ALL SELECT 'even rows', row, col FROM truth WHERE row % 2 = 0 UNION ALL SELECT 'east', row, col FROM truth WHERE col >= 128),
+cr AS (SELECT p.row + i AS row, p.col + j AS col, max(p.p * k) AS credit FROM pred p, kern GROUP BY 1, 2),
+cv AS (SELECT instrument, t.row + i AS row, t.col + j AS col, max(k) AS cover FROM tr t, kern GROUP BY 1, 2, 3),
+a AS (SELECT instrument, sum(coalesce(credit, 0)) AS tp, count(*) AS g FROM tr LEFT JOIN cr USING (row, col) GROUP BY 1),
+f AS (SELECT a.instrument, sum(p * (1 - coalesce(cover, 0))) AS fp, count(*) AS n FROM a CROSS JOIN pred p LEFT JOIN cv ON cv.instrument = a.instrument AND cv.row = p.row AND cv.col = p.col GROUP BY 1)
+SELECT instrument, round(tp, 6) AS tp, round(fp, 6) AS fp, g::BIGINT AS truth_n, round(tp / (tp + 0.2::DOUBLE * fp + 0.8::DOUBLE * (g - tp) + 1e-9::DOUBLE), 6) AS dti, round(tp / n, 6) AS credit_per_dot, round(tp / g, 6) AS covered,
+  round(g / (g + 1e-9::DOUBLE), 6) AS ceiling FROM a JOIN f USING (instrument)"""
+
+
+@register("all_instruments", A.sql("truth pred kern", _INSTRUMENTS))
+def all_instruments(spark: SparkSession, folder: str) -> DataFrame:
+    """One prediction against several truths, with the score of the perfect answer to each."""
+    t, p = A.truth(spark, folder), A.pred(spark, folder)
+    kinds = {"all": F.lit(True), "even rows": F.col("row") % 2 == 0, "east": F.col("col") >= 128}
+    some = F.explode(F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in kinds.items()]), lambda x: x.isNotNull()))
+    truths = t.withColumn("instrument", some)
+    preds = p.withColumn("instrument", F.explode(F.array(*map(F.lit, kinds))))
+    rows = metric.contributions(truths, preds, keys=["instrument"], truth_keys=["instrument"])
+    own = truths.select("instrument", "row", "col", F.lit(1.0).alias("p"))
+    best = metric.contributions(truths, own, keys=["instrument"], truth_keys=["instrument"]).groupBy("instrument").agg(F.round(tversky(F.sum("tp"), F.sum("fp"), F.sum("g") - F.sum("tp")), 6).alias("ceiling"))
+    s = rows.groupBy("instrument").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("g").cast("long").alias("truth_n"), F.sum("n").alias("n"))
+    s = s.join(best, "instrument")
+    return s.select(
+        "instrument", F.round("tp", 6).alias("tp"), F.round("fp", 6).alias("fp"), "truth_n", F.round(tversky(F.col("tp"), F.col("fp"), F.col("truth_n") - F.col("tp")), 6).alias("dti"),
+        F.round(F.col("tp") / F.col("n"), 6).alias("credit_per_dot"), F.round(F.col("tp") / F.col("truth_n"), 6).alias("covered"), "ceiling",
+    )
+
+
+_EIGHT = """,
+link AS (SELECT a.row * 1000 + a.col AS a, b.row * 1000 + b.col AS b FROM truth a JOIN truth b ON abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
+reach(id, root) AS (SELECT a, a FROM link WHERE a = b UNION SELECT e.b, r.root FROM reach r JOIN link e ON e.a = r.id),
+label AS (SELECT id, min(root) AS c FROM reach GROUP BY id)
+SELECT id // 1000 AS row, id % 1000 AS col FROM label WHERE c IN (SELECT c FROM label GROUP BY c HAVING count(*) < 3)"""
+
+
+@register("matched_frame", A.sql("truth", _EIGHT).replace("WITH ", "WITH RECURSIVE ", 1))
+def matched_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """Truth without the cells of large patches (here of three cells and more, touching by sides or corners)."""
+    return overlap.small_patches(A.truth(spark, folder), 3)
+
+
+@register(
+    "training_sample",
+    A.sql("cells truth", f"SELECT row, col, 1::BIGINT AS y FROM truth JOIN (SELECT row, col FROM cells) USING (row, col) UNION ALL SELECT row, col, 0 FROM (SELECT row, col FROM cells ORDER BY {A.unit_sql(31, 'row', 'col')}, row, col LIMIT 500)"),
+)
+def training_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """All positive cells and 500 drawn from all cells (the sample is the feature)."""
+    c = A.cells(spark, folder).select("row", "col")
+    drawn = c.orderBy(unit_hash(F.col("row"), F.col("col"), seed=31), "row", "col").limit(500)
+    return c.join(A.truth(spark, folder), ["row", "col"], "left_semi").withColumn("y", F.lit(1).cast("long")).unionByName(drawn.withColumn("y", F.lit(0).cast("long")))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import axial_difference, kernel, utm
-from terrastrat.operators import catalog, cluster, fields, fit, kernels, metric, points, ranking, select, sequential, spatial
+from terrastrat.operators import catalog, cluster, emission, fields, fit, kernels, lines, metric, points, ranking, select, sequential, spatial
 from terrastrat.operators.graph import connected_components
 
 
@@ -304,3 +304,79 @@ def test_components_of_a_shuffled_chain_settle_in_few_small_plans(spark):
     assert int(size).bit_length() < 256
     got = {r.node: r.component for r in found.collect()}
     assert got == {**dict.fromkeys(range(5000), 0), 9000: 9000, 9001: 9000, 9002: 9002}
+
+
+def test_clusters_are_cut_into_thin_parts_and_long_ones_kept(spark):
+    """Two crossing lines of one cluster come apart at the crossing; a round cloud has no long part."""
+    rng = np.random.default_rng(3)
+    t = rng.uniform(-100, 100, 120)
+    a = np.column_stack([t, 0.02 * rng.normal(size=120)])
+    b = np.column_stack([400 + 0.02 * rng.normal(size=120), t])
+    cloud = rng.normal(1000, 30, (80, 2))
+    rows = [(i, float(x), float(y), "lines" if i < 240 else "cloud") for i, (x, y) in enumerate(np.vstack([a, b, cloud]))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label string")
+    parts = {r.id: r.part for r in lines.split_clusters(df, "label", 5.0).collect()}
+    assert len({parts[i] for i in range(120)}) == 1 and len({parts[i] for i in range(120, 240)}) == 1 and parts[0] != parts[130]
+    found = lines.cluster_lineations(df, "label", 5.0).collect()
+    assert sorted(round(abs(r.ux), 2) for r in found if r.ratio > 1000) == [0.0, 1.0]
+    assert all(80 < r.half_length < 100 for r in found if r.ratio > 1000)
+    assert lines.elongated(df.filter("label = 'cloud'"), "label").count() == 0
+    assert lines.split_clusters(df.limit(0), "label", 5.0).count() == 0
+
+
+def test_the_elongation_s_chance_is_that_of_normal_points(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, float(x), float(y)) for g in range(3000) for x, y in rng.normal(size=(8, 2))]
+    got = lines.elongated(spark.createDataFrame(rows, "g long, x double, y double"), "g", least=8, ratio=1.0, p_most=1.0).select("p").toPandas()["p"]
+    assert all(abs((got <= q).mean() - q) < 0.03 for q in (0.05, 0.25, 0.5, 0.75))
+
+
+def test_corridors_in_line_are_united(spark):
+    rows = [(1, 5, 0.0, 0.0, 1.0, 0.0, 10.0, 2.0), (2, 5, 25.0, 0.5, 1.0, 0.0, 10.0, 3.0), (3, 5, 51.0, 0.0, 1.0, 0.0, 10.0, 1.0), (4, 5, 25.0, 40.0, 0.0, 1.0, 10.0, 1.0)]
+    got = {r.id: r for r in lines.merge_corridors(spark.createDataFrame(rows, "id long, n long, cx double, cy double, ux double, uy double, half double, width double"), 8.0, 10.0).collect()}
+    assert set(got) == {1, 4} and got[1].n == 15 and got[1].width == 3.0
+    assert got[1].half == pytest.approx(35.5, abs=0.1) and got[1].cx == pytest.approx(25.5, abs=0.1) and got[4].half == 10.0
+
+
+def test_batches_equal_the_rule_on_arrays(spark):
+    rng = np.random.default_rng(6)
+    w = np.round(rng.uniform(0, 0.9, (12, 12)) ** 3, 3)
+    rows = [(r, c, float(w[r, c])) for r in range(12) for c in range(12)]
+    df = cells(spark, rows, "row long, col long, w double")
+    got = {(r.row, r.col): r.round for r in emission.emit_batches(df, df, 7, suppression=1.0).collect()}
+    kern = [(i, j, k) for i, j, k in kernels.disc(3.0)]
+    levels = sorted({round(k, 12) for _, _, k in kern}, reverse=True)
+    penalty, total = np.zeros((12, 12)), w.sum()
+    for r in range(12):
+        for c in range(12):
+            chance, best = 1.0, 0.0
+            for k in levels:
+                after = chance
+                for i, j, v in kern:
+                    if round(v, 12) == k and 0 <= r + i < 12 and 0 <= c + j < 12:
+                        after *= 1 - w[r + i, c + j]
+                best += k * (chance - after)
+                chance = after
+            penalty[r, c] = 1 - best
+    cover, free, t, f, want = np.zeros((12, 12)), np.ones((12, 12), bool), 0.0, 0.0, {}
+    for number in range(1, 100):
+        bar = 0.2 * t / (0.2 * f + 0.8 * total + 1e-9)
+        gain = np.zeros((12, 12))
+        for r in range(12):
+            for c in range(12):
+                gain[r, c] = sum(w[r + i, c + j] * (1 - cover[r + i, c + j]) * k for i, j, k in kern if 0 <= r + i < 12 and 0 <= c + j < 12) - bar * penalty[r, c]
+        order = sorted(((-round(gain[r, c], 9), r, c) for r in range(12) for c in range(12) if free[r, c] and gain[r, c] > 1e-9))[:7]
+        if not order:
+            break
+        for _, r, c in order:
+            want[r, c] = number
+            f += penalty[r, c]
+            for i, j, k in kern:
+                if 0 <= r + i < 12 and 0 <= c + j < 12:
+                    t += w[r + i, c + j] * max(0.0, k - cover[r + i, c + j])
+                    cover[r + i, c + j] = max(cover[r + i, c + j], k)
+        for _, r, c in order:
+            for i, j in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)):
+                if 0 <= r + i < 12 and 0 <= c + j < 12:
+                    free[r + i, c + j] = False
+    assert got == want and len(want) > 10
