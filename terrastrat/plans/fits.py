@@ -75,12 +75,21 @@ def uncertainty_calibration(spark: SparkSession, folder: str) -> DataFrame:
     return rows.join(F.broadcast(inside))
 
 
-@register("probability_bisection")
+@register(
+    "probability_bisection",
+    A.sql(
+        "cells",
+        """,
+o AS (SELECT row, col, b1, row_number() OVER (ORDER BY b1 DESC, row, col) - 1 AS capped, sum(b1) OVER (ORDER BY b1, row DESC, col DESC ROWS UNBOUNDED PRECEDING) AS rest FROM cells WHERE b1 > 0),
+f AS (SELECT coalesce(max(greatest(5000 - capped, 0) / rest) FILTER (greatest(5000 - capped, 0) / rest * b1 < 1), 1e300) AS factor FROM o)
+SELECT row, col, round(least(b1 * factor, 1), 9) AS p FROM cells, f""",
+    ),
+)
 def probability_bisection(spark: SparkSession, folder: str) -> DataFrame:
     """Capped probabilities that sum to a given truth mass."""
     c = A.cells(spark, folder)
     factor = fit.capped_scale(c, "b1", 5000.0)
-    return c.select("row", "col", F.least(F.col("b1") * factor, F.lit(1.0)).alias("p"))
+    return c.select("row", "col", F.round(F.least(F.col("b1") * factor, F.lit(1.0)), 9).alias("p"))
 
 
 @register(

@@ -190,7 +190,26 @@ def translation_controls(spark: SparkSession, folder: str) -> DataFrame:
     return metric.contributions(A.truth(spark, folder), moved, keys=["arm"]).groupBy("arm").agg(*metric.totals(None))
 
 
-@register("paired_bootstrap")
+def _bootstrap_sql(draws: int = 2000, seed: int = 5) -> str:
+    arm = lambda n, pred: f"""{n}p AS ({pred}),
+{n}cr AS (SELECT p.row + i AS row, p.col + j AS col, max(p.p * k) AS credit FROM {n}p p, kern GROUP BY 1, 2),
+{n}r AS (SELECT row, col, coalesce(credit, 0) AS tp, 0::DOUBLE AS fp, 1 AS g FROM truth LEFT JOIN {n}cr USING (row, col)
+  UNION ALL SELECT row, col, 0::DOUBLE, p * (1 - coalesce(cover, 0)), 0 FROM {n}p LEFT JOIN cover USING (row, col)),
+{n}tl AS (SELECT (row // 64) * 4 + col // 64 AS tile, sum(tp) AS tp{n}, sum(fp) AS fp{n}, sum(g) AS g{n} FROM {n}r GROUP BY 1)"""
+    score = lambda n: f"tp{n} / (tp{n} + 0.2::DOUBLE * fp{n} + 0.8::DOUBLE * (g{n} - tp{n}) + 1e-9::DOUBLE)"
+    names = [f"{c}{n}" for n in "ab" for c in ("tp", "fp", "g")]
+    return f""",
+cover AS (SELECT t.row + i AS row, t.col + j AS col, max(k) AS cover FROM truth t, kern GROUP BY 1, 2),
+{arm("a", "SELECT row, col, p FROM pred")},
+{arm("b", "SELECT row + 20 AS row, col, p FROM pred WHERE row + 20 < 256")},
+ti AS (SELECT row_number() OVER (ORDER BY tile) - 1 AS slot, count(*) OVER () AS k, {", ".join(f"coalesce({c}, 0) AS {c}" for c in names)} FROM atl FULL JOIN btl USING (tile)),
+pk AS (SELECT draw, floor({A.unit_sql(seed, "draw", "i")} * k)::BIGINT AS slot FROM range({draws}) d(draw), (SELECT unnest(range(1, k + 1)) AS i, k FROM (SELECT max(k) AS k FROM ti))),
+dr AS (SELECT draw, {", ".join(f"sum({c}) AS {c}" for c in names)} FROM pk JOIN ti USING (slot) GROUP BY 1),
+ga AS (SELECT {score("a")} - {score("b")} AS gain FROM dr)
+SELECT round(quantile_cont(gain, 0.025), 8) AS low, round(quantile_cont(gain, 0.5), 8) AS median, round(quantile_cont(gain, 0.975), 8) AS high, round(avg((gain > 0)::INT), 8) AS p_better, count(*)::BIGINT AS draws FROM ga"""
+
+
+@register("paired_bootstrap", A.sql("truth pred kern", _bootstrap_sql()))
 def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Interval of the pooled score's gain over a moved control by resampling tiles, both arms on the same draws."""
     return paired(spark, folder, 2000)
@@ -211,7 +230,7 @@ def paired(spark: SparkSession, folder: str, draws: int, seed: int = 5) -> DataF
     gain = score("0") - score("1")
     q = F.percentile(gain, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return drawn.agg(q.alias("q"), F.avg((gain > 0).cast("double")).alias("p_better"), F.count("*").alias("draws")).select(
-        F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), "p_better", "draws"
+        *[F.round(F.col("q")[i], 8).alias(n) for i, n in enumerate(("low", "median", "high"))], F.round("p_better", 8).alias("p_better"), "draws"
     )
 
 
