@@ -41,3 +41,19 @@ def percentiles(df: DataFrame, value: Column, at: list[float], names: list[str])
     met = met.groupBy("i").agg(low.alias("lo"), high.alias("hi"), F.max("f").alias("f"))
     q = F.when((F.col("f") == 0) | F.col("hi").isNull(), F.col("lo")).otherwise(F.col("lo") * (1 - F.col("f")) + F.col("hi") * F.col("f"))
     return met.select("i", q.alias("q")).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(name) for i, name in enumerate(names)])
+
+
+def grouped_percentiles(df: DataFrame, key: str, value: Column, at: list[float], names: list[str]) -> DataFrame:
+    """``(key, n, names)``: exact interpolated percentiles of each key's values, nulls left out, by one sort over all keys.
+
+    A key's rows may lie in many tasks; what is joined back are two places a percentile and key.
+    """
+    rows = numbered(df.select(key, value.cast("double").alias("_v")).filter("_v is not null"), F.asc_nulls_first(key), F.asc("_v"), out="_rn")
+    sizes = rows.groupBy(F.col(key).alias("_k")).agg((F.min("_rn") - 1).alias("_b"), F.count("*").alias("n"))
+    spot = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("p"), F.lit(j).alias("j")) for i, q in enumerate(at) for j in (0, 1)])
+    spots = sizes.select("_k", "n", "_b", F.explode(spot).alias("s"))
+    spots = spots.select("_k", "n", "s.i", "s.j", (F.col("s.p") - F.floor("s.p")).alias("f"), (F.col("_b") + F.least(F.floor("s.p") + F.col("s.j"), F.col("n") - 1) + 1).alias("_rn"))
+    met = spots.join(rows.select("_rn", "_v"), "_rn").groupBy("_k", "n").agg(
+        *[F.sum(F.when(F.col("i") == i, F.col("_v") * F.when(F.col("j") == 0, 1 - F.col("f")).otherwise(F.col("f")))).alias(name) for i, name in enumerate(names)]
+    )
+    return met.withColumnRenamed("_k", key).select(key, "n", *names)

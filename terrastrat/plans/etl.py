@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastrat.operators import etl, points
+from terrastrat.operators import etl, points, ranking
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 from terrastrat.session import cut, shared_folder
@@ -89,8 +89,9 @@ def error_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Quantiles of location errors by kind, with the count of those filled in."""
     good = F.coalesce(F.col("mag") > 5, F.lit(False))
     rows = A.pts(spark, folder).select("kind", (~good).alias("bad"), F.when(good, F.col("mag")).otherwise(2.0).alias("e"))
-    q = lambda at: F.round(F.percentile("e", at), 6)
-    return rows.groupBy("kind").agg(q(0.5).alias("median"), q(0.1).alias("p10"), q(0.9).alias("p90"), F.count_if("bad").alias("n_fallback"))
+    q = ranking.grouped_percentiles(rows, "kind", F.col("e"), [0.5, 0.1, 0.9], ["median", "p10", "p90"]).drop("n")
+    bad = rows.groupBy("kind").agg(F.count_if("bad").alias("n_fallback"))
+    return q.join(bad, "kind").select("kind", *[F.round(c, 6).alias(c) for c in ("median", "p10", "p90")], "n_fallback")
 
 
 _VOLUME = """,

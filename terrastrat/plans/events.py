@@ -368,17 +368,15 @@ SELECT r.id, r.kind AS area, round(r.rank / q.n, 6) AS rank, mag >= q.q AS warm
     ),
 )
 def within_area_warm_marks(spark: SparkSession, folder: str) -> DataFrame:
-    """Average-tie rank of each value inside its area and whether it reaches the area's 90th percentile.
-
-    Value counts by area come first, so ranks are sums over distinct values, not over all rows.
-    """
-    p = A.pts(spark, folder)
-    areas = p.groupBy("kind").agg(F.percentile("mag", 0.9).alias("q"), F.count("mag").alias("n")).filter("n >= 12")
-    v = p.groupBy("kind", "mag").agg(F.count("*").alias("c"))
-    below = F.sum("c").over(W.partitionBy("kind").orderBy("mag")) - F.col("c")
-    v = v.withColumn("rank", below + (F.col("c") + 1) / 2.0).select(F.col("kind").alias("k"), F.col("mag").alias("m"), "rank")
-    rows = p.join(v, (F.col("kind") == F.col("k")) & (F.col("mag") == F.col("m"))).join(F.broadcast(areas), "kind")
-    return rows.select("id", F.col("kind").alias("area"), F.round(F.col("rank") / F.col("n"), 6).alias("rank"), (F.col("mag") >= F.col("q")).alias("warm"))
+    """Average-tie rank of each value inside its area and whether it reaches the area's 90th percentile, by one sort over all areas."""
+    p = A.pts(spark, folder).select("id", "kind", "mag")
+    areas = ranking.grouped_percentiles(p, "kind", F.col("mag"), [0.9], ["q"]).filter("n >= 12")
+    placed = ranking.numbered(p.dropna(subset=["mag"]), "kind", "mag", "id", out="_rn")
+    base = placed.groupBy("kind").agg((F.min("_rn") - 1).alias("_b"))
+    ties = placed.groupBy(F.col("kind").alias("_k"), F.col("mag").alias("_m")).agg((F.min("_rn") + (F.count("*") - 1) / 2.0).alias("_r"))
+    rows = placed.join(ties, (F.col("kind") == F.col("_k")) & (F.col("mag") == F.col("_m"))).join(areas.join(base, "kind"), "kind")
+    rank = F.round((F.col("_r") - F.col("_b")) / F.col("n"), 6)
+    return rows.select("id", F.col("kind").alias("area"), rank.alias("rank"), (F.col("mag") >= F.col("q")).alias("warm"))
 
 
 _COMP = """,
