@@ -30,6 +30,8 @@ def odd_rows():
     texts = [base, base, near, "", None, " \n\t ", "one two", long, "x" * 5000, prose(80, 3) + "\n" + base, "call +1 (555) 123-4567 or a.b@c.de 4111 1111 1111 1111 10.0.0.1"]
     rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     rows += [(None, base, None, None, None), (None, None, None, None, None), (3, "", "en", "s0", 0), (0, base, "en", "s0", len(base)), (0, base, "en", "s0", len(base))]
+    marks = prose(1500, 4).replace(".", "")
+    rows += [(200 + i, t, "en", "hot", None) for i, t in enumerate(["a " + " " * 150_000 + " b", "x" * 60_000 + " y", marks, prose(30, 5) + " \n" * 40_000, "1 " * 20_000])]
     rows += [(100 + i, prose(60 + i, 100 + i), "en", "hot", None) for i in range(30)]
     return [(*r, "clash", 1, "clash", "clash") for r in rows]
 

@@ -166,6 +166,12 @@ def test_shards_of_the_query_hold_the_texts(spark, odd_folder, odd_rows, monkeyp
     assert sorted(map(key, back)) == sorted(map(key, odd_rows))
 
 
+def test_words_around_a_million_blanks_are_counted_at_once(spark):
+    text = " \n" * 300_000 + "a" + " \t" * 500_000 + "b " + " " * 300_000
+    df = spark.createDataFrame([(text,), ("",), (None,), (" ",), ("a  b\x0bc",)], "t string")
+    assert [r.n for r in df.select(mixing.n_words(F.col("t")).alias("n")).collect()] == [2, 0, 0, 0, 3]
+
+
 def test_targets_fill_by_weight_up_to_their_cap():
     assert plain.targets({"a": 100, "b": 100, "c": 100}) == pytest.approx({"a": 200, "b": 500 / 3, "c": 250 / 3})
 
