@@ -230,16 +230,23 @@ def thin(mask: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"cells still go after {max_rounds} rounds")
 
 
-def plane(xyz: np.ndarray, rounds: int = 3, spread: float = 3.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(unit normal, inliers, thickness) of a plane trimmed by the scaled median of absolute residuals."""
+def plane(xyz: np.ndarray, rounds: int = 3, spread: float = 3.0, least: int = 4) -> tuple[np.ndarray, np.ndarray, float]:
+    """(unit normal, inliers, thickness) of a plane trimmed in up to *rounds* by its residuals.
+
+    A point goes if its residual exceeds their median by *spread* times the scaled median deviation
+    (at least 1), and doesn't come back. With fewer than *least* points left there is no plane: no inliers.
+    """
     keep = np.ones(len(xyz), bool)
     for _ in range(rounds):
-        centre = np.median(xyz[keep], axis=0)
+        centre = xyz[keep].mean(axis=0)
         normal = np.linalg.eigh(np.cov((xyz[keep] - centre).T))[1][:, 0]
-        residual = np.abs((xyz - xyz[keep].mean(axis=0)) @ normal)
-        scale = max(1.4826 * float(np.median(residual[keep])), 1.0)
-        new = residual <= spread * scale
-        if (new == keep).all() or new.sum() < 4:
+        residual = np.abs((xyz - centre) @ normal)
+        middle = np.median(residual[keep])
+        scale = max(1.4826 * float(np.median(np.abs(residual[keep] - middle))), 1.0)
+        new = keep & (residual <= middle + spread * scale)
+        if new.sum() < least:
+            return normal, np.zeros(len(xyz), bool), float("nan")
+        if (new == keep).all():
             break
         keep = new
     normal = normal * (1 if normal[2] > 0 or (normal[2] == 0 and normal[0] >= 0) else -1)
@@ -255,6 +262,8 @@ def planes(points: DataFrame) -> DataFrame:
             return pd.DataFrame(columns=columns)
         pdf = pdf.sort_values("id")
         normal, keep, thickness = plane(pdf[["x", "y", "z"]].to_numpy())
+        if not keep.any():
+            return pd.DataFrame(columns=columns)
         return pd.DataFrame([[pdf["bucket"].iloc[0], *map(float, normal), thickness, len(pdf), int(keep.sum())]], columns=columns)
 
     return points.groupBy("bucket").applyInPandas(solve, "bucket long, nx double, ny double, nz double, thickness double, n long, inliers long")

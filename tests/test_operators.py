@@ -380,3 +380,12 @@ def test_batches_equal_the_rule_on_arrays(spark):
                 if 0 <= r + i < 12 and 0 <= c + j < 12:
                     free[r + i, c + j] = False
     assert got == want and len(want) > 10
+
+
+def test_many_methods_are_scored_without_meeting_all_of_truth(spark):
+    rng = np.random.default_rng(12)
+    t = cells(spark, sorted({(int(r), int(c)) for r, c in rng.integers(0, 30, (60, 2))}))
+    p = {(m, int(r), int(c)): float(v) for m in range(6) for r, c, v in zip(*rng.integers(0, 30, (2, 40)), np.round(rng.uniform(0, 1, 40), 2), strict=True)}
+    df = cells(spark, [(*k, v) for k, v in p.items()] + [(9, 500, 500, 1.0)], "m long, row long, col long, p double")
+    want = metric.contributions(t, df, keys=["m"]).groupBy("m").agg(*metric.totals(None)).collect()
+    assert sorted(map(tuple, metric.scores_by_method(t, df, ["m"]).collect())) == sorted(map(tuple, want)) and len(want) == 7
