@@ -41,7 +41,7 @@ def runs_for(recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth)))
 
 
-def distinct_sets(documents: DataFrame, key: str, text: str) -> DataFrame:
+def distinct_sets(documents: DataFrame, key: str, text: str, positions: int = POSITIONS, seed: int = SEED) -> DataFrame:
     """``(key, h, rid, k1, k2, sig)`` of every row: hash of the text, row number, 128-bit hash of the shingle set, embedding."""
     kind = documents.schema[key].dataType.simpleString()
 
@@ -52,7 +52,7 @@ def distinct_sets(documents: DataFrame, key: str, text: str) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 w = shingles.Words([t.as_py().encode() for t in part.column(3)])
                 h, begin = shingles.shingles(w.hash, w.first)
-                sig = shingles.minhash(h, begin, POSITIONS, SEED)
+                sig = shingles.minhash(h, begin, positions, seed)
                 k = np.zeros((2, hi - lo), np.uint64)
                 for i, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
                     u = np.unique(h[a:b])
@@ -117,7 +117,7 @@ def repeated_rows(rows: DataFrame, key: str) -> bool:
     return not rows.groupBy(key, "h").count().filter("count > 1").isEmpty()
 
 
-def match(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, buckets_of=None) -> DataFrame:
+def match(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL, buckets_of=None, positions: int = POSITIONS, seed: int = SEED) -> DataFrame:
     """``(key, h, rid, class_id, copy_of, links, linked_documents, keep)`` of every row.
 
     Rows with equal sets of five-word shingles (all equal texts; all texts without words) are copies:
@@ -125,10 +125,11 @@ def match(documents: DataFrame, key: str = "doc_id", text: str = "text", thresho
     their rows and the row's own copies. class_id is the least key that links lead to. keep marks one
     row of each class. Texts of one to four words have one shingle. Keys may be null or repeat: rows
     are told apart by rid, and null keys come last among least ones. An empty table gives an empty one.
-    buckets_of: gives candidate buckets ``(bucket, id)`` of ``(id, sig)`` in place of chosen paths.
+    buckets_of: gives candidate buckets ``(bucket, id)`` of ``(id, sig)`` in place of chosen paths, for
+    which signatures may have other *positions* and another *seed*.
     """
     with small_batches(documents.sparkSession):
-        rows = cut(distinct_sets(documents, key, text))
+        rows = cut(distinct_sets(documents, key, text, positions, seed))
     sets = rows.groupBy("k1", "k2").agg(
         F.count("*").alias("weight"),
         F.min("rid").alias("id"),
@@ -139,11 +140,11 @@ def match(documents: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
     def low(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint32).reshape(-1, POSITIONS).astype(np.uint8)
+            sig = np.frombuffer(b"".join(x.as_py() for x in batch.column(1)), np.uint32).reshape(-1, positions).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in sig], pa.binary())], names=["id", "sketch"])
 
     sketches = sets.select("id", "sig").mapInArrow(low, "id long, sketch binary")
-    likely = linking.likely_links(buckets_of(sets) if buckets_of else buckets(sets, threshold, recall), sketches, POSITIONS, LIKELY)
+    likely = linking.likely_links(buckets_of(sets) if buckets_of else buckets(sets, threshold, recall), sketches, positions, LIKELY)
     docs = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("h", F.xxhash64("_t"))
     if repeated_rows(rows, "key"):
         docs = docs.dropDuplicates(["key", "h"])
