@@ -131,7 +131,8 @@ def spines(points: DataFrame, label: str, bins: int = 24, least: int = 3, least_
     ends = rows.groupBy(F.col("_l").alias("_e")).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
     rows = rows.join(ends, F.col("_l") == F.col("_e"))
     step = (F.col("_hi") - F.col("_lo")) / bins
-    at = F.least(F.floor((F.col("_s") - F.col("_lo")) / step), F.lit(bins - 1)).cast("long")
+    # a point on the border of two steps is in the upper one, whatever the last digit of its place
+    at = F.least(F.floor((F.col("_s") - F.col("_lo")) / step + 1e-9), F.lit(bins - 1)).cast("long")
     mid = F.first("_lo") + (F.col("bin") + 0.5) * F.first(step)
     got = rows.filter(step > 0).withColumn("bin", at).groupBy(label, "bin").agg(
         F.count("*").alias("n"), F.median("_w").alias("_m"), mid.alias("_at"), *[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy")]

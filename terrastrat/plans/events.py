@@ -446,7 +446,7 @@ _SPINE = ",\nl AS (SELECT (x // 512) * 8 + y // 512 AS label, x - 512 * (x // 51
 a AS (SELECT label, sx / w AS cx, sy / w AS cy, cos(0.5::DOUBLE * atan2(2 * b, a - c)) AS ux, sin(0.5::DOUBLE * atan2(2 * b, a - c)) AS uy FROM e WHERE n >= 15),
 p AS (SELECT label, a.*, (lx - cx) * ux + (ly - cy) * uy AS s, (ly - cy) * ux - (lx - cx) * uy AS v FROM l JOIN a USING (label)),
 g AS (SELECT *, min(s) OVER (PARTITION BY label) AS lo, (max(s) OVER (PARTITION BY label) - min(s) OVER (PARTITION BY label)) / 6 AS step FROM p),
-m AS (SELECT label, least(floor((s - lo) / step), 5)::BIGINT AS bin, quantile_cont(v, 0.5) AS m, any_value(lo) AS lo, any_value(step) AS step, any_value(cx) AS cx, any_value(cy) AS cy, any_value(ux) AS ux, any_value(uy) AS uy
+m AS (SELECT label, least(floor((s - lo) / step + 1e-9::DOUBLE), 5)::BIGINT AS bin, quantile_cont(v, 0.5) AS m, any_value(lo) AS lo, any_value(step) AS step, any_value(cx) AS cx, any_value(cy) AS cy, any_value(ux) AS ux, any_value(uy) AS uy
   FROM g WHERE step > 0 GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT label, bin, round(cx + (lo + (bin + 0.5::DOUBLE) * step) * ux - m * uy, 4) AS x, round(cy + (lo + (bin + 0.5::DOUBLE) * step) * uy + m * ux, 4) AS y FROM m""",
     ),
