@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from terrastrat.llm import fingerprints, jaccard_join, mixing, packing, pii, quality, sharding, substring_dedup, tokencount, warc
+from terrastrat.llm import fingerprints, jaccard_join, middle, mixing, packing, pii, quality, resample, sharding, simhash, substring_dedup, tokencount, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_repeated_passages": substring_dedup.op8_repeated_passages,
         "op9_bin_slack_packing": packing.op9_bin_slack_packing,
         "op10_minhash_fingerprints": fingerprints.op10_minhash_fingerprints,
+        "op11_fill_in_middle": middle.op11_fill_in_middle,
+        "op12_importance_resampling": resample.op12_importance_resampling,
+        "op13_simhash_near_dedup": simhash.op13_simhash_near_dedup,
     }
 
 
@@ -25,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_systematic_mix": mixing.OP4_SQL,
         "op5_warc_transactions": warc.OP5_SQL,
         "op6_line_rules": quality.OP6_SQL,
+        "op11_fill_in_middle": middle.OP11_SQL,
     }
