@@ -34,14 +34,6 @@ def hessian(cells: DataFrame, value: str, sigma: float) -> DataFrame:
     return both.withColumn("ridge", F.greatest(-low, F.lit(0.0)))
 
 
-def fill_nearest(cells: DataFrame, value: str, within: DataFrame, radius: float) -> DataFrame:
-    """``(row, col, value)`` of *within*: its own value or else that of the nearest cell up to *radius*, ties by place."""
-    known = cells.filter(F.col(value).isNotNull()).select("row", "col", value, F.struct("row", "col").alias("_at"))
-    sent = spread(known, disc(radius, weight=lambda d, r: d, keep_zero=True), [value, "_at"])
-    best = sent.groupBy("row", "col").agg(F.min_by(value, F.struct("k", "_at")).alias(value))
-    return within.select("row", "col").join(best, ["row", "col"], "left")
-
-
 def slopes(cells: DataFrame, value: str) -> DataFrame:
     """``(row, col, gy, gx)``: central differences, one-sided where a neighbour is missing, 0 where both are."""
     four = [(1, 0, 1.0), (-1, 0, 2.0), (0, 1, 3.0), (0, -1, 4.0)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastrat.operators import fields, kernels, ridges
+from terrastrat.operators import distance, fields, kernels, ridges
 from terrastrat.plans import adapters as A
 from terrastrat.plans.fields import _rounded, _values
 from terrastrat.plans.registry import register
@@ -56,14 +56,17 @@ def hessian_ridge(spark: SparkSession, folder: str) -> DataFrame:
     A.sql(
         "cells",
         """,
-o AS (SELECT i::BIGINT AS i, j::BIGINT AS j, sqrt((i * i + j * j)::DOUBLE) AS d FROM range(-3, 4) a(i), range(-3, 4) b(j) WHERE i * i + j * j <= 9)
-SELECT c.row, c.col, arg_min(n.b2, {'d': d, 'r': n.row, 'c': n.col}) AS b2 FROM cells c CROSS JOIN o LEFT JOIN cells n ON n.row = c.row + i AND n.col = c.col + j AND n.n % 3 <> 0 GROUP BY 1, 2""",
+k AS (SELECT row, col, b2 FROM cells WHERE n % 3 <> 0 AND (row % 32 < 9 OR col % 64 = 5)),
+u AS (SELECT row, col FROM cells ANTI JOIN k USING (row, col)),
+m AS (SELECT u.row, u.col, min(((u.row - k.row) * (u.row - k.row) + (u.col - k.col) * (u.col - k.col)) * 1048576 + k.row * 1024 + k.col) AS m FROM u CROSS JOIN k GROUP BY 1, 2)
+SELECT m.row, m.col, k.b2 FROM m JOIN k ON k.row = m // 1024 % 1024 AND k.col = m % 1024
+UNION ALL SELECT row, col, b2 FROM k""",
     ),
 )
 def fill_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """Every third cell's value is taken to be missing and filled from the nearest one."""
+    """Values of bands and lines of the grid; all other cells are filled from the nearest one, however far."""
     c = A.cells(spark, folder)
-    return ridges.fill_nearest(c.withColumn("b2", F.when(F.col("n") % 3 != 0, F.col("b2"))), "b2", c, 3.0)
+    return distance.filled(c.withColumn("b2", F.when(F.expr("n % 3 <> 0 AND (row % 32 < 9 OR col % 64 = 5)"), F.col("b2"))), "b2", c)
 
 
 @register("ridge_response", A.sql("cells", f",\n{_smooth('f', 'cells', 'b2', 1.5)},\n{_slopes('s', 'f')},\ng AS (SELECT row, col, sqrt(gx * gx + gy * gy) AS g FROM s),\n{_smooth('r', 'g', 'g', 1.5)}\nSELECT row, col, round(v, 5) AS response FROM r"))
