@@ -7,6 +7,7 @@ in code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,8 @@ NEAR = {
 }
 AGAINST = r"version|order|invoice|isbn|part no|serial|build"
 CONTEXT, STEP, THRESHOLD = 40, 0.35, 0.5
+#: Elements of an array that are summed at once, and code points of a text that lie together.
+BLOCK, CHUNK = 256, 256
 KINDS = [*BASE, *ADDED]
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"
 
@@ -80,21 +83,54 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* of *value*, which is worked out once, also where a lambda uses it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running results of *op* (from 0) over an array of ints, in blocks, so that no long array is copied for each element."""
+
+    def short(array: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, v: F.struct(op(a["at"], v).alias("at"), F.concat(a["out"], F.array(op(a["at"], v))).alias("out"))
+        return F.aggregate(array, start, step, lambda a: a["out"])
+
+    def whole(array: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / BLOCK).cast("int")), lambda j: F.slice(array, j * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, joined)
+
+    def joined(blocks: Column) -> Column:
+        tops = short(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), op)))
+        before = F.concat(F.array(F.lit(0)), F.slice(tops, 1, F.size(blocks) - 1))
+        return F.flatten(F.zip_with(blocks, before, lambda b, o: F.transform(short(b), lambda v: op(v, o))))
+
+    return _let(values, lambda array: F.when(F.size(array) <= BLOCK, short(array)).otherwise(whole(array)))
+
+
+def _chunks(text: Column) -> Column:
+    """The text in runs of CHUNK code points: places far inside are reached without counting from the beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{CHUNK}}})"), F.lit(1))
+
+
+def _between(chunks: Column, start: Column, stop: Column) -> Column:
+    """Code points start to stop of a text in chunks."""
+    first = F.floor(start / CHUNK).cast("int")
+    part = F.array_join(F.slice(chunks, first + 1, F.floor((stop - 1) / CHUNK).cast("int") - first + 1), "")
+    return F.when(stop > start, F.substring(part, start - first * CHUNK + 1, stop - start)).otherwise("")
+
+
 def _matches(text: Column, kind: str, pattern: str) -> Column:
-    """Spans of the pattern's leftmost, non-overlapping matches that the kind's check confirms."""
-    parts = F.split(F.regexp_replace(text, f"({pattern})", f"{FRAME}$1{FRAME}"), FRAME)
+    """Spans of the pattern's leftmost, non-overlapping matches that the kind's check confirms, in time linear in their number."""
     rank = KINDS.index(kind)
 
-    def step(acc: Column, part: Column) -> Column:
-        end = acc["at"] + F.char_length(part)
-        ok = acc["odd"] & _valid(kind, part)
-        span = F.struct(
-            acc["at"].alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.lit(PRIOR[kind]).alias("score")
-        )
-        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(ok, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(parts: Column) -> Column:
+        ends = _running(F.transform(parts, F.char_length), lambda a, b: a + b)
+        span = lambda p, e: F.struct((e - F.char_length(p)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"), F.lit(PRIOR[kind]).alias("score"), p.alias("part"))
+        found = F.filter(F.zip_with(parts, ends, span), lambda s, i: (i % 2 == 1) & _valid(kind, s["part"]))
+        return F.transform(found, lambda s: s.dropFields("part")).cast(SPAN)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(SPAN).alias("out"))
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
+    found = _let(F.split(F.regexp_replace(text, f"({pattern})", f"{FRAME}$1{FRAME}"), FRAME), spans)
     possible = text.rlike(pattern)
     if kind in HINT:
         possible = F.contains(text, F.lit(HINT[kind])) & possible
@@ -113,28 +149,40 @@ def find(documents: DataFrame, text: str = "text") -> DataFrame:
     each = {f"_{k}": _matches(F.col("_t"), k, p) for k, p in (BASE | ADDED).items()}
     rows = rows.withColumns(each).withColumn("_all", F.concat(*each))
 
-    def scored(s: Column) -> Column:
-        before = F.lower(F.substring(F.col("_t"), F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
+    def scored(s: Column, chunks: Column) -> Column:
+        before = F.lower(_between(chunks, F.greatest(s["start"] - CONTEXT, F.lit(0)), s["start"]))
         near = reduce(lambda c, k: c.when(s["kind"] == k, before.rlike(rf"\b(?:{NEAR[k]})")), KINDS[1:], F.when(s["kind"] == KINDS[0], before.rlike(rf"\b(?:{NEAR[KINDS[0]]})")))
         score = s["score"] + F.when(near, STEP).otherwise(0.0) - F.when(before.rlike(rf"\b(?:{AGAINST})"), STEP).otherwise(0.0)
         return s.withField("score", F.least(F.greatest(F.round(score, 2), F.lit(0.0)), F.lit(1.0)))
 
-    some = F.sort_array(F.filter(F.transform("_all", scored), lambda s: (s["rank"] < len(BASE)) | (s["score"] >= THRESHOLD)))
+    with_scores = _let(_chunks(F.col("_t")), lambda chunks: F.transform("_all", lambda s: scored(s, chunks)))
+    some = F.sort_array(F.filter(with_scores, lambda s: (s["rank"] < len(BASE)) | (s["score"] >= THRESHOLD)))
     spans = F.when(F.size("_all") > 0, some).otherwise(F.array().cast(SPAN))
     return rows.withColumn("spans", spans).drop("_t", "_all", *each)
 
 
 def redact(found: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces every span of :func:`find` in the text by its kind in angle brackets; overlapping spans as one."""
+    """Replaces every span of :func:`find` in the text by its kind in angle brackets; overlapping spans as one.
+
+    The text is joined from slices between spans, in time linear in its length and in their number.
+    """
+
+    def whole(chunks: Column) -> Column:
+        past = _running(F.transform("spans", lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+        part = lambda s, e: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), e.alias("past"))
+        return _let(F.zip_with("spans", past, part), lambda parts: joined(chunks, parts))
+
+    def joined(chunks: Column, parts: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(parts, i - 1)["past"]).otherwise(0)
+            return F.when(s["start"] >= at, F.concat(_between(chunks, at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), s["kind"], F.lit(">")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, more).otherwise(acc["out"]).alias("out"))
+        last = F.element_at(parts, -1)["past"]
+        first = F.floor(last / CHUNK).cast("int")
+        tail = F.substring(F.array_join(F.slice(chunks, first + 1, F.greatest(F.size(chunks) - first, F.lit(0))), ""), last - first * CHUNK + 1, F.lit(1 << 30))
+        return F.concat(F.array_join(F.transform(parts, piece), ""), tail)
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.char_length(F.col(text)))))
-    return found.withColumn(text, F.when(F.size("spans") > 0, whole).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size("spans") > 0, _let(_chunks(F.col(text)), whole)).otherwise(F.col(text)))
 
 
 def _joined(spans: Column) -> Column:

@@ -32,6 +32,7 @@ def odd_rows():
     rows += [(None, base, None, None, None), (None, None, None, None, None), (3, "", "en", "s0", 0), (0, base, "en", "s0", len(base)), (0, base, "en", "s0", len(base))]
     marks = prose(1500, 4).replace(".", "")
     rows += [(200 + i, t, "en", "hot", None) for i, t in enumerate(["a " + " " * 150_000 + " b", "x" * 60_000 + " y", marks, prose(30, 5) + " \n" * 40_000, "1 " * 20_000])]
+    rows.append((300, "a7@b.co " * 12_500, "en", "hot", None))
     rows += [(100 + i, prose(60 + i, 100 + i), "en", "hot", None) for i in range(30)]
     return [(*r, "clash", 1, "clash", "clash") for r in rows]
 

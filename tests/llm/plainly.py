@@ -116,3 +116,41 @@ def near_classes(rows: list[tuple], threshold: float = 0.8) -> list[tuple]:
         for k in members[s]:
             out.append((k, head, least[i], len(links[i]), sum(len(members[sets[j]]) for j in links[i]) + len(members[s]) - 1))
     return out
+
+
+def repeated_runs(rows: list[tuple], n: int) -> list[tuple]:
+    """(key, start, end) in code points of the longest runs in which every *n* words on end stand in two or more rows."""
+    places = [[(m.start(), m.end()) for m in WORD.finditer(t or "")] for _, t in rows]
+    owners: dict[tuple, set] = {}
+    for i, (_, t) in enumerate(rows):
+        words = WORD.findall(t or "")
+        for j in range(len(words) - n + 1):
+            owners.setdefault(hash(tuple(words[j : j + n])), set()).add(i)
+    out = []
+    for i, (k, t) in enumerate(rows):
+        words = WORD.findall(t or "")
+        begin = None
+        for j in range(len(words) - n + 2):
+            shared = j <= len(words) - n and len(owners[hash(tuple(words[j : j + n]))]) > 1
+            if shared and begin is None:
+                begin = j
+            if not shared and begin is not None:
+                out.append((k, places[i][begin][0], places[i][j + n - 2][1]))
+                begin = None
+    return out
+
+
+def recall(runs: list[tuple], spans: list[tuple]) -> float:
+    """Share of the runs of which at least half is inside the spans."""
+    by: dict = {}
+    for k, a, b in spans:
+        by.setdefault(k, []).append((a, b))
+    met = 0
+    for k, a, b in runs:
+        inside = 0
+        at = a
+        for s, e in sorted(by.get(k, [])):
+            inside += max(0, min(e, b) - max(s, at))
+            at = max(at, min(e, b))
+        met += inside >= 0.5 * (b - a)
+    return met / max(1, len(runs))
