@@ -45,7 +45,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; copies are worked out on narrow rows, texts joined once."""
-    rows = docs.withColumn("_id", F.xxhash64(*docs.columns))
+    # a digest of the whole row, so that no two rows of any corpus are taken for one; JSON, as maps have no hash
+    rows = docs.withColumn("_id", F.unhex(F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])), 256)))
     mixed = mixing.mix(rows.select("doc_id", "source", "_id", mixing.n_words(F.col("text")).alias("size")))
     return mixing.emit(rows, mixed, "_id").select(*docs.columns)
 
