@@ -90,3 +90,27 @@ def unit_hash(*columns: Column, seed: int = 0) -> Column:
     """Deterministic uniform number in (0, 1) from the columns: 52 bits of the MD5 of seed and values, joined by colons."""
     text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def eigen3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
+    """Eigenvalues of a symmetric 3x3 matrix, descending, by the trigonometric form."""
+    mean = (xx + yy + zz) / 3
+    a, b, c = xx - mean, yy - mean, zz - mean
+    p = F.sqrt((a * a + b * b + c * c + 2 * (xy * xy + xz * xz + yz * yz)) / 6)
+    det = a * (b * c - yz * yz) - xy * (xy * c - yz * xz) + xz * (xy * yz - b * xz)
+    r = F.coalesce(F.try_divide(det, 2 * p * p * p), F.lit(0.0))
+    phi = F.acos(clip(r, -1.0, 1.0)) / 3
+    low, high = mean + 2 * p * F.cos(phi + 2 * math.pi / 3), mean + 2 * p * F.cos(phi)
+    return high, 3 * mean - high - low, low
+
+
+def normal3(xx: Column, xy: Column, xz: Column, yy: Column, yz: Column, zz: Column) -> tuple[Column, Column, Column]:
+    """Unit vector of the least eigenvalue: the longest cross product of two rows of the matrix less that value."""
+    low = eigen3(xx, xy, xz, yy, yz, zz)[2]
+    rows = [(xx - low, xy, xz), (xy, yy - low, yz), (xz, yz, zz - low)]
+    cross = lambda a, b: (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
+    vectors = [cross(rows[i], rows[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    sized = F.array(*[F.struct((x * x + y * y + z * z).alias("s"), F.lit(-i).alias("i"), x.alias("x"), y.alias("y"), z.alias("z")) for i, (x, y, z) in enumerate(vectors)])
+    best = F.array_max(sized)
+    length = F.sqrt(best["s"])
+    return best["x"] / length, best["y"] / length, best["z"] / length
