@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrastrat.operators.graph import connected_components
+from terrastrat.operators.ranking import percentiles
 from terrastrat.operators.spatial import radius_join
 from terrastrat.session import cut
 
@@ -82,15 +83,17 @@ def aftershock_windows(events: DataFrame, max_rounds: int = 500) -> DataFrame:
     raise RuntimeError(f"events are left undecided after {max_rounds} rounds")
 
 
-def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, tolerance: float = 1e-9) -> dict[str, float]:
+def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, tolerance: float = 1e-9) -> dict[str, float | bool]:
     """Two normal components fitted by EM, and the crossing of their densities between the means (else the middle).
 
-    Each round is one aggregate of six sums; the driver holds five numbers.
+    Each round is one aggregate of six sums; the driver holds five numbers. settled: whether the likelihood stood still within *rounds*.
     """
     v = cut(values.select(F.col(column).cast("double").alias("v")).dropna())
-    n, lo, hi, sd = v.agg(F.count("*"), F.percentile("v", 0.25), F.percentile("v", 0.75), F.stddev_pop("v")).first()
+    n, sd = v.agg(F.count("*"), F.stddev_pop("v")).first()
     if not n:
         raise ValueError("no values to fit")
+    lo, hi = percentiles(v, F.col("v"), [0.25, 0.75], ["lo", "hi"]).first()
+    settled = False
     w, m, s, last = [0.5, 0.5], [lo, hi], [max(sd or 1.0, 1e-6)] * 2, -math.inf
     for _ in range(rounds):
         logs = [math.log(w[k]) - math.log(s[k]) - 0.5 * math.log(2 * math.pi) for k in (0, 1)]
@@ -104,7 +107,8 @@ def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, toleran
             mass = max(mass, 1e-12)
             w[k], m[k] = mass / n, first / mass
             s[k] = math.sqrt(max(second / mass - m[k] ** 2, 1e-6))
-        if abs(row[6] - last) < tolerance * max(1.0, abs(row[6])):
+        settled = abs(row[6] - last) < tolerance * max(1.0, abs(row[6]))
+        if settled:
             break
         last = row[6]
     a = 1 / s[1] ** 2 - 1 / s[0] ** 2
@@ -112,4 +116,4 @@ def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, toleran
     c = m[1] ** 2 / s[1] ** 2 - m[0] ** 2 / s[0] ** 2 + 2 * math.log(w[0] * s[1] / (w[1] * s[0]))
     roots = np.roots([a, b, c]) if abs(a) > 1e-12 else np.array([-c / b]) if b else np.array([])
     inner = [float(r.real) for r in roots if abs(r.imag) < 1e-9 and min(m) < r.real < max(m)]
-    return {"threshold": inner[0] if inner else sum(m) / 2, "mean_low": min(m), "mean_high": max(m), "weight_low": w[int(m[1] < m[0])]}
+    return {"threshold": inner[0] if inner else sum(m) / 2, "mean_low": min(m), "mean_high": max(m), "weight_low": w[int(m[1] < m[0])], "settled": settled}

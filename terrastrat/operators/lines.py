@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from terrastrat.operators.emission import chains
 from terrastrat.operators.graph import connected_components
 from terrastrat.operators.points import axis
+from terrastrat.operators.ranking import grouped_percentiles
 from terrastrat.session import cut
 
 
@@ -60,9 +61,11 @@ def elongated(points: DataFrame, part: str, least: int = 12, ratio: float = 3.0,
     a = cut(a.filter((F.col("ratio") >= ratio) & (F.col("p") <= p_most)).select(part, "n", "cx", "cy", "ux", "uy", "ratio", "p"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     rows = points.join(a, part)
-    span = lambda v: ((F.percentile(v, 0.95) - F.percentile(v, 0.05)) / 2)
-    ends = rows.groupBy(part).agg(span(dx * F.col("ux") + dy * F.col("uy")).alias("half_length"), span(dy * F.col("ux") - dx * F.col("uy")).alias("half_width"))
-    return a.join(ends, part).filter("half_length > 0")
+    ends = a
+    for name, v in (("half_length", dx * F.col("ux") + dy * F.col("uy")), ("half_width", dy * F.col("ux") - dx * F.col("uy"))):
+        places = grouped_percentiles(rows, part, v, [0.05, 0.95], ["_low", "_high"])
+        ends = ends.join(places.select(part, ((F.col("_high") - F.col("_low")) / 2).alias(name)), part)
+    return ends.filter("half_length > 0")
 
 
 def cluster_lineations(points: DataFrame, label: str, thin: float, least: int = 12, ratio: float = 3.0, p_most: float = 0.01) -> DataFrame:

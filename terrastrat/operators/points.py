@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import azimuth, eigen2, unit_hash
-from terrastrat.operators.ranking import numbered
+from terrastrat.operators.ranking import grouped_percentiles, numbered
 from terrastrat.operators.spatial import knn, radius_join
 from terrastrat.session import cut
 
@@ -134,10 +134,11 @@ def spines(points: DataFrame, label: str, bins: int = 24, least: int = 3, least_
     # a point on the border of two steps is in the upper one, whatever the last digit of its place
     at = F.least(F.floor((F.col("_s") - F.col("_lo")) / step + 1e-9), F.lit(bins - 1)).cast("long")
     mid = F.first("_lo") + (F.col("bin") + 0.5) * F.first(step)
-    got = rows.filter(step > 0).withColumn("bin", at).groupBy(label, "bin").agg(
-        F.count("*").alias("n"), F.median("_w").alias("_m"), mid.alias("_at"), *[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy")]
-    )
-    got = got.filter(F.col("n") >= least)
+    rows = rows.filter(step > 0).withColumn("bin", at)
+    got = rows.groupBy(label, "bin").agg(F.count("*").alias("n"), mid.alias("_at"), *[F.first(c).alias(c) for c in ("cx", "cy", "ux", "uy")]).filter(F.col("n") >= least)
+    spot = rows.select(F.struct(F.col(label).alias("l"), F.col("bin").alias("b")).alias("_k"), "_w", "x", "y")
+    middle = grouped_percentiles(spot, "_k", F.col("_w"), [0.5], ["_m"]).select(F.col("_k.l").alias(label), F.col("_k.b").alias("bin"), "_m")
+    got = got.join(middle, [label, "bin"])
     return got.select(label, "bin", (F.col("cx") + F.col("_at") * F.col("ux") - F.col("_m") * F.col("uy")).alias("x"), (F.col("cy") + F.col("_at") * F.col("uy") + F.col("_m") * F.col("ux")).alias("y"))
 
 
@@ -153,6 +154,7 @@ def seeded_corridors(points: DataFrame, cell: float, radius: float, least: int,
     a = a.withColumn("linearity", F.try_divide(F.col("l1"), F.col("l1") + F.col("l2"))).filter(F.col("linearity") >= linearity)
     a = a.select("x", "y", "n", "cx", "cy", "ux", "uy", "linearity")
     t = (F.col("dx") - F.col("cx")) * F.col("ux") + (F.col("dy") - F.col("cy")) * F.col("uy")
-    span = near.join(a.select("x", "y", "cx", "cy", "ux", "uy"), ["x", "y"]).groupBy("x", "y").agg((F.percentile(t, 0.95) - F.percentile(t, 0.05)).alias("length"))
+    placed = near.join(a.select("x", "y", "cx", "cy", "ux", "uy"), ["x", "y"]).withColumn("_k", F.struct("x", "y"))
+    span = grouped_percentiles(placed, "_k", t, [0.05, 0.95], ["_low", "_high"]).select("_k.x", "_k.y", (F.col("_high") - F.col("_low")).alias("length"))
     rows = a.join(span, ["x", "y"]).filter(F.col("length") >= length)
     return rows.select(F.col("x").alias("seed_x"), F.col("y").alias("seed_y"), "n", (F.col("x") + F.col("cx")).alias("cx"), (F.col("y") + F.col("cy")).alias("cy"), "ux", "uy", "linearity", "length")

@@ -29,9 +29,17 @@ def average_ranks(df: DataFrame, value: str, out: str, order: list) -> DataFrame
     return ranked.join(ties, F.col(value).eqNullSafe(F.col("_v"))).drop("_rn", "_v")
 
 
+def _whole(df: DataFrame) -> Column:
+    """``_h``: a hash of the whole row, to tell rows of equal value apart where they are dealt out."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_h")
+
+
 def percentiles(df: DataFrame, value: Column, at: list[float], names: list[str]) -> DataFrame:
-    """One row of exact interpolated percentiles, nulls left out: rows are numbered and those at the two places picked."""
-    rows = numbered(df.select(value.cast("double").alias("_v")).dropna(), F.asc("_v"), out="_rn")
+    """One row of exact interpolated percentiles, nulls left out: rows are numbered and those at the two places picked.
+
+    Rows of one value are dealt apart by a hash of the whole row, so a value that most rows have fills many tasks.
+    """
+    rows = numbered(df.select(value.cast("double").alias("_v"), _whole(df)).filter("_v is not null"), F.asc("_v"), "_h", out="_rn")
     n = rows.agg(F.count("*").alias("_n"))
     spot = F.array(*[F.struct((F.lit(q) * (F.col("_n") - 1)).alias("p"), F.lit(i).alias("i")) for i, q in enumerate(at)])
     spots = n.select(F.explode(spot).alias("s")).select("s.i", F.floor("s.p").alias("lo"), (F.col("s.p") - F.floor("s.p")).alias("f"))
@@ -46,9 +54,9 @@ def percentiles(df: DataFrame, value: Column, at: list[float], names: list[str])
 def grouped_percentiles(df: DataFrame, key: str, value: Column, at: list[float], names: list[str]) -> DataFrame:
     """``(key, n, names)``: exact interpolated percentiles of each key's values, nulls left out, by one sort over all keys.
 
-    A key's rows may lie in many tasks; what is joined back are two places a percentile and key.
+    A key's rows, and those of one value, may lie in many tasks; what is joined back are two places a percentile and key.
     """
-    rows = numbered(df.select(key, value.cast("double").alias("_v")).filter("_v is not null"), F.asc_nulls_first(key), F.asc("_v"), out="_rn")
+    rows = numbered(df.select(key, value.cast("double").alias("_v"), _whole(df)).filter("_v is not null"), F.asc_nulls_first(key), F.asc("_v"), "_h", out="_rn")
     sizes = rows.groupBy(F.col(key).alias("_k")).agg((F.min("_rn") - 1).alias("_b"), F.count("*").alias("n"))
     spot = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(q) * (F.col("n") - 1)).alias("p"), F.lit(j).alias("j")) for i, q in enumerate(at) for j in (0, 1)])
     spots = sizes.select("_k", "n", "_b", F.explode(spot).alias("s"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import clip
-from terrastrat.operators import fields, kernels
+from terrastrat.operators import fields, kernels, ranking
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 
@@ -210,7 +210,7 @@ def _families(spark: SparkSession, folder: str) -> DataFrame:
         "row", "col", (F.col("b1") / 100000).alias("s1"), (F.col("b2") / 50).alias("s2"), (F.col("n") * 37 % 180).cast("double").alias("a1"),
         ((F.col("row") * 7 + F.col("col") * 3) % 180).cast("double").alias("a2"), (F.col("n") % 5 / 5.0).alias("c1"), (F.col("col") % 4 / 4.0).alias("c2"),
     )
-    t = f.agg(F.percentile("s1", 0.7).alias("t1"), F.percentile("s2", 0.7).alias("t2"))
+    t = ranking.percentiles(f, F.col("s1"), [0.7], ["t1"]).crossJoin(ranking.percentiles(f, F.col("s2"), [0.7], ["t2"]))  # one row each
     c = F.col
     return f.join(F.broadcast(t)).withColumn("agree", fields.agreement([c("s1"), c("s2")], [c("a1"), c("a2")], [c("c1"), c("c2")], [c("t1"), c("t2")], 25.0, 0.25))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import ALPHA, BETA, EPS, tversky, unit_hash
-from terrastrat.operators import kernels, metric, overlap
+from terrastrat.operators import kernels, metric, overlap, ranking
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 
@@ -250,7 +250,8 @@ def decile_enrichment(spark: SparkSession, folder: str) -> DataFrame:
     """Mean credit inside against outside a zone, by decile of another field."""
     c = A.cells(spark, folder)
     cover = metric.best_credit(A.truth(spark, folder).withColumn("p", F.lit(1.0)))
-    edges = c.agg(F.percentile("b1", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q"))
+    names = [f"q{i}" for i in range(1, 10)]
+    edges = ranking.percentiles(c, F.col("b1"), [i / 10 for i in range(1, 10)], names).select(F.array(*names).alias("q"))
     s = c.join(cover, ["row", "col"], "left").join(F.broadcast(edges)).select(
         F.size(F.filter("q", lambda x: x <= F.col("b1"))).cast("long").alias("stratum"), F.coalesce("credit", F.lit(0.0)).alias("k"), (F.col("b2") > 25).alias("inside")
     )

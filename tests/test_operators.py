@@ -389,3 +389,16 @@ def test_many_methods_are_scored_without_meeting_all_of_truth(spark):
     df = cells(spark, [(*k, v) for k, v in p.items()] + [(9, 500, 500, 1.0)], "m long, row long, col long, p double")
     want = metric.contributions(t, df, keys=["m"]).groupBy("m").agg(*metric.totals(None)).collect()
     assert sorted(map(tuple, metric.scores_by_method(t, df, ["m"]).collect())) == sorted(map(tuple, want)) and len(want) == 7
+
+
+def test_percentiles_of_a_value_that_nearly_all_rows_have(spark):
+    """Ninety-nine in a hundred rows hold one value; they are dealt over the tasks and the percentiles stay exact."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 100 == 0, F.col("id").cast("double")).otherwise(7.0).alias("v"), (F.col("id") % 3).alias("g"))
+    values = sorted(r.v for r in df.collect())
+    got = ranking.percentiles(df, F.col("v"), [0.0, 0.003, 0.5, 0.995, 1.0], list("abcde")).first()
+    assert list(got) == pytest.approx([float(np.percentile(values, 100 * q)) for q in (0.0, 0.003, 0.5, 0.995, 1.0)])
+    for r in ranking.grouped_percentiles(df, "g", F.col("v"), [0.5, 0.997], ["m", "h"]).collect():
+        own = [x.v for x in df.filter(F.col("g") == r.g).collect()]
+        assert (r.m, r.h) == pytest.approx((np.percentile(own, 50), np.percentile(own, 99.7))) and r.n == len(own)
+    spread = df.select(F.col("v").alias("_v"), ranking._whole(df)).repartitionByRange(8, "_v", "_h").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(spread) == 8 and max(r["count"] for r in spread) < 2 * 20_000 / 8
