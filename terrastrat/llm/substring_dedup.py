@@ -2,7 +2,8 @@
 
 A text is cut into pieces, each ended by a sentence of at least six words; longer stretches without a
 sentence's end are cut before words whose hash is the least around them. Either way a passage is cut
-alike wherever it stands. Pieces with equal words are one node. Bands of MinHash values are joined in
+alike wherever it stands. Pieces with equal words are one node. Pieces of more than PART_STRETCH words are
+cut once more, and their parts, which are met by equal words only, stand in where a passage begins or ends inside a piece. Bands of MinHash values are joined in
 Spark; colliding nodes are verified by exact Jaccard (see :mod:`terrastrat.llm.linking`) and clustered
 by components. All but the first occurrence of a cluster are removals; adjoining pieces are reported
 as one passage.
@@ -26,6 +27,10 @@ SENTENCE, MIN_PASSAGE = 6, 25
 LANES, LIKELY = 64, 0.6
 #: Stretches of more than STRETCH words are cut, before words of the least hash among REACH words on either side.
 STRETCH, REACH = 64, 8
+#: The same for the parts that longer pieces are cut into.
+PART_STRETCH, PART_REACH = 10, 5
+#: Words that a passage shows less than it has, as it begins and ends inside a part: about half a part at either end, less one in three.
+LOST = 7
 #: Code points of an edited piece that a passage may go across, and how far its ends may have moved by the edit.
 BRIDGE, MOVED = 400, 40
 #: Places (a power of two of them) in which a task remembers pieces whose bands it has given; a forgotten one costs rows and changes nothing.
@@ -70,35 +75,36 @@ def cut_text(w: shingles.Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], ends + 1]), w.text[ends]
 
 
-def inner_ends(word: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Last words of pieces inside stretches (each up to one of *ends*) of more than STRETCH words.
+def inner_ends(word: np.ndarray, ends: np.ndarray, stretch: int = STRETCH, reach: int = REACH) -> np.ndarray:
+    """Last words of pieces inside stretches (each up to one of *ends*) of more than *stretch* words.
 
-    A piece begins at a word whose hash is below those of REACH words before it and not above those of
-    REACH words after it in its stretch, so what stands farther away doesn't move the cut.
+    A piece begins at a word whose hash is below those of *reach* words before it and not above those of
+    *reach* words after it in its stretch, so what stands farther away doesn't move the cut.
     """
     size = np.diff(np.concatenate([[-1], ends]))
-    long = np.flatnonzero(size > STRETCH)
+    long = np.flatnonzero(size > stretch)
     if not len(long):
         return np.zeros(0, np.int64)
     size = size[long]
-    begin = np.cumsum(np.concatenate([[0], size + REACH]))  # stretches apart, with the largest value between them
-    at = np.arange(begin[-1]) - np.repeat(begin[:-1], size + REACH)
-    inside = at < np.repeat(size, size + REACH)
-    where = at + np.repeat(ends[long] + 1 - size, size + REACH)
+    begin = np.cumsum(np.concatenate([[0], size + reach]))  # stretches apart, with the largest value between them
+    at = np.arange(begin[-1]) - np.repeat(begin[:-1], size + reach)
+    inside = at < np.repeat(size, size + reach)
+    where = at + np.repeat(ends[long] + 1 - size, size + reach)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    row = np.full(begin[-1] + 2 * REACH, top, np.uint64)
-    row[REACH:-REACH][inside] = word[where[inside]]
-    mid = row[REACH:-REACH]
-    least = inside & (at >= REACH)
-    for k in range(1, REACH + 1):
-        least &= (mid < row[REACH - k : len(row) - REACH - k]) & (mid <= row[REACH + k : len(row) - REACH + k])
+    row = np.full(begin[-1] + 2 * reach, top, np.uint64)
+    row[reach:-reach][inside] = word[where[inside]]
+    mid = row[reach:-reach]
+    least = inside & (at >= reach)
+    for k in range(1, reach + 1):
+        least &= (mid < row[reach - k : len(row) - reach - k]) & (mid <= row[reach + k : len(row) - reach + k])
     return where[least] - 1
 
 
 def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, h, rid, at, stop, w, words, u, b0, ...)``: every piece of at least five words.
+    """``(key, h, rid, at, stop, w, words, u, up, part, b0, ...)``: every piece of at least five words, and the parts of long ones.
 
-    at, stop: code points of the text, end exclusive; w: words of the text before it. u: a hash of the piece's words in order. Bands are
+    at, stop: code points of the text, end exclusive; w: words of the text before it. u: a hash of the piece's words in order.
+    up: where the piece begins that it is, or is a part of. Parts have no bands. Bands are
     null where the task has given those of an equal piece before, so a piece that is very common gives
     them about once a task.
     """
@@ -113,11 +119,20 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 w = shingles.Words([t.as_py().encode() for t in part.column(3)])
                 first, owner = cut_text(w)
-                words = np.diff(first)
-                if not len(words):
+                if not len(owner):
                     continue
-                place = np.arange(len(w.hash)) - np.repeat(first[:-1], words)
-                u = shingles.mixed(np.add.reduceat(w.hash * shingles.powers(int(words.max()))[0][place], first[:-1]) + words.astype(np.uint64))
+                points = np.concatenate([[0], np.cumsum((w.buffer & 0xC0) != 0x80)])
+
+                def rows(first, owner, up, part, keep, band, batch=part, w=w, points=points):
+                    base = points[w.bounds[:-1]][owner]
+                    at, stop = points[w.start[first[:-1]]] - base, points[w.end[first[1:] - 1]] - base
+                    up = (points[w.start[up]] - base)[keep]
+                    long = [at[keep], stop[keep], (first[:-1] - w.first[owner])[keep], np.diff(first)[keep]]
+                    head = batch.select([0, 1, 2]).take(pa.array(owner[keep])).columns
+                    columns = [*head, *[pa.array(v.astype(np.int32)) for v in long], pa.array(names_of(w, first)[keep].view(np.int64)), pa.array(up.astype(np.int32)), pa.array(np.full(len(keep), part)), *band]
+                    return pa.RecordBatch.from_arrays(columns, names=["key", "h", "rid", "at", "stop", "w", "words", "u", "up", "part", *bands])
+
+                words, u = np.diff(first), names_of(w, first)
                 h, begin = shingles.shingles(w.hash, first)
                 least = least64(h, begin, BANDS * ROWS)
                 names, at = np.unique(u, return_index=True)
@@ -125,20 +140,25 @@ def pieces(documents: DataFrame, key: str, text: str) -> DataFrame:
                 stale = np.ones(len(u), bool)
                 stale[at[seen[place] != names]] = False
                 seen[place] = names
-                points = np.concatenate([[0], np.cumsum((w.buffer & 0xC0) != 0x80)])
-                base = points[w.bounds[:-1]][owner]
                 keep = np.flatnonzero(words >= shingles.WIDTH)
                 band = [_joined(least[keep, i * ROWS : (i + 1) * ROWS], i) for i in range(BANDS)]
-                at, stop = points[w.start[first[:-1]]] - base, points[w.end[first[1:] - 1]] - base
-                rows = part.select([0, 1, 2]).take(pa.array(owner[keep]))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(at[keep].astype(np.int32)), pa.array(stop[keep].astype(np.int32)), pa.array((first[:-1] - w.first[owner])[keep].astype(np.int32)), pa.array(words[keep].astype(np.int32)), pa.array(u[keep].view(np.int64)), *[pa.array(b, mask=stale[keep]) for b in band]],
-                    names=["key", "h", "rid", "at", "stop", "w", "words", "u", *bands],
-                )
+                yield rows(first, owner, first[:-1], False, keep, [pa.array(b, mask=stale[keep]) for b in band])
+                # parts of pieces that fall into two or more
+                finer = np.concatenate([[0], np.union1d(first[1:] - 1, inner_ends(w.hash, first[1:] - 1, PART_STRETCH, PART_REACH)) + 1])
+                parent = np.searchsorted(first, finer[:-1], side="right") - 1
+                keep = np.flatnonzero((np.diff(finer) >= shingles.WIDTH) & (np.bincount(parent, minlength=len(owner))[parent] > 1))
+                yield rows(finer, owner[parent], first[parent], True, keep, [pa.nulls(len(keep), pa.int64())] * BANDS)
 
     t = F.coalesce(F.col(text), F.lit(""))
     rows = documents.select(F.col(key), F.xxhash64(t).alias("h"), F.monotonically_increasing_id().alias("rid"), t.alias("_t"))
-    return rows.mapInArrow(found, f"key {kind}, h long, rid long, at int, stop int, w int, words int, u long, " + ", ".join(f"{b} long" for b in bands))
+    return rows.mapInArrow(found, f"key {kind}, h long, rid long, at int, stop int, w int, words int, u long, up int, part boolean, " + ", ".join(f"{b} long" for b in bands))
+
+
+def names_of(w: shingles.Words, first: np.ndarray) -> np.ndarray:
+    """A hash of the words in order of each of the pieces that begin at *first*."""
+    words = np.diff(first)
+    place = np.arange(len(w.hash)) - np.repeat(first[:-1], words)
+    return shingles.mixed(np.add.reduceat(w.hash * shingles.powers(int(words.max()))[0][place], first[:-1]) + words.astype(np.uint64))
 
 
 def least64(h: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
@@ -193,8 +213,8 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     """``(key, h, rid, start, end, n_words, cluster_id, first_key, removed)``: every occurrence of a repeated passage.
 
     start, end: code points, end exclusive. The first occurrence (in the order of the input) of each
-    piece is kept, removed false; adjoining pieces with one verdict are one row, left out if shorter
-    than *min_words*; an edited piece between two of one removed passage counts as part of it. cluster_id names a component, the same for all occurrences of a passage: the least
+    piece is kept, removed false; adjoining pieces with one verdict are one row, left out if its whole
+    pieces have under *min_words* - LOST words; an edited piece between two of one removed passage counts as part of it. cluster_id names a component, the same for all occurrences of a passage: the least
     one among the row's pieces that occur as often as most of its words; first_key is the key of the row
     that keeps it. Documents without repeats have no rows; null or empty texts have none.
     Repeated rows are occurrences like any others. An empty table gives an empty result.
@@ -209,14 +229,16 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
     equal = table.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
     nodes = cut(equal.unionByName(near.select("u")).distinct())
     # the one join that all pieces take part in; its other side is a single number a row
-    spots = written(merged(table.select("u", "key", "h", "rid", "at", "stop", "w", "words"), nodes, "u"))
+    spots = written(merged(table.select("u", "key", "h", "rid", "at", "stop", "w", "words", "up", "part"), nodes, "u"))
     components = near_nodes(documents, spots, near, key, text).withColumnRenamed("id", "u")
     spots = written(merged(spots, components, "u", "left").withColumn("label", F.coalesce("component", "u")).drop("u", "component"))
     labels = spots.groupBy("label").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "key")).alias("first"))
     labels = written(labels.filter("n > 1").select(F.col("label").alias("_label"), "n", "first"))
     spots = merged(spots, labels, F.col("label") == F.col("_label"))
     spots = spots.withColumn("removed", (F.col("rid") != F.col("first.rid")) | (F.col("at") != F.col("first.at")))
-    # windows over the pieces of one document
+    # windows over the pieces of one document; parts of a piece that is met itself say nothing more
+    whole = F.max(F.when(F.col("part"), 0).otherwise(1)).over(W.partitionBy("rid", "up"))
+    spots = spots.repartition("rid").withColumn("_whole", whole).filter("not part or _whole = 0").drop("_whole", "part", "up")
     order = W.partitionBy("rid").orderBy("at")
     before = lambda c: F.lag(c).over(order)
     gap = F.col("at") - before("stop")
@@ -245,7 +267,7 @@ def repeats(documents: DataFrame, key: str = "doc_id", text: str = "text", min_w
         F.max_by("least", F.struct("words", "n")).alias("_name"),
         F.first("removed").alias("removed"),
     )
-    rows = rows.filter(F.col("n_words") >= min_words)
+    rows = rows.filter(F.col("n_words") >= min_words - LOST)
     return rows.select(key, "h", "rid", "start", "end", "n_words", F.col("_name.label").alias("cluster_id"), F.col("_name.first.key").alias("first_key"), "removed")
 
 

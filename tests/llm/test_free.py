@@ -282,6 +282,39 @@ def test_passages_without_sentence_marks_are_found(spark):
     assert sum(x > 0.5 for x in edited) >= 0.6 * len(edited), sorted(edited)
 
 
+def recall_at(found, rows, n):
+    return plain.recall(plain.repeated_runs(rows, n), [(x.doc_id, x.start, x.end) for x in found])
+
+
+def test_nothing_verbatim_is_lost_in_the_documents(spark):
+    """Every run of words that stands in two documents, found by comparing all windows of words."""
+    rows = list(small_docs(spark).items())
+    found = substring_dedup.op8_repeated_passages(spark, SMALL).collect()
+    assert recall_at(found, rows, 30) >= 0.97 and recall_at(found, rows, 51) >= 0.995
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_verbatim_and_edited_passages_by_brute_force(spark, marks):
+    """Passages of 30 to 90 words planted anywhere, verbatim or with one word changed, in texts with and without marks."""
+    r = random.Random(21 + marks)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) + ("." if marks and r.random() < 0.07 else "")
+    rows, edited = [], {}
+    for p in range(60):
+        passage = [word() for _ in range(r.randint(30, 90) if p % 2 else r.randint(60, 90))]
+        for i in range(2):
+            own, at, copy = [word() for _ in range(200)], r.randint(10, 190), list(passage)
+            if p % 2 == 0 and i == 1:
+                copy[r.randrange(5, len(copy) - 5)] = "edited"
+            start = len(" ".join(own[:at])) + 1
+            rows.append((len(rows), " ".join([*own[:at], *copy, *own[at:]])))
+            if p % 2 == 0 and i == 1:
+                edited[rows[-1][0]] = (start, start + len(" ".join(copy)))
+    found = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert recall_at(found, rows, 30) >= 0.95
+    spans = [(x.doc_id, x.start, x.end) for x in found]
+    assert plain.recall([(k, a, b) for k, (a, b) in edited.items()], spans) >= 0.9
+
+
 def test_cuts_of_a_stretch_depend_on_words_near_by():
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
