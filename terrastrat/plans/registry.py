@@ -25,7 +25,7 @@ def register(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    for name in ("scoring", "events", "fields", "picks", "fits", "ridges", "etl", "distance", "rasters", "traces", "windows"):
+    for name in ("scoring", "events", "fields", "picks", "fits", "ridges", "etl", "distance", "rasters", "traces", "windows", "ordered"):
         import_module(f"terrastrat.plans.{name}")
 
 
