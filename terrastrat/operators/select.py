@@ -38,13 +38,14 @@ def block_best(cells: DataFrame, score: str, block: int) -> DataFrame:
     return cells.groupBy(F.expr(f"row div {block}").alias("_r"), F.expr(f"col div {block}").alias("_c")).agg(best).select("b.row", "b.col", (-F.col("b.s")).alias(score))
 
 
-def spaced(cells: DataFrame, score: str, offsets: Offsets, n: int | None = None, max_rounds: int = 500) -> DataFrame:
+def spaced(cells: DataFrame, score: str, offsets: Offsets, n: int | None = None, max_rounds: int = 500, period: int | None = None) -> DataFrame:
     """Greedy choice by score (then row, col) in which no two chosen cells lie within *offsets*.
 
     The sequential rule's result is found in rounds: every undecided cell that precedes all undecided
-    cells in conflict with it is chosen, and those in conflict go. n: the first n in order. Raises if
-    *max_rounds* do not suffice.
+    cells in conflict with it is chosen, and those in conflict go. n: the first n in order. period: rows
+    0..period-1 go round, so the last one lies beside the first. Raises if *max_rounds* do not suffice.
     """
+    around = lambda df: df if period is None else df.withColumn("row", F.pmod("row", F.lit(period)))
     order = F.struct((-F.col(score)).alias("s"), "row", "col")
     left = cut(cells.select("row", "col", score).dropna().withColumn("_key", order))
     ring = [(i, j, w) for i, j, w in offsets if (i, j) != (0, 0)]
@@ -53,10 +54,10 @@ def spaced(cells: DataFrame, score: str, offsets: Offsets, n: int | None = None,
         if left.isEmpty():
             break
         # a cell sees the best claim among itself and all undecided cells around it
-        best = spread(left, [*ring, (0, 0, 1.0)], ["_key"]).groupBy("row", "col").agg(F.min("_key").alias("_m"))
+        best = around(spread(left, [*ring, (0, 0, 1.0)], ["_key"])).groupBy("row", "col").agg(F.min("_key").alias("_m"))
         picked = cut(left.join(best, ["row", "col"]).filter("_key = _m").select("row", "col", score))
         chosen = picked if chosen is None else chosen.unionByName(picked)
-        gone = spread(picked, [*ring, (0, 0, 1.0)], []).select("row", "col").distinct()
+        gone = around(spread(picked, [*ring, (0, 0, 1.0)], [])).select("row", "col").distinct()
         left = cut(left.join(gone, ["row", "col"], "left_anti"))
     else:
         raise RuntimeError(f"undecided cells are left after {max_rounds} rounds")

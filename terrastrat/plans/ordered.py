@@ -1,13 +1,14 @@
-"""Queries of ordered selections, and of ends, bridges and continuations of lines."""
+"""Queries of ordered selections, of ends, bridges and continuations of lines, and of lines that beat chance."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastrat.operators import ordered, tips
+from terrastrat.operators import ordered, significance, tips
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
+from terrastrat.session import cut
 
 
 @register(
@@ -97,3 +98,51 @@ def tip_bridge_counts(spark: SparkSession, folder: str) -> DataFrame:
 def continued_traces(spark: SparkSession, folder: str) -> DataFrame:
     """Truth carried on along its local strike, fading with distance; cells on and beside truth left out."""
     return tips.continued(A.truth(spark, folder), 256, 256).withColumn("value", F.round("value", 9))
+
+
+_RANDOM = f""",
+c AS (SELECT least(y // 512, 8) * 9 + least(x // 512, 8) AS c, count(*) AS n FROM pts GROUP BY 1),
+w AS (SELECT g.c, coalesce(n, 0) * 20 + 1 AS w, sum(coalesce(n, 0) * 20 + 1) OVER (ORDER BY g.c) AS high FROM range(81) g(c) LEFT JOIN c USING (c)),
+b AS (SELECT c, high - w AS low FROM w),
+d AS (SELECT s, i, {A.unit_sql(3, "s", "i")} * (SELECT sum(w) FROM w)::DOUBLE AS u FROM range(4) a(s), range((SELECT count(*) FROM pts)) e(i)),
+rnd AS (SELECT s, i, (c % 9) * 512 + {A.unit_sql(4, "s", "i")} * 512 AS x, (c // 9) * 512 + {A.unit_sql(5, "s", "i")} * 512 AS y FROM d ASOF JOIN b ON d.u >= b.low)"""
+
+
+@register("surrogate_points", A.sql("pts", _RANDOM + "\nSELECT s, i, round(x, 6) AS x, round(y, 6) AS y FROM rnd"))
+def surrogate_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Four random catalogues with the events' density by squares of 512."""
+    got = significance.surrogates(A.pts(spark, folder), 4096, 4096, 4, 512, 3)
+    return got.select("s", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@register(
+    "line_peaks",
+    A.sql(
+        "pts",
+        _RANDOM
+        + """,
+p AS (SELECT x::DOUBLE AS x, y::DOUBLE AS y, mag / (SELECT max(mag) FROM pts) AS m, 0 AS r FROM pts UNION ALL SELECT x, y, 0, 1 FROM rnd),
+h AS (SELECT sqrt((4096.0::DOUBLE * 4096 * 2)) + 2 AS far),
+v0 AS (SELECT theta::BIGINT AS theta, floor((x * cos(theta * (pi() / 60)) + y * sin(theta * (pi() / 60))) / 16 + far / 16)::BIGINT AS bin, count(*) FILTER (r = 0) AS v, sum(m) AS w, count(*) FILTER (r = 1) AS q FROM p, h, range(60) t(theta) GROUP BY 1, 2),
+v AS (SELECT theta, bin + j AS bin, sum(v) AS votes, sum(w) AS weighted, sum(q) / 4.0::DOUBLE AS expected FROM v0, range(-1, 2) o(j) WHERE bin + j BETWEEN 0 AND ceil(2 * (SELECT far FROM h) / 16) GROUP BY 1, 2),
+z AS (SELECT *, (votes - expected) / sqrt(expected + 1) AS z FROM v)
+SELECT a.theta, a.bin, a.votes::BIGINT AS votes, round(a.weighted, 6) AS weighted, round(a.expected, 6) AS expected, round(a.z, 6) AS z
+FROM z a LEFT JOIN z l ON l.theta = a.theta AND l.bin = a.bin - 1 LEFT JOIN z n ON n.theta = a.theta AND n.bin = a.bin + 1
+WHERE a.z > 1.5 AND a.votes >= 8 AND a.z > coalesce(l.z, 0) AND a.z >= coalesce(n.z, 0)""",
+    ),
+)
+def line_peaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of events with more votes than catalogues of the same coarse density give."""
+    p = A.pts(spark, folder).select("x", "y", F.col("mag").alias("weight"))
+    bins = cut(significance.line_significance(p, significance.surrogates(p, 4096, 4096, 4, 512, 3), 4, 4096, 4096, 60, 16.0))
+    got = significance.peaks(bins, 1.5, 8)
+    return got.select("theta", "bin", "votes", F.round("weighted", 6).alias("weighted"), F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z"))
+
+
+@register("significant_lines")
+def significant_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same peaks without near-duplicates, as lines of a least length with their ends."""
+    p = A.pts(spark, folder).select("x", "y", F.col("mag").alias("weight"))
+    random = cut(significance.surrogates(p, 4096, 4096, 4, 512, 3).select("x", "y"))
+    got = significance.detect_lines(p, random, 4, 4096, 4096, 60, 16.0, z_least=1.5, extent=600.0, degrees=10.0, apart=64.0)
+    return got.select(*[F.round(c, 6).alias(c) if c != "n" else "n" for c in got.columns])
