@@ -118,3 +118,44 @@ def detect_lines(points: DataFrame, random: DataFrame, count: int, rows: int, co
     out = kept.join(spans.filter(F.col("extent") >= extent), "line").join(ends, "line")
     whole = 2 * smooth + 1
     return out.select(angle.alias("theta"), (F.col("bin") * width - far).alias("rho"), "z", F.floor(F.col("votes") / whole).alias("n"), (F.col("expected") / whole).alias("expected"), "extent", "t_min", "t_max", "weighted")
+
+
+def local_spans(points: DataFrame, lines: DataFrame, thetas: int = 180, window: float = 24.0, z_least: float = 4.0, least: int = 6, merge: float = 12.0, side: float = 5.0, half: float = 1.5) -> DataFrame:
+    """``(theta, rho, z, n, extent, t_min, t_max)``: the spans along *lines* that hold more points than their surroundings.
+
+    lines: as of :func:`detect_lines` with the same *thetas*. Windows stand at every half window from t_min on; each counts
+    points within *half* of the line and within *half* of two lines *side* away. A window is kept when its points
+    exceed *least* and the mean of the line's side windows by *z_least* of their deviations. Kept windows at most *merge* apart
+    become one span, whose n is its points on the line. A line shorter than a window stays as it is, one
+    without a kept window goes. A point meets the lines by direction and bin and falls into three windows at most.
+    """
+    step, width = window / 2, max(side + half, 1e-9)
+    ready = lines.select("rho", "z", "n", "t_min", "t_max", F.rint(F.col("theta") * thetas / math.pi).cast("long").alias("theta"))
+    ready = cut(ready.withColumn("line", F.monotonically_increasing_id()).withColumn("_j", F.ceil((F.col("t_max") + 1e-9 - F.col("t_min")) / step)))
+    short = F.col("t_max") - F.col("t_min") < window
+    angle = F.col("theta") * (math.pi / thetas)
+    long_ones = ready.filter(~short)
+    near = long_ones.select("line", "theta", F.col("rho").alias("at"), "t_min", "_j", F.explode(F.sequence(F.floor((F.col("rho") - width) / width), F.floor((F.col("rho") + width) / width))).alias("bin"))
+    turned = _turned(points.select("x", "y").dropna(), thetas, width, 0.0).withColumn("theta", F.col("theta").cast("long"))
+    met = small_join(turned, cut(near), ["theta", "bin"]).withColumn("t", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
+    strips = F.array_compact(F.array(*[F.when(F.abs(F.col("rho") - (F.col("at") + d)) <= half, F.lit(i)) for i, d in enumerate((0.0, -side, side))]))
+    met = cut(met.withColumn("strip", F.explode(strips)).select("line", "strip", "t", "t_min", "_j"))
+    place = (F.col("t") - F.col("t_min")) / step
+    counted = met.withColumn("j", F.explode(F.sequence(F.floor(place) - 1, F.floor(place) + 2)))
+    counted = counted.filter((F.abs(F.col("t") - (F.col("t_min") + F.col("j") * step)) <= step) & (F.col("j") >= 0) & (F.col("j") < F.col("_j")))
+    sums = counted.groupBy("line", "j").agg(*[F.count_if(F.col("strip") == i).alias(f"_{i}") for i in range(3)])
+    # windows without a point count in the mean by their number alone
+    bars = sums.groupBy("line").agg(F.sum(F.col("_1") + F.col("_2")).alias("s"), F.sum(F.col("_1") * F.col("_1") + F.col("_2") * F.col("_2")).alias("q"))
+    bars = bars.join(long_ones.select("line", "t_min", (2 * F.col("_j")).alias("m")), "line")
+    bar = F.col("s") / F.col("m") + z_least * (F.sqrt((F.col("m") * F.col("q") - F.col("s") * F.col("s")).cast("double")) / F.col("m") + 1e-9)
+    kept = sums.join(bars.select("line", "t_min", F.greatest(bar, F.lit(float(least))).alias("bar")), "line").filter(F.col("_0") > F.col("bar"))
+    order = W.partitionBy("line").orderBy("j")
+    fresh = F.coalesce(((F.col("j") - F.lag("j").over(order) - 2) * step > merge + 1e-9).cast("int"), F.lit(1))
+    runs = kept.withColumn("_new", fresh).withColumn("run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    spans = runs.groupBy("line", "run").agg((F.first("t_min") + F.min("j") * step - step).alias("a"), (F.first("t_min") + F.max("j") * step + step).alias("b"))
+    spans = cut(spans)
+    on = small_join(met.filter("strip = 0").select("line", "t"), spans, "line").filter(F.col("t").between(F.col("a"), F.col("b")))
+    held = on.groupBy("line", "run", "a", "b").agg(F.count("*").alias("n"))
+    pruned = held.join(ready.drop("n"), "line").select("theta", "rho", "z", "n", (F.col("b") - F.col("a")).alias("extent"), F.col("a").alias("t_min"), F.col("b").alias("t_max"))
+    same = ready.filter(short).select("theta", "rho", "z", F.col("n").cast("long").alias("n"), (F.col("t_max") - F.col("t_min")).alias("extent"), "t_min", "t_max")
+    return pruned.unionByName(same).withColumn("theta", angle)

@@ -146,3 +146,11 @@ def significant_lines(spark: SparkSession, folder: str) -> DataFrame:
     random = cut(significance.surrogates(p, 4096, 4096, 4, 512, 3).select("x", "y"))
     got = significance.detect_lines(p, random, 4, 4096, 4096, 60, 16.0, z_least=1.5, extent=600.0, degrees=10.0, apart=64.0)
     return got.select(*[F.round(c, 6).alias(c) if c != "n" else "n" for c in got.columns])
+
+
+@register("line_spans")
+def line_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the significant lines, the spans that hold more events than the strips beside them."""
+    lines = significant_lines(spark, folder)
+    got = significance.local_spans(A.pts(spark, folder), lines, 60, window=400.0, z_least=1.0, least=3, merge=200.0, side=80.0, half=24.0)
+    return got.select(*[F.round(c, 6).alias(c) if c != "n" else "n" for c in got.columns])

@@ -114,6 +114,48 @@ def test_planted_lines_come_once_and_chance_gives_none(spark):
         assert all(abs(r.theta - math.pi / 2) < 0.05 and abs(r.rho - 150) < 3 for r in got)
 
 
+def plain_spans(x, y, lines, window, z_least, least, merge, side, half):
+    out = []
+    for th, rho, z, n, t0, t1 in lines:
+        d, t = x * math.cos(th) + y * math.sin(th), y * math.cos(th) - x * math.sin(th)
+        if t1 - t0 < window:
+            out.append((th, rho, z, n, t1 - t0, t0, t1))
+            continue
+        centres = np.arange(t0, t1 + 1e-9, window / 2)
+        count = lambda c, off: int(((np.abs(d - rho - off) <= half) & (np.abs(t - c) <= window / 2)).sum())  # noqa: E731, B023
+        beside = np.array([count(c, off) for c in centres for off in (-side, side)])
+        bar = max(beside.mean() + z_least * (beside.std() + 1e-9), least)
+        spans = []
+        for c in centres:
+            if count(c, 0.0) > bar:
+                if spans and c - window / 2 - spans[-1][1] <= merge + 1e-9:
+                    spans[-1][1] = c + window / 2
+                else:
+                    spans.append([c - window / 2, c + window / 2])
+        out += [(th, rho, z, int(((np.abs(d - rho) <= half) & (t >= a) & (t <= b)).sum()), b - a, a, b) for a, b in spans]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("window", "merge", "z_least"), [(24.0, 12.0, 1.0), (20.0, 35.0, 0.5), (60.0, 0.0, 2.0), (24.0, 12.0, 50.0)])
+def test_spans_equal_plain_loops(spark, window, merge, z_least):
+    """Points crowd on parts of a vertical and of a slanted line; one line is empty, one short and one has negative rho."""
+    rng = np.random.default_rng(5)
+    up = np.column_stack([150 + rng.normal(0, 0.5, 90), np.concatenate([rng.uniform(10, 70, 45), rng.uniform(130, 200, 45)])])
+    t = np.concatenate([rng.uniform(-60, -10, 30), rng.uniform(60, 120, 40)])
+    th = 2 * math.pi / 3
+    slanted = np.column_stack([-20 * math.cos(th) - t * math.sin(th) + 150, -20 * math.sin(th) + t * math.cos(th) + 60])
+    xy = np.vstack([up, slanted, rng.uniform(0, 250, (500, 2))])
+    rho = float(slanted[0, 0] * math.cos(th) + slanted[0, 1] * math.sin(th)) + 0.2
+    lines = [(0.0, 150.0, 9.0, 90, 5.3, 205.1), (th, rho, 7.0, 70, -250.7, 260.2), (math.pi / 2, 240.5, 6.5, 8, -20.0, -5.0), (math.pi / 3, -9000.0, 6.1, 9, 0.0, 100.0)]
+    df = spark.createDataFrame([*xy.tolist(), [None, 1.0]], "x double, y double")
+    got = significance.local_spans(df, spark.createDataFrame(lines, "theta double, rho double, z double, n long, t_min double, t_max double"), 180, window, z_least, 3, merge)
+    want = plain_spans(xy[:, 0], xy[:, 1], lines, window, z_least, 3, merge, 5.0, 1.5)
+    found = sorted(tuple(r) for r in got.select("theta", "rho", "z", "n", "extent", "t_min", "t_max").collect())
+    assert len(found) == len(want) and (len(want) > 2 or z_least > 2)
+    for a, b in zip(found, want, strict=True):
+        assert a == pytest.approx(b)
+
+
 def test_spacing_on_rows_that_go_round(spark):
     rng = np.random.default_rng(3)
     cells = {(int(r), int(c)): float(rng.integers(0, 6)) for r in range(12) for c in range(15)}
