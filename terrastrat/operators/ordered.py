@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terrastrat.functions.expressions import ALPHA
-from terrastrat.operators.kernels import Offsets, disc, gather, spread
+from terrastrat.functions.expressions import ALPHA, unit_hash
+from terrastrat.operators.kernels import Offsets, disc, gather, gauss, separable, spread
 from terrastrat.operators.ranking import numbered
 from terrastrat.operators.select import spaced
 from terrastrat.session import cut, small_join
@@ -100,3 +100,34 @@ def at_mass(probability: DataFrame, value: str, mask: Column, allowed: Column, m
     near = gather(given, disc(3.0), [F.sum(F.col("_v") * F.col("k")).alias("credit")], ["_v"], within=rows.filter("_in and _ok"))
     ring = disc(suppression, weight=lambda d, r: 1.0) if suppression >= 1 else [(0, 0, 1.0)]
     return _best(near.withColumn("credit", F.round("credit", 9)).filter("credit > 0"), "credit", ring, mass)
+
+
+def temporal_holdout(events: DataFrame, cutoff: Column, least: int = 2, sigmas: tuple[float, ...] = (1.0, 2.0), seed: int = 0) -> DataFrame:
+    """``(way, mass, truth, tpw, credit_per_cell, covered)``: supports drawn from events before *cutoff*, scored on cells first hit after it.
+
+    events: ``(row, col)`` and the columns of *cutoff*, true for the earlier ones; null times are left out. Ways: cells of
+    *least* earlier events or more, and at the same mass the cells of highest smoothed earlier density for each sigma and a
+    hashed draw, all among cells that hold any event. tpw: the best kernel summed over truth cells. Equal densities
+    are taken by row and col. Nothing of the later events enters a support but the outline. Without truth the share covered is null; if no cell repeats, there are no rows.
+    """
+    rows = events.select("row", "col", cutoff.alias("_early")).dropna()
+    cells = cut(rows.groupBy("row", "col").agg(F.count_if("_early").cast("double").alias("n")))
+    truth = cells.filter("n = 0").select("row", "col")
+    repeated = cells.filter(F.col("n") >= least).select("row", "col")
+    mass = repeated.count()
+    best = lambda df, *order: numbered(df, *order, F.asc("row"), F.asc("col")).filter(F.col("rn") <= mass).select("row", "col")
+    ways = {"repeated": repeated}
+    for s in sigmas:
+        wide = separable(cells.filter("n > 0"), "n", gauss(s), gauss(s), "v")
+        ways[f"density {s:g}"] = best(cells.join(wide, ["row", "col"], "left").select("row", "col", F.round(F.coalesce("v", F.lit(0.0)), 9).alias("v")), F.desc("v"))
+    ways["random"] = best(cells.withColumn("v", unit_hash(F.col("row"), F.col("col"), seed=seed)), F.asc("v"))
+    sent = None
+    for name, support in ways.items():
+        one = support.withColumn("way", F.lit(name))
+        sent = one if sent is None else sent.unionByName(one)
+    sent = cut(sent)
+    cover = spread(sent, disc(3.0), ["way"]).groupBy("way", "row", "col").agg(F.max("k").alias("k"))
+    credit = cover.join(truth, ["row", "col"]).groupBy("way").agg(F.sum("k").alias("tpw"))
+    sizes = sent.groupBy("way").agg(F.count("*").alias("mass")).join(F.broadcast(truth.agg(F.count("*").alias("truth"))))  # one row
+    out = sizes.join(credit, "way", "left").fillna(0.0, ["tpw"])
+    return out.select("way", "mass", "truth", "tpw", F.try_divide("tpw", "mass").alias("credit_per_cell"), F.try_divide("tpw", "truth").alias("covered"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrastrat.operators import ordered, significance, tips
+from terrastrat.operators import kernels, ordered, significance, tips
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 from terrastrat.session import cut
@@ -154,3 +154,38 @@ def line_spans(spark: SparkSession, folder: str) -> DataFrame:
     lines = significant_lines(spark, folder)
     got = significance.local_spans(A.pts(spark, folder), lines, 60, window=400.0, z_least=1.0, least=3, merge=200.0, side=80.0, half=24.0)
     return got.select(*[F.round(c, 6).alias(c) if c != "n" else "n" for c in got.columns])
+
+
+def _taps(sigma: float) -> str:
+    return ", ".join(f"({i}::BIGINT, {w!r}::DOUBLE)" for i, w in kernels.gauss(sigma))
+
+
+@register(
+    "temporal_holdout",
+    A.sql(
+        "pts kern",
+        f""",
+m AS (SELECT (min(t_us) + max(t_us)) // 2 AS mid FROM pts),
+c AS (SELECT y // 16 AS row, x // 16 AS col, count(*) FILTER (t_us < (SELECT mid FROM m))::DOUBLE AS n FROM pts GROUP BY 1, 2),
+t AS (SELECT row, col FROM c WHERE n = 0),
+k1 AS (SELECT * FROM (VALUES {_taps(1.0)}) v(i, w)), k2 AS (SELECT * FROM (VALUES {_taps(2.0)}) v(i, w)),
+d1 AS (SELECT c.row + a.i AS row, c.col + b.i AS col, sum(n * a.w * b.w) AS v FROM c, k1 a, k1 b WHERE n > 0 GROUP BY 1, 2),
+d2 AS (SELECT c.row + a.i AS row, c.col + b.i AS col, sum(n * a.w * b.w) AS v FROM c, k2 a, k2 b WHERE n > 0 GROUP BY 1, 2),
+r AS (SELECT c.row, c.col, n, row_number() OVER (ORDER BY round(coalesce(d1.v, 0), 9) DESC, c.row, c.col) AS r1, row_number() OVER (ORDER BY round(coalesce(d2.v, 0), 9) DESC, c.row, c.col) AS r2,
+  row_number() OVER (ORDER BY {A.unit_sql(7, "c.row", "c.col")}, c.row, c.col) AS r3 FROM c LEFT JOIN d1 USING (row, col) LEFT JOIN d2 ON d2.row = c.row AND d2.col = c.col),
+q AS (SELECT count(*) AS mass FROM c WHERE n >= 2),
+s AS (SELECT 'repeated' AS way, row, col FROM c WHERE n >= 2 UNION ALL SELECT 'density 1', row, col FROM r, q WHERE r1 <= mass
+  UNION ALL SELECT 'density 2', row, col FROM r, q WHERE r2 <= mass UNION ALL SELECT 'random', row, col FROM r, q WHERE r3 <= mass),
+v AS (SELECT way, s.row + i AS row, s.col + j AS col, max(k) AS k FROM s, kern GROUP BY 1, 2, 3),
+p AS (SELECT way, sum(k) AS tpw FROM v JOIN t USING (row, col) GROUP BY way)
+SELECT way, mass::BIGINT AS mass, (SELECT count(*) FROM t) AS truth, round(tpw, 6) AS tpw, round(tpw / mass, 6) AS credit_per_cell, round(tpw / (SELECT count(*) FROM t), 6) AS covered
+FROM (SELECT DISTINCT s.way, coalesce(tpw, 0) AS tpw FROM s LEFT JOIN p USING (way)), q""",
+    ),
+)
+def temporal_holdout(spark: SparkSession, folder: str) -> DataFrame:
+    """Supports of the earlier half of time, scored on cells that events reach in the later half only."""
+    p = A.pts(spark, folder)
+    ends = p.agg(F.expr("(min(t_us) + max(t_us)) div 2").alias("at"))
+    e = p.join(F.broadcast(ends)).select(F.expr("y div 16").alias("row"), F.expr("x div 16").alias("col"), "t_us", "at")  # one row
+    got = ordered.temporal_holdout(e, F.col("t_us") < F.col("at"), seed=7)
+    return got.select("way", "mass", "truth", *[F.round(c, 6).alias(c) for c in ("tpw", "credit_per_cell", "covered")])

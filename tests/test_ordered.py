@@ -221,3 +221,20 @@ def test_continuations_equal_plain_arrays(spark):
 def test_images_over_two_borders(spark):
     got = tips.mirrored(spark.createDataFrame([(0, 3), (4, 4)], "row long, col long"), 9, 5, 2).collect()
     assert sorted((x.row, x.col) for x in got) == sorted([(0, 3), (-1, 3), (0, 6), (-1, 6), (4, 4), (4, 5)])
+
+
+def test_a_support_of_the_past_is_scored_on_new_cells_only(spark):
+    rng = np.random.default_rng(12)
+    early = [(int(r), int(c), True) for r, c in rng.normal(15, 3, (150, 2)).round()]
+    late = [(int(r), int(c), False) for r, c in rng.normal(15, 5, (120, 2)).round()]
+    df = spark.createDataFrame([*early, *late, (1, 1, None)], "row long, col long, early boolean")
+    got = {r.way: r for r in ordered.temporal_holdout(df, F.col("early")).collect()}
+    n = {}
+    for r, c, _ in early:
+        n[r, c] = n.get((r, c), 0) + 1
+    support, truth = {p for p, k in n.items() if k >= 2}, {(r, c) for r, c, _ in late} - set(n)
+    credit = sum(max(0.0, 1 - min(math.dist(t, s) for s in support) / 3) for t in truth)
+    r = got["repeated"]
+    assert (r.mass, r.truth) == (len(support), len(truth)) and r.tpw == pytest.approx(credit) and r.covered == pytest.approx(credit / len(truth))
+    assert set(got) == {"repeated", "density 1", "density 2", "random"} and {x.mass for x in got.values()} == {len(support)}
+    assert ordered.temporal_holdout(df.limit(0), F.col("early")).count() == 0
