@@ -11,11 +11,17 @@ from pyspark.sql import functions as F
 from terrastrat.operators.graph import connected_components
 from terrastrat.operators.ranking import percentiles
 from terrastrat.operators.spatial import radius_join
+from terrastrat.operators.tiles import clusters, whole
 from terrastrat.session import cut
 
 
 def radius_components(points: DataFrame, radius: float) -> DataFrame:
-    """``(id, component)``: components of the graph of points within *radius*; alone, a point is its own."""
+    """``(id, component)``: components of the graph of points within *radius*; alone, a point is its own.
+
+    Whole-numbered places go by tiles (see :func:`terrastrat.operators.tiles.clusters`), others by pairs.
+    """
+    if whole(points, "id"):
+        return clusters(points, radius, 1).select("id", F.coalesce("cluster", "id").alias("component"))
     edges = radius_join(points.select("id", "x", "y"), points.select("id", "x", "y"), radius).filter("id < n_id")
     found = connected_components(edges, "id", "n_id").withColumnRenamed("node", "id")
     return points.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
@@ -25,8 +31,11 @@ def dbscan(points: DataFrame, eps: float, least: int) -> DataFrame:
     """``(id, core, cluster)``: core points have *least* points within eps, themselves included.
 
     A border point joins the cluster of its nearest core point, ties to the lesser id; noise has a
-    null cluster. Clusters are named by their least core id.
+    null cluster. Clusters are named by their least core id. Whole-numbered places go by tiles
+    (see :func:`terrastrat.operators.tiles.clusters`), others by pairs.
     """
+    if whole(points, "id"):
+        return clusters(points, eps, least)
     p = cut(points.select("id", "x", "y"))
     near = cut(radius_join(p, p, eps).select("id", "n_id", "d"))
     core = cut(near.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id"))
