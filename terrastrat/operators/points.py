@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from terrastrat.functions.expressions import azimuth, eigen2, unit_hash
 from terrastrat.operators.ranking import grouped_percentiles, numbered
 from terrastrat.operators.spatial import knn, radius_join
+from terrastrat.operators.tiles import disc_sums, whole
 from terrastrat.session import cut
 
 
@@ -34,6 +35,11 @@ def axis(rows: DataFrame, keys: list[str], x: str, y: str, weight: Column | None
         F.count("*").alias("n"), F.sum(w).alias("_w"), F.sum(w * a).alias("_x"), F.sum(w * b).alias("_y"),
         F.sum(w * a * a).alias("_xx"), F.sum(w * b * b).alias("_yy"), F.sum(w * a * b).alias("_xy"), *more,
     )
+    return of_sums(sums, divisor)
+
+
+def of_sums(sums: DataFrame, divisor: str = "n") -> DataFrame:
+    """The axes of :func:`axis` from a row of sums a key: ``_w``, ``_x``, ``_y``, ``_xx``, ``_yy`` and ``_xy``."""
     cx, cy = F.col("_x") / F.col("_w"), F.col("_y") / F.col("_w")
     scale = F.lit(1.0) if divisor == "n" else F.col("_w") / F.greatest(F.col("_w") - 1, F.lit(1.0))
     xx, yy, xy = ((F.col("_xx") / F.col("_w") - cx * cx) * scale, (F.col("_yy") / F.col("_w") - cy * cy) * scale, (F.col("_xy") / F.col("_w") - cx * cy) * scale)
@@ -42,6 +48,23 @@ def axis(rows: DataFrame, keys: list[str], x: str, y: str, weight: Column | None
     return out.withColumn("strike", azimuth(F.col("ux"), F.col("uy"))).drop("_w", "_x", "_y", "_xx", "_yy", "_xy")
 
 
+def disc_axes(points: DataFrame, radius: float, weight: Column | None = None, divisor: str = "n") -> DataFrame:
+    """``(id, n, cx, cy, l1, l2, ux, uy, strike)`` of the points ``(id, x, y)`` within *radius* of each, itself included, relative to it.
+
+    Whole-numbered places go by running sums over tiles (see :func:`terrastrat.operators.tiles.disc_sums`), others by
+    pairs. *weight* is an expression of a point's own columns.
+    """
+    w = F.lit(1.0) if weight is None else weight
+    p = cut(points.select("id", "x", "y", w.cast("double").alias("w")).dropna(subset=["x", "y"]))
+    if not whole(p):
+        near = radius_join(p.select("id", "x", "y"), p, radius).withColumns({"dx": F.col("n_x") - F.col("x"), "dy": F.col("n_y") - F.col("y")})
+        return axis(near, ["id"], "dx", "dy", F.col("n_w"), divisor=divisor)
+    places = p.groupBy("x", "y").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    moments = {"_w": "w", "_x": "sx", "_y": "sy", "_xx": "sxx", "_yy": "syy", "_xy": "sxy"}
+    sums = disc_sums(places, radius, ["n", "w"]).select("x", "y", F.col("n").cast("long").alias("n"), *[F.col(c).alias(name) for name, c in moments.items()])
+    return p.select("id", "x", "y").join(of_sums(sums, divisor), ["x", "y"]).drop("x", "y")
+
+
 def hough(points: DataFrame, thetas: int, width: float, weight: Column | None = None) -> DataFrame:
     """``(theta, rho, votes)``: each point votes in every direction for its bin of distance to the origin."""
     angle = F.col("theta") * (math.pi / thetas)

@@ -119,7 +119,7 @@ def knn3_triangle_area(spark: SparkSession, folder: str) -> DataFrame:
 @register("normalized_triangle", A.sql("pts", _KNN.format(k=20) + _TRI + "\nSELECT id, round(area / greatest(dk * dk, 1e-12::DOUBLE), 6) AS stat FROM tri"))
 def normalized_triangle(spark: SparkSession, folder: str) -> DataFrame:
     """Triangle area over the squared distance of the 20th neighbour: free of scale."""
-    near = spatial.knn(A.pts(spark, folder), 20)
+    near = spatial.knn(A.pts(spark, folder), 20, ranks=[1, 2, 20])
     rows = near.groupBy("id").agg(points.triangle_area("x", "y").alias("area"), F.max("d").alias("dk"))
     return rows.select("id", F.round(F.col("area") / F.greatest(F.col("dk") * F.col("dk"), F.lit(1e-12)), 6).alias("stat"))
 
@@ -221,9 +221,7 @@ near AS (SELECT a.id, (b.x - a.x)::DOUBLE AS dx, (b.y - a.y)::DOUBLE AS dy, b.ma
 )
 def pca2_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     """Sample covariance axes of each point's neighbours within 150 units, itself included."""
-    p = A.pts(spark, folder).select("id", "x", "y", "mag")
-    near = spatial.radius_join(p, p, 150.0).withColumns({"dx": F.col("n_x") - F.col("x"), "dy": F.col("n_y") - F.col("y")})
-    e = points.axis(near, ["id"], "dx", "dy", divisor="n-1")
+    e = points.disc_axes(A.pts(spark, folder), 150.0, divisor="n-1")
     return e.select("id", "n", F.round("l1", 4).alias("l1"), F.round("l2", 4).alias("l2"), F.round(1 - F.try_divide("l2", "l1"), 6).alias("linearity"))
 
 
@@ -233,9 +231,7 @@ def pca2_neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
 )
 def pca2_weighted(spark: SparkSession, folder: str) -> DataFrame:
     """As above, weighted by the inverse square of each neighbour's error."""
-    p = A.pts(spark, folder).select("id", "x", "y", "mag")
-    near = spatial.radius_join(p, p, 150.0).withColumns({"dx": F.col("n_x") - F.col("x"), "dy": F.col("n_y") - F.col("y")})
-    e = points.axis(near, ["id"], "dx", "dy", 1 / F.pow(F.greatest("n_mag", F.lit(1.0)), F.lit(2.0)))
+    e = points.disc_axes(A.pts(spark, folder), 150.0, 1 / F.pow(F.greatest("mag", F.lit(1.0)), F.lit(2.0)))
     return e.select("id", "n", F.round("l1", 4).alias("l1"), F.round("l2", 4).alias("l2"), F.round("cx", 5).alias("mean_dx"), F.round(F.try_divide(F.col("l1") - F.col("l2"), F.col("l1") + F.col("l2")), 6).alias("contrast"))
 
 
