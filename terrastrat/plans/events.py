@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terrastrat.functions.expressions import axial_difference, decode_linear, decode_square, unit_hash, utm
-from terrastrat.operators import catalog, cluster, lines, points, ranking, spatial
+from terrastrat.operators import catalog, cluster, lines, parents, points, ranking, spatial
 from terrastrat.plans import adapters as A
 from terrastrat.plans.registry import register
 from terrastrat.session import cut
@@ -158,11 +158,7 @@ SELECT id, round(min(eta), 6) AS log_eta, arg_min(parent, {'e': round(eta, 9), '
 )
 def time_parent_eta(spark: SparkSession, folder: str) -> DataFrame:
     """The earlier event within reach of the least time x distance^1.6 x 10^(-b m)."""
-    p = A.pts(spark, folder).select("id", "x", "y", "t_us", "mag")
-    pairs = spatial.radius_join(p, p, 120.0).filter("n_t_us < t_us")
-    dt = F.greatest((F.col("t_us") - F.col("n_t_us")) / 86400e6, F.lit(1.0 / 86400))
-    eta = F.log10(dt) + 1.6 * F.log10(F.greatest("d", F.lit(0.1))) - F.col("n_mag") / 100
-    return pairs.withColumn("eta", eta).groupBy("id").agg(F.round(F.min("eta"), 6).alias("log_eta"), F.min_by("n_id", F.struct(F.round("eta", 9), "n_id")).alias("parent"))
+    return parents.parents(A.pts(spark, folder), 120.0).withColumn("log_eta", F.round("log_eta", 6))
 
 
 @register(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrastrat.operators import cluster, points, spatial, tiles
+from terrastrat.operators import cluster, parents, points, spatial, tiles
 
 
 @pytest.fixture
@@ -93,3 +93,33 @@ def test_nearest_within_a_cap_lists_no_pairs(spark, monkeypatch):
         want = {i: (b[1], b[0]) if b[0] <= cap else (None, None) for i, b in best.items()}
         assert {r.id: (r.nearest, r.d) for r in spatial.nearest_within(*frames, cap).collect()} == want
     assert {r.nearest for r in spatial.nearest_within(frames[0], frames[1].limit(0), 4.0).collect()} == {None}
+
+
+def test_parents_equal_brute_force_with_ties_and_unknown_magnitudes(spark, monkeypatch):
+    monkeypatch.setattr(parents, "LEAF", 4)
+    draw = random.Random(6)
+    rows = [(i, x, y, draw.randrange(40) * 10**9, None if i % 11 == 0 else draw.randrange(60) / 1.0) for i, x, y in cloud(400, 6)]
+    rows += [(9000 + i, 50, 50, 5 * 10**9, 400.0) for i in range(6)] + [(9100, 5000, 0, 0, None), (9101, 5001, 0, 10**9, 1.0)]
+    want = {}
+    for i, x, y, t, _ in rows:
+        met = []
+        for j, u, v, s, m in rows:
+            d = math.sqrt((x - u) ** 2 + (y - v) ** 2)
+            if s < t and d <= 30:
+                e = None if m is None else math.log10(max((t - s) / 86400e6, 1 / 86400)) + 1.6 * math.log10(max(d, 0.1)) - m / 100
+                met.append((math.inf if e is None else round(e, 9), j, e))
+        if met:
+            want[i] = (min(met)[1], min((e for _, _, e in met if e is not None), default=None))
+    got = {r.id: (r.parent, r.log_eta) for r in parents.parents(spark.createDataFrame(rows, "id long, x long, y long, t_us long, mag double"), 30.0).collect()}
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()} and want[9101] == (9100, None)
+    assert all(got[i][1] == (pytest.approx(e, abs=1e-9) if e is not None else None) for i, (_, e) in want.items())
+
+
+def test_a_dense_field_has_parents_without_its_pairs(spark):
+    # 40,000 events each with up to 40,000 earlier ones in reach
+    field = spark.range(40_000).select("id", (F.col("id") % 200).alias("x"), F.expr("id div 200").alias("y"), (F.col("id") * 7919 % 40_000 * 1_000_000).alias("t_us"), F.lit(1.0).alias("mag"))
+    order = np.argsort(np.arange(40_000) * 7919 % 40_000)
+    x, y = order % 200, order // 200
+    early = np.hypot(x[:, None] - x[:300], y[:, None] - y[:300]) <= 120
+    some = (early & (np.arange(300) < np.arange(40_000)[:, None])).any(1)
+    assert {r.id for r in parents.parents(field, 120.0).select("id").collect()} == set(map(int, order[some]))
