@@ -41,11 +41,11 @@ f AS (SELECT row, col FROM cells WHERE n >= 2 OR row < 128),
 o AS (SELECT * FROM g ANTI JOIN f USING (row, col)),
 m AS ("""
         + _ALL.format(cells="f", sources="o")
-        + ")\nSELECT row, col, round(sqrt((m // 1048576)::DOUBLE), 6) AS distance FROM m",
+        + ")\nSELECT f.row, f.col, round(sqrt((m // 1048576)::DOUBLE), 6) AS distance FROM f LEFT JOIN m ON m.row = f.row AND m.col = f.col",
     ),
 )
 def edge_distance(spark: SparkSession, folder: str) -> DataFrame:
-    """How deep each cell of a footprint lies in it, in cells of a grid of 256 x 256."""
+    """How deep each cell of a footprint lies in it, in cells of a grid of 256 x 256; null where the footprint fills the grid."""
     return distance.edge_distances(A.cells(spark, folder).filter("n >= 2 OR row < 128"), 256, 256).withColumn("distance", F.round("distance", 6))
 
 

@@ -84,3 +84,16 @@ def test_edges_of_a_footprint(spark):
 def test_values_are_filled_from_any_distance(spark):
     df = spark.createDataFrame([(0, 0, 7.0), (0, 900, None), (500, 0, float("nan")), (600, 900, 9.0)], "row long, col long, v double")
     assert {(x.row, x.col): x.v for x in distance.filled(df, "v", df).collect()} == {(0, 0): 7.0, (0, 900): 9.0, (500, 0): 7.0, (600, 900): 9.0}
+
+
+def test_a_footprint_without_an_outside_has_no_edge_distance_but_all_its_cells(spark, tmp_path):
+    """A grid that is full: the query and its SQL both give each cell, with null."""
+    from oracle import connect, rows_of, rows_of_sql
+
+    from terrastrat.plans import registry
+
+    every = spark.range(256 * 256).select(F.expr("id div 256").alias("row"), (F.col("id") % 256).alias("col"))
+    lines = every.select(F.col("row").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.col("col").alias("l_orderkey"), F.lit(1.0).alias("l_extendedprice"), F.lit(1.0).alias("l_quantity"))
+    lines.unionByName(lines).toPandas().to_parquet(tmp_path / "lineitem.parquet")
+    found = rows_of(registry.queries()["edge_distance"](spark, str(tmp_path)))
+    assert len(found[1]) == 256 * 256 and found == rows_of_sql(connect(str(tmp_path)), registry.oracle_sql()["edge_distance"])
