@@ -137,6 +137,35 @@ def test_mixture_threshold_lies_between_planted_means(spark):
     assert got["mean_low"] == pytest.approx(-5, abs=0.3) and got["mean_high"] == pytest.approx(2, abs=0.3) and -3 < got["threshold"] < 0
 
 
+def test_mixture_rounds_read_the_values_once(spark, monkeypatch):
+    """Weighted nodes give what a round over all values gives, without a job a round."""
+    r = random.Random(8)
+    df = spark.createDataFrame([(r.gauss(-2, 1),) for _ in range(700)] + [(r.gauss(1, 1.5),) for _ in range(500)], "v double")
+    spark.sparkContext.setJobGroup("mixture", "one read")
+    got = cluster.mixture_threshold(df, "v")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("mixture"))
+    few, exact = [], []
+    for bins, out in ((4096, few), (2, exact)):
+        monkeypatch.setattr(cluster, "BINS", bins)
+        out.append(cluster.mixture_threshold(df, "v", rounds=6))
+    assert jobs < 30 and set(got) == set(few[0])
+    assert few[0] == pytest.approx(exact[0], abs=1e-9)
+
+
+def test_large_parts_are_cut_as_those_in_one_task(spark, monkeypatch):
+    """Halves by sums over all tasks and halves inside a task are the same parts, in a number of jobs that doesn't grow with their levels."""
+    rng = np.random.default_rng(5)
+    rows = [(i, float(x), float(y), i % 2) for i, (x, y) in enumerate(rng.uniform(0, 400, (600, 2)))]
+    df = spark.createDataFrame(rows, "id long, x double, y double, label long")
+    spark.sparkContext.setJobGroup("parts", "in tasks")
+    whole = {r.id: r.part for r in lines.split_clusters(df, "label", 30.0, 6).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("parts"))
+    spark.sparkContext.setJobGroup("other", "by sums")
+    monkeypatch.setattr(lines, "HELD_POINTS", 150)
+    assert {r.id: r.part for r in lines.split_clusters(df, "label", 30.0, 6).collect()} == whole
+    assert len(set(whole.values())) > 20 and jobs < 20
+
+
 def test_axis_of_an_east_west_line(spark):
     rows = [(1, float(i), 0.01 * (i % 3)) for i in range(60)]
     a = points.axis(spark.createDataFrame(rows, "k long, x double, y double"), ["k"], "x", "y", divisor="n-1").first()
