@@ -92,25 +92,66 @@ def aftershock_windows(events: DataFrame, max_rounds: int = 500) -> DataFrame:
     raise RuntimeError(f"events are left undecided after {max_rounds} rounds")
 
 
+#: Bins of the values' range, and nodes in each, that stand for all values in a fit.
+BINS, NODES = 4096, 8
+
+
+def nodes_of(values: DataFrame, low: float, high: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, width of a bin): sums over ``v`` of a function that is smooth within bins are sums over the places.
+
+    One aggregate of Chebyshev polynomials by bin: a bin's values are replaced by its nodes, weighted so that every
+    polynomial of lesser degree than NODES has the same sum.
+    """
+    width = (high - low) / BINS
+    b = F.least(F.greatest(F.floor((F.col("v") - low) / width), F.lit(0)), F.lit(BINS - 1))
+    u = F.greatest(F.least(2 * ((F.col("v") - low) / width - F.col("b")) - 1, F.lit(1.0)), F.lit(-1.0))
+    rows = values.select(b.alias("b"), "v").select("b", F.acos(u).alias("a"))
+    got = rows.groupBy("b").agg(*[F.sum(F.cos(p * F.col("a"))) for p in range(NODES)]).collect()  # BINS rows at most
+    table = np.array([[float(c) for c in r] for r in got])
+    angles = (2 * np.arange(NODES) + 1) * np.pi / (2 * NODES)
+    factors = np.where(np.arange(NODES)[:, None] > 0, 2.0, 1.0) * np.cos(np.arange(NODES)[:, None] * angles) / NODES
+    weights = (table[:, 1:, None] * factors).sum(axis=1)
+    return (low + (table[:, :1] + (np.cos(angles) + 1) / 2) * width).ravel(), weights.ravel(), width
+
+
 def mixture_threshold(values: DataFrame, column: str, rounds: int = 200, tolerance: float = 1e-9) -> dict[str, float | bool]:
     """Two normal components fitted by EM, and the crossing of their densities between the means (else the middle).
 
-    Each round is one aggregate of six sums; the driver holds five numbers. settled: whether the likelihood stood still within *rounds*.
+    All values are read once, into weighted nodes on the driver (see :func:`nodes_of`; BINS times NODES at most), over which
+    rounds are sums. A round whose components are too sharp for the bins is one aggregate of seven sums over all values.
+    settled: whether the likelihood stood still within *rounds*.
     """
     v = cut(values.select(F.col(column).cast("double").alias("v")).dropna())
-    n, sd = v.agg(F.count("*"), F.stddev_pop("v")).first()
+    n, sd, least, most = v.agg(F.count("*"), F.stddev_pop("v"), F.min("v"), F.max("v")).first()
     if not n:
         raise ValueError("no values to fit")
     lo, hi = percentiles(v, F.col("v"), [0.25, 0.75], ["lo", "hi"]).first()
     settled = False
     w, m, s, last = [0.5, 0.5], [lo, hi], [max(sd or 1.0, 1e-6)] * 2, -math.inf
-    for _ in range(rounds):
-        logs = [math.log(w[k]) - math.log(s[k]) - 0.5 * math.log(2 * math.pi) for k in (0, 1)]
+    places, weights, width = nodes_of(v, least, most) if math.isfinite(most - least) and most - least > 1e-9 else (None, None, math.inf)
+
+    def by_nodes(logs: list[float]) -> list[float] | None:
+        """Sums of a round over nodes; None where the odds change too much within a bin, or densities vanish."""
+        slope = max(abs((at - m[0]) / s[0] ** 2 - (at - m[1]) / s[1] ** 2) for at in (least, most))
+        if places is None or width * slope > 0.5 or width > min(s) / 4:
+            return None
+        density = [np.exp(logs[k] - ((places - m[k]) / s[k]) ** 2 / 2) for k in (0, 1)]
+        total = density[0] + density[1]
+        if total.min() < 1e-290:
+            return None
+        p = [d / total * weights for d in density]
+        return [float(x.sum()) for k in (0, 1) for x in (p[k], p[k] * places, p[k] * places * places)] + [float((weights * np.log(total)).sum())]
+
+    def by_values(logs: list[float]) -> list[float]:
         density = [F.exp(F.lit(logs[k]) - F.pow((F.col("v") - m[k]) / s[k], F.lit(2.0)) / 2) for k in (0, 1)]
         total = F.greatest(density[0] + density[1], F.lit(1e-300))
         p = [d / total for d in density]
         sums = [F.sum(x) for k in (0, 1) for x in (p[k], p[k] * F.col("v"), p[k] * F.col("v") * F.col("v"))]
-        row = v.agg(*sums, F.sum(F.log(total))).first()
+        return v.agg(*sums, F.sum(F.log(total))).first()
+
+    for _ in range(rounds):
+        logs = [math.log(w[k]) - math.log(s[k]) - 0.5 * math.log(2 * math.pi) for k in (0, 1)]
+        row = by_nodes(logs) or by_values(logs)
         for k in (0, 1):
             mass, first, second = row[3 * k : 3 * k + 3]
             mass = max(mass, 1e-12)
