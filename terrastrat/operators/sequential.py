@@ -201,14 +201,23 @@ def deflection(flow: DataFrame, least_area: int, window: int = 7, least: int = 5
     return sums.select("row", "col", F.when(F.col("n") >= least, 1 - F.hypot("u", "v") / F.col("n")).otherwise(0.0).alias("deflection"))
 
 
+def tiled(cells: DataFrame, tile: int, halo: int) -> DataFrame:
+    """Rows once for every tile ``_r, _c`` that they lie in or at most *halo* from."""
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    return cells.withColumn("_r", reach("row")).withColumn("_c", reach("col"))
+
+
+#: Cells a side of a tile, and rounds of thinning that a task runs before tiles hear of each other again.
+THIN_TILE, THIN_ROUNDS = 256, 32
+
+
 def thin(mask: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Cells of the mask thinned to lines by the two alternating passes of the classical parallel rule.
 
-    Each pass is one neighbourhood sum of bits; rounds end when no cell goes. Raises if *max_rounds* do
-    not suffice.
+    A pass looks one cell far, so a tile with two cells around it for every round runs THIN_ROUNDS of them alone and has its own
+    cells right. Rounds end when no cell goes. Raises if *max_rounds* do not suffice.
     """
     ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
-    table = [(i, j, float(1 << ring.index((i, j))) if (i, j) != (0, 0) else 0.0) for i, j, _ in square(1)]
 
     def goes(bits: int, step: int) -> bool:
         p = [bits >> n & 1 for n in range(8)]
@@ -218,15 +227,40 @@ def thin(mask: DataFrame, max_rounds: int = 200) -> DataFrame:
         n, e, s, w = p[0], p[2], p[4], p[6]
         return not (n * e * s or e * s * w) if step == 0 else not (n * e * w or n * s * w)
 
-    lookup = [F.array(*[F.lit(goes(b, step)) for b in range(256)]) for step in (0, 1)]
-    left = cut(mask.select("row", "col"))
-    for _ in range(max_rounds):
-        size = left.count()
-        for step in (0, 1):
-            bits = gather(left, table, [F.sum("k").cast("int").alias("bits")], [], within=left)
-            left = cut(bits.filter(~F.element_at(lookup[step], F.col("bits") + 1)).select("row", "col"))
-        if left.count() == size:
+    lookup = [np.array([goes(b, step) for b in range(256)]) for step in (0, 1)]
+    tile = THIN_TILE
+
+    def run(rounds: int):
+        halo = 2 * rounds
+
+        def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            r, c = (pdf[n].to_numpy() - k * tile + halo + 1 for n, k in zip(("row", "col"), key, strict=True))
+            grid = np.zeros((tile + 2 * halo + 2,) * 2, bool)
+            grid[r, c] = True
+            gone = np.zeros(grid.shape, np.int64)
+            for n in range(1, rounds + 1):
+                before = grid.copy()
+                for table in lookup:
+                    bits = np.zeros((grid.shape[0] - 2,) * 2, np.int64)
+                    for at, (i, j) in enumerate(ring):
+                        bits |= grid[1 + i : grid.shape[0] - 1 + i, 1 + j : grid.shape[1] - 1 + j].astype(np.int64) << at
+                    grid[1:-1, 1:-1] &= ~table[bits]
+                gone[before & ~grid] = n
+                if (before == grid).all():
+                    break
+            own = (r > halo) & (r <= halo + tile) & (c > halo) & (c <= halo + tile)
+            return pd.DataFrame({"row": pdf["row"].to_numpy()[own], "col": pdf["col"].to_numpy()[own], "gone": gone[r[own], c[own]]})
+
+        return lambda left: cut(tiled(left, tile, halo).groupBy("_r", "_c").applyInPandas(solve, "row long, col long, gone long"))
+
+    left, used = cut(mask.select("row", "col")), 0
+    while used < max_rounds:
+        rounds = min(THIN_ROUNDS, max_rounds - used)
+        found = run(rounds)(left)
+        left, last = found.filter("gone = 0").select("row", "col"), found.agg(F.max("gone")).first()[0] or 0
+        if last < rounds:
             return left
+        used += rounds
     raise RuntimeError(f"cells still go after {max_rounds} rounds")
 
 

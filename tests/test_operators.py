@@ -260,6 +260,36 @@ def test_thinning_leaves_a_line(spark):
     assert got and all(i == 7 for i, j in got if 4 < j < 35) and len(got) <= 40
 
 
+def test_thinning_by_tiles_equals_the_whole_grid_in_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), int(j)) for i, j in zip(*np.nonzero(rng.uniform(size=(60, 50)) < 0.93), strict=True)] + [(i - 90, j) for i in range(24) for j in range(24)]
+    spark.sparkContext.setJobGroup("thin", "whole")
+    whole = {(r.row, r.col) for r in sequential.thin(cells(spark, rows)).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("thin"))
+    spark.sparkContext.setJobGroup("other", "tiles")
+    monkeypatch.setattr(sequential, "THIN_TILE", 16)
+    monkeypatch.setattr(sequential, "THIN_ROUNDS", 2)
+    assert {(r.row, r.col) for r in sequential.thin(cells(spark, rows)).collect()} == whole
+    assert jobs < 12 and len(whole) < len(rows)
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        sequential.thin(cells(spark, rows), max_rounds=3)
+
+
+def test_emission_by_tiles_has_the_same_dots_and_rounds_in_few_jobs(spark, monkeypatch):
+    from terrastrat.operators import emission
+
+    rng = np.random.default_rng(7)
+    df = cells(spark, [(i - 20, j, float(rng.uniform())) for i in range(50) for j in range(45) if rng.uniform() < 0.9], "row long, col long, pi double")
+    spark.sparkContext.setJobGroup("emit", "whole")
+    whole = {(r.row, r.col): (r.round, round(r.gain, 9)) for r in emission.emit(df, mass=50.0, bar=0.8).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("emit"))
+    spark.sparkContext.setJobGroup("other", "tiles")
+    monkeypatch.setattr(emission, "EMIT_TILE", 16)
+    monkeypatch.setattr(emission, "EMIT_ROUNDS", 2)
+    assert {(r.row, r.col): (r.round, round(r.gain, 9)) for r in emission.emit(df, mass=50.0, bar=0.8).collect()} == whole
+    assert jobs < 15 and max(n for n, _ in whole.values()) > 3
+
+
 def test_plane_of_noisy_points():
     rng = np.random.default_rng(10)
     xy = rng.uniform(-50, 50, (200, 2))
