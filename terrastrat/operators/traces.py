@@ -95,7 +95,7 @@ def surface_traces(planes: DataFrame, ground: DataFrame, rules: Rules, pixel: fl
     fr, fc = places(F.col("cx"), F.col("cy"), pixel, x0, y0)
     at = lambda t, r, c: t.withColumns({"fr": r, "fc": c}).withColumns({"row": F.floor("fr").cast("long"), "col": F.floor("fc").cast("long")})
     patch = F.struct("row", "col", "z00", "z01", "z10", "z11")
-    held = at(lines.withColumn("count", count), fr, fc).join(quads, ["row", "col"], "left")
+    held = small_join(at(lines.withColumn("count", count), fr, fc), quads, ["row", "col"], "left")
     guess = F.coalesce(-F.col("nz") * (level(patch, F.col("fr"), F.col("fc")) - F.col("cz")) / F.col("hn"), F.lit(0.0))
     held = cut(held.withColumn("guess", guess).drop("fr", "fc", "row", "col", "z00", "z01", "z10", "z11"))
     along = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("count") - 1)))
@@ -103,37 +103,40 @@ def surface_traces(planes: DataFrame, ground: DataFrame, rules: Rules, pixel: fl
     east = lambda q: F.col("cx") + F.col("a") * F.col("ux") + q * F.col("dx")
     north = lambda q: F.col("cy") + F.col("a") * F.col("uy") + q * F.col("dy")
     miss = lambda z, q: F.col("hn") * q + F.col("nz") * (z - F.col("cz"))
-    across = along.withColumn("j", F.explode(F.sequence(F.lit(-n), F.lit(n)))).withColumn("q", F.col("j") * F.lit(gap))
-    across = at(across, *places(east(F.col("q")), north(F.col("q")), pixel, x0, y0)).join(quads, ["row", "col"], "left")
-    across = across.withColumn("f", miss(level(patch, F.col("fr"), F.col("fc")), F.col("q")))
+    between = along.withColumn("j", F.explode(F.sequence(F.lit(-n), F.lit(n - 1))))
+    for name, q in (("_fl", F.col("j") * F.lit(gap)), ("_fr", (F.col("j") + 1) * F.lit(gap))):
+        met = small_join(at(between, *places(east(q), north(q), pixel, x0, y0)), quads, ["row", "col"])
+        between = met.withColumn(name, miss(level(patch, F.col("fr"), F.col("fc")), q)).drop("fr", "fc", "row", "col", "z00", "z01", "z10", "z11")
     mine = ["id", "k"]
     kept = ["a", "cx", "cy", "cz", "ux", "uy", "dx", "dy", "hn", "nz", "guess"]
-    rows = cut(across.groupBy(*mine).agg(*[F.first(c).alias(c) for c in kept], F.array_sort(F.collect_list(F.struct("j", "f"))).alias("fs")))  # 2n + 1 each
-    crosses = lambda l, r: (l * r <= 0)  # noqa: E731, E741  null where either is unknown
-    spot = F.transform(
-        F.filter(F.sequence(F.lit(0), F.size("fs") - 2), lambda i: crosses(F.get("fs", i)["f"], F.get("fs", i + 1)["f"])),
-        lambda i: F.struct(F.abs((F.get("fs", i)["j"] + 0.5) * gap - F.col("guess")).alias("off"), F.get("fs", i)["j"].alias("j"), F.get("fs", i)["f"].alias("fl"), F.get("fs", i + 1)["f"].alias("fr")),
-    )
-    roots = rows.withColumn("b", F.array_min(spot)).filter("b is not null").drop("fs")
+    # few brackets hold a crossing, and their least is combined before the shuffle
+    best = F.min(F.struct(F.abs((F.col("j") + 0.5) * gap - F.col("guess")).alias("off"), "j", F.col("_fl").alias("fl"), F.col("_fr").alias("fr"))).alias("b")
+    roots = between.filter(F.col("_fl") * F.col("_fr") <= 0).groupBy(*mine).agg(*[F.first(c).alias(c) for c in kept], best)
     roots = roots.withColumns({"ql": F.col("b.j") * F.lit(gap), "qr": (F.col("b.j") + 1) * F.lit(gap), "fl": F.col("b.fl"), "fr": F.col("b.fr")}).drop("b")
     ends = [places(east(F.col(q)), north(F.col(q)), pixel, x0, y0) for q in ("ql", "qr")]
     span = lambda i: F.sequence(F.floor(F.least(ends[0][i], ends[1][i])).cast("long"), F.floor(F.greatest(ends[0][i], ends[1][i])).cast("long"))
     near = roots.withColumn("row", F.explode(span(0))).withColumn("col", F.explode(span(1)))  # cells that the bracket crosses
-    near = near.join(quads, ["row", "col"]).groupBy(*mine).agg(*[F.first(c).alias(c) for c in [*kept, "ql", "qr", "fl", "fr"]], F.collect_list(patch).alias("near"))
+    near = small_join(near, quads, ["row", "col"]).groupBy(*mine).agg(*[F.first(c).alias(c) for c in [*kept, "ql", "qr", "fl", "fr"]], F.collect_list(patch).alias("near"))
+
+    # a lambda holds its argument, so patches are searched once a step, not once for every use
+    once = lambda v, of: F.get(F.transform(F.array(v), of), F.lit(0))
 
     def height(q: Column) -> Column:
         r, c = places(east(q), north(q), pixel, x0, y0)
-        return level(F.get(F.filter("near", lambda p: (p["row"] == F.floor(r)) & (p["col"] == F.floor(c))), F.lit(0)), r, c)
+        held = F.get(F.filter("near", lambda p: (p["row"] == F.floor(r)) & (p["col"] == F.floor(c))), F.lit(0))
+        return once(held, lambda p: level(p, r, c))
 
-    def halve(s: Column, _: Column) -> Column:
-        q = (s["l"] + s["r"]) / 2
-        f = miss(height(q), q)
-        left = ((s["f"] <= 0) & (f >= 0)) | ((s["f"] >= 0) & (f <= 0))
+    def moved(s: Column, at: Column) -> Column:
+        q, f, zero = at["q"], at["f"], F.lit(0.0)
+        left = ((s["f"] <= zero) & (f >= zero)) | ((s["f"] >= zero) & (f <= zero))
         done = f.isNull() | (F.abs(f) <= rules.most_residual)
-        new = F.struct(
+        return F.struct(
             F.when(~done & ~left, q).otherwise(s["l"]).alias("l"), F.when(~done & left, q).otherwise(s["r"]).alias("r"), F.when(~done & ~left, f).otherwise(s["f"]).alias("f"), q.alias("q"), done.alias("done"),
         )
-        return F.when(s["done"], s).otherwise(new)
+
+    def halve(s: Column, _: Column) -> Column:
+        met = once((s["l"] + s["r"]) / 2, lambda q: F.struct(q.alias("q"), miss(height(q), q).alias("f")))
+        return F.when(s["done"], s).otherwise(once(met, lambda at: moved(s, at)))
 
     zero = F.lit(0.0)
     hit = F.when(F.col("fl") == 0, F.col("ql")).when(F.col("fr") == 0, F.col("qr"))

@@ -110,6 +110,23 @@ def test_bootstrap_spreads_like_a_multinomial_one(spark):
         assert abs(got[g].spread - plain) < 0.25 * plain + 0.3, (g, got[g].spread, plain)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_step_of_the_bisection_searches_its_patches_once(spark, monkeypatch):
+    seen, cut = [], traces.cut
+    monkeypatch.setattr(traces, "cut", lambda df: (seen.append(_plan(df)), cut(df))[1])
+    rows = [(1, 4000.0, 3000.0, 300.0, *normal(30, 60), -900.0, 900.0)]
+    found = traces.surface_traces(planes(spark, rows), ground(spark, lambda x, y: 500 + 0.05 * x), traces.Rules(), 100.0, 0.0, 6000.0)
+    assert found.count() == 37 and "aggregate(" in seen[-1] and seen[-1].count("filter(near") == 1
+
+
+def test_a_row_is_hashed_once_a_draw(spark):
+    df = spark.createDataFrame([(1, i, float(i), float(i % 3)) for i in range(20)], "g long, id long, x double, y double")
+    assert _plan(bootstrap.moments(df, "g", "id", {"x": F.col("x"), "y": F.col("y")})).count("md5(") == 1
+
+
 def test_bootstrap_of_tiny_groups(spark):
     df = spark.createDataFrame([(1, 1, 0.0, 0.0), (2, 1, 0.0, 0.0), (2, 2, 5.0, 0.0)], "g long, id long, x double, y double")
     got = {r.g: r.spread for r in bootstrap.axis_spread(df, "g", "id").collect()}
