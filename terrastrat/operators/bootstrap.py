@@ -38,8 +38,12 @@ def moments(points: DataFrame, key: str, item: str, values: dict[str, Column], d
     """
     names = list(values)
     rows = points.select(F.col(key), F.col(item).alias("_i"), *[v.cast("double").alias(n) for n, v in values.items()])
-    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumn("_w", poisson(unit_hash(F.col(key), F.col("_i"), F.col("draw"), seed=seed)).cast("double")).filter("_w > 0")
+    # hashing is the work, so rows are dealt to all tasks even where they come in few files
+    rows = rows.repartition(max(points.sparkSession.sparkContext.defaultParallelism, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key, "_i")
+    # the generator hashes each row and draw once; as a column it would be hashed again for every step of the weight
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.struct(d.alias("draw"), unit_hash(F.col(key), F.col("_i"), d, seed=seed).alias("u")))
+    rows = rows.withColumn("_d", F.explode(drawn)).filter(F.col("_d.u") > poisson_steps()[0])
+    rows = rows.select(key, *names, F.col("_d.draw").alias("draw"), poisson(F.col("_d.u")).cast("double").alias("_w"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     w = F.col("_w")
     sums = rows.groupBy(key, "draw").agg(
