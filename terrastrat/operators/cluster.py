@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrastrat.operators.decluster import first_windows, mainshocks
 from terrastrat.operators.graph import connected_components
 from terrastrat.operators.ranking import percentiles
 from terrastrat.operators.spatial import radius_join
@@ -51,45 +52,19 @@ def aftershock_windows(events: DataFrame, max_rounds: int = 500) -> DataFrame:
     """``(id, parent)`` by magnitude-dependent windows, the largest event first; mainshocks have a null parent.
 
     Events ``(id, x, y, t_days, mag)`` in km; windows reach both ways in time and only to smaller events
-    (later ids among equals). The sequential rule is found in rounds: an undecided event that no undecided
-    larger one reaches is a mainshock, or belongs to the first mainshock that reaches it; what a mainshock
-    reaches is decided as soon as no larger undecided event reaches it. Events meet by distance in
-    classes of half a magnitude, each with its own reach, so one large shock doesn't widen all joins.
-    Raises if *max_rounds* do not suffice.
+    (later ids among equals). An event that no mainshock before it reaches is a mainshock; others belong to
+    the first that reaches them. Events without a place, time or magnitude reach none and are reached by none.
+    See :mod:`terrastrat.operators.decluster`; raises if *max_rounds* do not suffice.
     """
-    e = cut(events.select("id", "x", "y", "t_days", "mag"))
-    m = F.col("mag")
-    days = F.when(m >= 6.5, F.pow(F.lit(10.0), 0.032 * m + 2.7389)).otherwise(F.pow(F.lit(10.0), 0.5409 * m - 0.547))
-    pairs = None
-    for (low,) in e.dropna().select(F.floor(m * 2) / 2).distinct().collect():  # a few dozen classes of magnitude
-        own = e.filter((m >= low) & (m < low + 0.5)).withColumn("reach", F.pow(F.lit(10.0), 0.1238 * m + 0.983)).withColumn("days", days)
-        met = radius_join(own, e.filter(m < low + 0.5), 10 ** (0.1238 * (low + 0.5) + 0.983))
-        met = met.filter((F.col("d") <= F.col("reach")) & (F.abs(F.col("t_days") - F.col("n_t_days")) <= F.col("days")))
-        met = met.filter((m > F.col("n_mag")) | ((m == F.col("n_mag")) & (F.col("id") < F.col("n_id")))).select("id", "mag", "n_id")
-        pairs = met if pairs is None else pairs.unionByName(met)
-    if pairs is None:
-        return e.select("id", F.col("id").alias("parent")).withColumn("parent", F.lit(None).cast("long"))
-    pairs = cut(pairs)
-    reached = pairs.select(F.col("n_id").alias("id")).distinct()
-    # (id, parent) decided in this round; those that nothing reaches are mainshocks
-    fresh = cut(e.join(reached, "id", "left_anti").select("id", F.lit(None).cast("long").alias("parent")))
-    done = fresh
-    # open pairs: of undecided targets; state says whether the source is a mainshock, or not yet known
-    left = pairs.withColumn("main", F.lit(False))
-    for _ in range(max_rounds):
-        known = fresh.select("id", F.col("parent").isNull().alias("is_main"))
-        left = left.join(known, "id", "left").filter(F.coalesce("is_main", F.lit(True)))
-        left = cut(left.select("id", "mag", "n_id", (F.col("main") | F.coalesce("is_main", F.lit(False))).alias("main")))
-        targets = e.join(done, "id", "left_anti").select("id")
-        if targets.isEmpty():
-            return done
-        first = F.min(F.struct((-F.col("mag")).alias("m"), "id", "main")).alias("first")
-        heads = left.groupBy(F.col("n_id").alias("id")).agg(first)
-        heads = targets.join(heads, "id", "left").filter("first is null or first.main")
-        fresh = cut(heads.select("id", F.col("first.id").alias("parent")))
-        done = cut(done.unionByName(fresh))
-        left = left.join(fresh.select(F.col("id").alias("n_id")), "n_id", "left_anti")
-    raise RuntimeError(f"events are left undecided after {max_rounds} rounds")
+    e = cut(events.select("id", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "t_days", "mag")]))
+    there = F.lit(True)
+    for c in ("x", "y", "t_days", "mag"):
+        there = there & F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    alone = e.filter(~there | F.col("id").isNull()).select("id", F.lit(None).cast(dict(e.dtypes)["id"]).alias("parent"))
+    whole_ones = e.filter(there & F.col("id").isNotNull())
+    if whole_ones.isEmpty():
+        return alone
+    return first_windows(whole_ones, *mainshocks(whole_ones, max_rounds)).unionByName(alone)
 
 
 #: Bins of the values' range, and nodes in each, that stand for all values in a fit.
