@@ -10,6 +10,7 @@ from terrastrat.operators import emission, kernels, metric, points, select
 from terrastrat.plans import adapters as A
 from terrastrat.plans.events import _SEG, _segments
 from terrastrat.plans.registry import register
+from terrastrat.session import cut
 
 
 @register("top_n_budget", A.sql("cells", "SELECT row, col, b1 FROM cells WHERE b1 > 0 ORDER BY b1 DESC, row, col LIMIT 500"))
@@ -182,7 +183,7 @@ WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.row = c.row AND t.col = c.col) O
 )
 def first_batch(spark: SparkSession, folder: str) -> DataFrame:
     """A fixed mass of 300 dots in one batch (the mass is the feature), outside truth."""
-    c = A.cells(spark, folder)
+    c = cut(A.cells(spark, folder))  # read three times
     free = c.select("row", "col").join(A.truth(spark, folder), ["row", "col"], "left_anti")
     d = emission.emit_batches(c.select("row", "col", F.least(F.col("b1") / 100000, F.lit(1.0)).alias("w")), free, 300, mass=300)
     return d.select("row", "col", F.round("gain", 6).alias("gain"), "round")
@@ -191,5 +192,5 @@ def first_batch(spark: SparkSession, folder: str) -> DataFrame:
 @register("batched_emission")
 def batched_emission(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of 200 until no cell gains more than it costs."""
-    c = A.cells(spark, folder)
+    c = cut(A.cells(spark, folder))  # read twice
     return emission.emit_batches(c.select("row", "col", F.least(F.col("b1") / 100000, F.lit(1.0)).alias("w")), c, 200, suppression=2.0)
