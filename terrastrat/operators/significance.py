@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from terrastrat.functions.expressions import unit_hash
 from terrastrat.operators.ordered import totals_before
 from terrastrat.operators.ranking import grouped_percentiles
 from terrastrat.operators.select import spaced
-from terrastrat.session import cut, small_join
+from terrastrat.session import BROADCAST_ROWS, cut, small_join
 
 #: Draws a slice of the running total, on average.
 SLICE = 4096
@@ -60,12 +63,83 @@ def _turned(points: DataFrame, thetas: int, width: float, far: float) -> DataFra
     return rows.withColumn("bin", F.floor(F.col("rho") / width + far / width).cast("long"))
 
 
+def _angles(points: DataFrame, thetas: int) -> list[tuple[float, float]]:
+    """(cosine, sine) of each direction, as Spark's own functions give them."""
+    angle = F.col("id") * (math.pi / thetas)
+    return [(r[0], r[1]) for r in points.sparkSession.range(thetas).orderBy("id").select(F.cos(angle), F.sin(angle)).collect()]
+
+
+def _votes(points: DataFrame, thetas: int, width: float, far: float, last: int) -> DataFrame:
+    """``(theta, bin, v, w, r)`` of rows ``(x, y, w, _r)``: rows with ``_r = 0``, sum of w, and other rows, by direction and bin.
+
+    A task counts its rows in tables of all directions and bins from 0 to *last*, and gives what they hold; votes outside, which only
+    points beyond the grid have, are counted apart. So no row is copied for each direction.
+    """
+    angles, wide = _angles(points, thetas), last + 1
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [np.zeros((thetas, wide)) for _ in range(3)]
+        for pdf in batches:
+            x, y, w, other = (pdf[c].to_numpy() for c in ("x", "y", "w", "_r"))
+            kinds = [(0, np.flatnonzero(other == 0)), (2, np.flatnonzero(other != 0))]
+            for n, (cos, sin) in enumerate(angles):
+                at = np.floor((x * cos + y * sin) / width + far / width)
+                if len(at) and (at.min() < 0 or at.max() > last):
+                    out = (at < 0) | (at > last)
+                    bins, real = at[out].astype(np.int64), other[out] == 0
+                    yield pd.DataFrame({"theta": n, "bin": bins, "v": real.astype(np.int64), "w": w[out], "r": (~real).astype(np.int64)})
+                    at = np.where(out, wide, at)
+                at = at.astype(np.int64)
+                for k, rows in kinds:
+                    if len(rows):
+                        tables[k][n] += np.bincount(at[rows], minlength=wide + 1)[:wide]
+                if len(kinds[0][1]):
+                    tables[1][n] += np.bincount(at[kinds[0][1]], w[kinds[0][1]], minlength=wide + 1)[:wide]
+        theta, bins = np.nonzero((tables[0] > 0) | (tables[2] > 0))
+        v, w, r = (t[theta, bins] for t in tables)
+        yield pd.DataFrame({"theta": theta, "bin": bins, "v": v.astype(np.int64), "w": w, "r": r.astype(np.int64)})
+
+    rows = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), "_r").dropna(subset=["x", "y"])
+    return rows.mapInPandas(count, "theta long, bin long, v long, w double, r long").groupBy("theta", "bin").agg(*[F.sum(c).alias(c) for c in ("v", "w", "r")])
+
+
+def _met(points: DataFrame, near: DataFrame, thetas: int, width: float, far: float) -> DataFrame:
+    """As :func:`_turned` joined with the written *near* by direction and bin; points turn to lines' directions only.
+
+    Up to BROADCAST_ROWS rows of *near*, their directions and bins go to the tasks, which let no other rows pass.
+    """
+    rows = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna()
+    if near.count() > BROADCAST_ROWS:
+        return small_join(_turned(rows, thetas, width, far).withColumn("theta", F.col("theta").cast("long")), near, ["theta", "bin"])
+    held: dict[int, list[int]] = {}
+    for r in near.select("theta", "bin").distinct().collect():
+        held.setdefault(r[0], []).append(r[1])
+    held = {n: np.sort(np.array(b, np.int64)) for n, b in sorted(held.items())}
+    angles = _angles(points, thetas) if held else []
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, y, parts = pdf["x"].to_numpy(), pdf["y"].to_numpy(), [np.zeros((5, 0))]
+            for n, wanted in held.items():
+                cos, sin = angles[n % thetas]
+                rho = x * cos + y * sin
+                at = np.floor(rho / width + far / width).astype(np.int64)
+                low = int(wanted[0])
+                table = np.zeros(int(wanted[-1]) - low + 3, bool)
+                table[wanted - low + 1] = True
+                on = np.flatnonzero(table[np.clip(at - low + 1, 0, len(table) - 1)])
+                parts.append(np.stack([x[on], y[on], np.full(len(on), float(n)), rho[on], at[on]]))
+            yield pd.DataFrame(np.concatenate(parts, axis=1).T, columns=["x", "y", "theta", "rho", "bin"]).astype({"theta": np.int64, "bin": np.int64})
+
+    return small_join(rows.mapInPandas(turn, "x double, y double, theta long, rho double, bin long"), near, ["theta", "bin"])
+
+
 def line_significance(points: DataFrame, random: DataFrame, count: int, rows: int, cols: int, thetas: int = 180, width: float = 1.0, smooth: int = 1) -> DataFrame:
     """``(theta, bin, votes, weighted, expected, z)`` of line bins with a vote, in *points* ``(x, y, weight)`` or in *random* ``(x, y)``.
 
     A point votes for its bin and *smooth* bins to either side. expected: votes in *random*, a *count*-th of them; z is
     the excess over it in units of its root, one added. weighted: votes by weight over the largest weight. Points vote
-    in one map-side combined count, whose bins, not points, are then copied to their neighbours.
+    in tables of a task each, whose bins, not points, are then copied to their neighbours.
     """
     far = math.hypot(rows, cols) + 2
     last = math.ceil(2 * far / width)
@@ -73,8 +147,7 @@ def line_significance(points: DataFrame, random: DataFrame, count: int, rows: in
     top = ready.agg(F.max("weight").alias("_top"))
     own = ready.join(F.broadcast(top)).select("x", "y", F.when(F.col("_top") == 0, F.col("weight")).otherwise(F.col("weight") / F.col("_top")).alias("w"), F.lit(0).alias("_r"))  # one row
     both = own.unionByName(random.select("x", "y", F.lit(0.0).alias("w"), F.lit(1).alias("_r")))
-    real = F.col("_r") == 0
-    votes = _turned(both, thetas, width, far).groupBy("theta", "bin").agg(F.count_if(real).alias("v"), F.sum("w").alias("w"), F.count_if(~real).alias("r"))
+    votes = _votes(both, thetas, width, far, last)
     votes = votes.withColumn("bin", F.explode(F.sequence(F.col("bin") - smooth, F.col("bin") + smooth))).filter(F.col("bin").between(0, last))
     sums = votes.groupBy("theta", "bin").agg(F.sum("v").alias("votes"), F.sum("w").alias("weighted"), (F.sum("r") / float(count)).alias("expected"))
     return sums.withColumn("z", (F.col("votes") - F.col("expected")) / F.sqrt(F.col("expected") + 1)).withColumn("theta", F.col("theta").cast("long"))
@@ -109,9 +182,8 @@ def detect_lines(points: DataFrame, random: DataFrame, count: int, rows: int, co
     reach = (smooth + 0.5) * width
     span = math.ceil(smooth + 0.5)
     near = kept.select("theta", "line", (F.col("bin") * width - far).alias("at"), F.explode(F.sequence(F.col("bin") - span - 1, F.col("bin") + span)).alias("bin"))
-    turned = _turned(points.select("x", "y").dropna(), thetas, width, far).withColumn("theta", F.col("theta").cast("long"))
     angle: Column = F.col("theta") * (math.pi / thetas)
-    on = small_join(turned, cut(near), ["theta", "bin"]).filter(F.abs(F.col("rho") - F.col("at")) <= reach)
+    on = _met(points, cut(near), thetas, width, far).filter(F.abs(F.col("rho") - F.col("at")) <= reach)
     on = cut(on.select("line", (F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle)).alias("t")))
     ends = on.groupBy("line").agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"))
     spans = grouped_percentiles(on, "line", F.col("t"), [0.05, 0.95], ["_a", "_b"]).filter("n >= 3").select("line", (F.col("_b") - F.col("_a")).alias("extent"))
@@ -136,8 +208,7 @@ def local_spans(points: DataFrame, lines: DataFrame, thetas: int = 180, window:
     angle = F.col("theta") * (math.pi / thetas)
     long_ones = ready.filter(~short)
     near = long_ones.select("line", "theta", F.col("rho").alias("at"), "t_min", "_j", F.explode(F.sequence(F.floor((F.col("rho") - width) / width), F.floor((F.col("rho") + width) / width))).alias("bin"))
-    turned = _turned(points.select("x", "y").dropna(), thetas, width, 0.0).withColumn("theta", F.col("theta").cast("long"))
-    met = small_join(turned, cut(near), ["theta", "bin"]).withColumn("t", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
+    met = _met(points, cut(near), thetas, width, 0.0).withColumn("t", F.col("y") * F.cos(angle) - F.col("x") * F.sin(angle))
     strips = F.array_compact(F.array(*[F.when(F.abs(F.col("rho") - (F.col("at") + d)) <= half, F.lit(i)) for i, d in enumerate((0.0, -side, side))]))
     met = cut(met.withColumn("strip", F.explode(strips)).select("line", "strip", "t", "t_min", "_j"))
     place = (F.col("t") - F.col("t_min")) / step

@@ -166,3 +166,21 @@ def test_spacing_on_rows_that_go_round(spark):
         if all(min((r - y) % 12, (y - r) % 12) > 2 or abs(c - x) > 1 for y, x in taken):
             taken.append((r, c))
     assert {(x.row, x.col) for x in got.collect()} == set(taken)
+
+
+def test_votes_and_lines_copy_no_point_for_each_direction(spark, monkeypatch):
+    """Votes beside the grid and without a place among them; the rows of a point and direction are never made."""
+    monkeypatch.setattr(significance, "_turned", lambda *_: pytest.fail("a row for each point and direction"))
+    rng = np.random.default_rng(4)
+    xy = np.vstack([rng.uniform(-40, 140, (300, 2)), np.column_stack([np.full(60, 50.0), rng.uniform(0, 100, 60)])])
+    df = spark.createDataFrame([*[(*p, 1.0) for p in xy.tolist()], (None, 1.0, 1.0)], "x double, y double, weight double")
+    random = spark.createDataFrame([*rng.uniform(-40, 140, (300, 2)).tolist(), [None, 2.0]], "x double, y double")
+    got = {(r.theta, r.bin): r.votes for r in significance.line_significance(df, random, 1, 100, 100, 12, 3.0, 0).collect()}
+    far, want = math.hypot(100, 100) + 2, {}
+    for i in range(12):
+        for x, y in xy:
+            b = math.floor((x * math.cos(i * math.pi / 12) + y * math.sin(i * math.pi / 12)) / 3.0 + far / 3.0)
+            want[i, b] = want.get((i, b), 0) + (0 <= b <= math.ceil(2 * far / 3.0))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    lines = significance.detect_lines(df, random, 1, 100, 100, 12, 3.0, z_least=3.0, extent=20.0)
+    assert lines.count() >= 1 and significance.local_spans(df, lines, 12, z_least=0.5).count() >= 0
