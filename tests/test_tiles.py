@@ -123,3 +123,54 @@ def test_a_dense_field_has_parents_without_its_pairs(spark):
     early = np.hypot(x[:, None] - x[:300], y[:, None] - y[:300]) <= 120
     some = (early & (np.arange(300) < np.arange(40_000)[:, None])).any(1)
     assert {r.id for r in parents.parents(field, 120.0).select("id").collect()} == set(map(int, order[some]))
+
+
+def test_unknown_magnitudes_alone_go_by_the_lesser_id(spark):
+    rows = [(1, 0, 0, 0, None), (2, 99, 0, 86_000_000_000, None), (3, 100, 0, 86_400_000_000, 1.0)]
+    got = {r.id: (r.parent, r.log_eta) for r in parents.parents(spark.createDataFrame(rows, "id long, x long, y long, t_us long, mag double"), 120.0).collect()}
+    assert got == {2: (1, None), 3: (1, None)}
+
+
+def test_equal_pairs_of_events_are_given_once():
+    # 3,000 events at one place within a second are equally likely parents of 3,000 later ones: nine million pairs
+    zero, n = np.zeros(3000), np.arange(3000.0)
+    a, b = parents.likely([zero, zero, n + 5000], [zero, zero, n, zero + 3], 120.0)
+    assert sorted(a) == list(range(3000)) and set(b) == {0}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-5])
+def test_the_likeliest_events_are_found_whatever_magnitudes_and_times(monkeypatch, scale):
+    monkeypatch.setattr(parents, "HELD", 64)
+    monkeypatch.setattr(parents, "FIRST", 2)
+    monkeypatch.setattr(parents, "MERGED", 50)
+    draw = np.random.default_rng(8)
+    x, y, t = draw.integers(0, 60, 700) / 2, draw.integers(0, 60, 700) / 2, np.floor(draw.integers(0, 900, 700) * 1e9 * scale)
+    m = np.choose(draw.integers(0, 8, 700), [*np.round(draw.exponential(60, (5, 700))), draw.integers(-3, 3, 700) * 30_000.0, np.full(700, 1e6), np.full(700, -700.0)])
+    a, b = parents.likely([x, y, t], [x, y, t, m], 12.0)
+    d, time = np.hypot(x[:, None] - x, y[:, None] - y), t[:, None] - t
+    with np.errstate(invalid="ignore", divide="ignore"):
+        eta = np.where((d <= 12) & (time > 0), np.log10(np.maximum(time / 86400e6, 1 / 86400)) + 1.6 * np.log10(np.maximum(d, 0.1)) - m / 100, np.inf)
+    least = eta.min(1)
+    assert set(a) == set(np.flatnonzero(np.isfinite(least)))
+    found = np.full(700, np.inf)
+    np.minimum.at(found, a, eta[a, b])
+    assert found[np.isfinite(least)] == pytest.approx(least[np.isfinite(least)], abs=1e-9)
+    # the first of equal ones is among them
+    first = np.argmax(eta <= least[:, None] + 1e-12, axis=1)
+    assert {(i, first[i]) for i in set(a)} <= set(zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_the_least_lines_of_a_node_hold_at_every_time():
+    draw = np.random.default_rng(9)
+    times = np.sort(draw.choice(10**6, 300, replace=False)).astype(float)
+    n = 64
+    begin = draw.integers(0, 300, n)
+    lines = [np.concatenate([draw.integers(0, 3, n) * 1e5, [np.inf]]), np.concatenate([draw.exponential(1, n), [0.0]]), np.concatenate([times[begin] - 1, [0.0]])]
+    pieces = np.arange(n, dtype=np.int32), begin.astype(np.int32), np.arange(n, dtype=np.int32)
+    for _ in range(6):
+        pieces = parents.parents_of(*pieces, lines, times)
+    value = np.where(begin[:, None] <= np.arange(300), lines[0][:n, None] + lines[1][:n, None] * (times - lines[2][:n, None]), np.inf)
+    at = np.searchsorted(pieces[1], np.arange(300), "right") - 1
+    assert set(pieces[0]) == {0} and (at >= 0).tolist() == np.isfinite(value.min(0)).tolist()
+    keep = at >= 0
+    assert value[pieces[2][at[keep]], np.flatnonzero(keep)] == pytest.approx(value.min(0)[keep])
