@@ -195,6 +195,16 @@ class Rows:
         return lambda v: table[v]
 
 
+def exact_and_rest(weights: np.ndarray, most: float) -> list[np.ndarray]:
+    """*weights* in two parts: one whose sums, times whole numbers up to *most*, are exact in extended digits, and the little that is left, if any."""
+    total = float(np.abs(weights).sum()) * most
+    if not 0 < total < math.inf:
+        return [weights]
+    grain = np.ldexp(np.longdouble(1), math.frexp(total)[1] - np.finfo(np.longdouble).nmant + 2)
+    exact = np.rint(weights / grain) * grain
+    return [exact, (weights - exact).astype(np.float64)] if (exact != weights).any() else [weights]
+
+
 def disc_sums(places: DataFrame, radius: float, sums: list[str]) -> DataFrame:
     """``(x, y, sums, sx, sy, sxx, syy, sxy)`` of places ``(x, y, *sums)`` of whole numbers, one row a place: *sums* over the disc around each.
 
@@ -215,17 +225,26 @@ def disc_sums(places: DataFrame, radius: float, sums: list[str]) -> DataFrame:
         own = (x // side == key[0]) & (y // side == key[1])
         # extended digits keep what differences of sums and the move to the disc's centre would lose
         lx, ly, values = (x - rows.x0).astype(np.longdouble), (y - rows.y0).astype(np.longdouble), [pdf[c].to_numpy().astype(np.longdouble) for c in sums]
-        w = values[-1]
-        fields = [np.concatenate([np.zeros(1, np.longdouble), np.cumsum(v)]) for v in (*values, w * lx, w * ly, w * lx * lx, w * ly * ly, w * lx * ly)]
-        here, total = code[own], [np.zeros(int(own.sum()), np.longdouble) for _ in fields]
+        parts = exact_and_rest(values[-1], float(max(lx.max(), ly.max(), 1)) ** 2)
+        columns = []
+        for w in parts:
+            u, v = lx.astype(w.dtype), ly.astype(w.dtype)
+            columns += [w, w * u, w * v, w * u * u, w * v * v, w * u * v]
+        fields = [np.concatenate([np.zeros(1, v.dtype), np.cumsum(v, dtype=v.dtype)]) for v in (np.ones(len(x), np.int32), *values[:-1], *columns)]
+        here, total = code[own], [np.zeros(int(own.sum()), f.dtype) for f in fields]
         for dy, half in rows_of:
             a, b = first(here + dy * rows.wide - half), first(here + dy * rows.wide + half + 1)
             for t, f in zip(total, fields, strict=True):
                 t += f[b] - f[a]
         ox, oy = lx[own], ly[own]
-        n, (sx, sy, sxx, syy, sxy) = total[len(sums) - 1], total[len(sums) :]
-        moved = [sx - n * ox, sy - n * oy, sxx - 2 * ox * sx + n * ox * ox, syy - 2 * oy * sy + n * oy * oy, sxy - ox * sy - oy * sx + n * ox * oy]
-        return pd.DataFrame({"x": x[own], "y": y[own]} | {c: v.astype(np.float64) for c, v in zip([*sums, *moments], [*total[: len(sums)], *moved], strict=True)})
+        alone, plain, total = total[0] == 1, total[1 : len(sums)], total[len(sums) :]
+        moved = 0
+        for i in range(0, len(total), 6):  # each part is moved by itself, so that the first stays exact
+            n, sx, sy, sxx, syy, sxy = total[i : i + 6]
+            moved = moved + np.stack([n, sx - n * ox, sy - n * oy, sxx - 2 * ox * sx + n * ox * ox, syy - 2 * oy * sy + n * oy * oy, sxy - ox * sy - oy * sx + n * ox * oy])
+        # a place alone in its disc has its own weight and no moments, without what rounding leaves
+        moved[0], moved[1:] = np.where(alone, values[-1][own], moved[0]), np.where(alone, 0, moved[1:])
+        return pd.DataFrame({"x": x[own], "y": y[own]} | {c: v.astype(np.float64) for c, v in zip([*sums, *moments], [*plain, *moved], strict=True)})
 
     schema = "x long, y long, " + ", ".join(f"{c} double" for c in [*sums, *moments])
     return haloed(p, side, radius).groupBy("_tx", "_ty").applyInPandas(solve, schema)

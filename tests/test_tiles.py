@@ -174,3 +174,20 @@ def test_the_least_lines_of_a_node_hold_at_every_time():
     assert set(pieces[0]) == {0} and (at >= 0).tolist() == np.isfinite(value.min(0)).tolist()
     keep = at >= 0
     assert value[pieces[2][at[keep]], np.flatnonzero(keep)] == pytest.approx(value.min(0)[keep])
+
+
+def test_axes_of_light_points_beside_heavy_ones_have_no_noise(spark):
+    # pairs one apart and single points, of weights down to 1e-9, in a tile with heavy ones
+    draw = random.Random(10)
+    rows = [(i, 40 * i % 2000, 40 * (i // 50), draw.random() * 10.0 ** draw.randrange(-9, 1)) for i in range(400)]
+    rows += [(1000 + i, x + 1, y, w) for i, x, y, w in rows if i % 3 == 0]
+    got = {r.id: r for r in points.disc_axes(spark.createDataFrame(rows, "id long, x long, y long, w double"), 10.0, F.col("w")).collect()}
+    weight = {i: w for i, _, _, w in rows}
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        other = weight.get((i + 1000) if i < 1000 else i - 1000)
+        if other is None:
+            assert (r.n, r.cx, r.cy, r.l1, r.l2) == (1, 0.0, 0.0, 0.0, 0.0)
+        else:
+            share = other / (weight[i] + other)
+            assert (r.n, r.l1, abs(r.cx)) == (2, pytest.approx(share * (1 - share), rel=1e-6, abs=1e-12), pytest.approx(share, rel=1e-9))
